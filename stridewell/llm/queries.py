@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import mixing, packing, quality, token_output
 from .common import read
 
 
@@ -14,12 +14,23 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.documents_in_order(read(spark, sf_dir, "documents"))
 
 
+def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(read(spark, sf_dir, "documents"))
+
+
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
+    "op6_fair_mixing": op6_fair_mixing,
+    "op9_decision_list": op9_decision_list,
     "op10_vector_packing": op10_vector_packing,
 }
 ORACLES: dict[str, str] = {}
