@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, token_output
+from . import html, mixing, packing, quality, token_output, topk
 from .common import read
 
 
@@ -18,6 +18,14 @@ def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_hundredth(read(spark, sf_dir, "embeddings"))
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -30,7 +38,9 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
     "op6_fair_mixing": op6_fair_mixing,
+    "op7_block_rules": op7_block_rules,
+    "op8_threshold_search": op8_threshold_search,
     "op9_decision_list": op9_decision_list,
     "op10_vector_packing": op10_vector_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_threshold_search": topk.ORACLE}
