@@ -29,10 +29,12 @@ REPORTING = frozenset("said says say wrote writes called calls quote quoted quot
 
 @dataclass
 class Lexicon:
-    """Terms (text, whether words that begin with it count) and the share of toxic texts among those with (term, edits)."""
+    """Terms (text, whether words that begin with it count), the share of toxic texts among those with (term, edits), and
+    among those whose only exact hit is one of the term."""
 
     terms: list[tuple[str, bool]]
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
+    alone: dict[int, float] = field(default_factory=dict)
 
 
 def allowed_edits(term: str, prefix: bool) -> int:
@@ -158,11 +160,13 @@ class Matcher:
         return opened and closed and any(w.strip(MARKS) in REPORTING for w in [*before, *after])
 
 
-def score(hits: list[tuple[int, int, int, bool]], weights: dict[tuple[int, int], float], quoted_share: float = 0.3, base: float = 0.02) -> float:
+def score(hits: list[tuple[int, int, int, bool]], lexicon: Lexicon, quoted_share: float = 0.3, base: float = 0.02) -> float:
     """1 less the product of what every distinct term leaves open; a term that is only quoted counts for quoted_share of its weight."""
     best: dict[int, float] = {}
+    single = sum(e == 0 for _, _, e, _ in hits) == 1
     for _, t, e, quoted in hits:
-        best[t] = max(best.get(t, 0.0), weights.get((t, e), 0.0) * (quoted_share if quoted else 1.0))
+        weight = lexicon.alone.get(t, 0.0) if single and e == 0 else lexicon.weights.get((t, e), 0.0)
+        best[t] = max(best.get(t, 0.0), weight * (quoted_share if quoted else 1.0))
     left = 1.0 - base
     for w in best.values():
         left *= 1.0 - w
@@ -213,14 +217,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         for b in batches:
             out = []
             for x, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {(t, e) for _, t, e, _ in find.hits(text)}
-                exact = {f for f in found if f[1] == 0}
-                out += [(x, t, e) for t, e in exact or found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["toxic", "term", "edits"])
+                hits = find.hits(text)
+                exact = [t for _, t, e, _ in hits if e == 0]
+                out += [(x, t, e, int(len(exact) == 1)) for t, e in ({(t, 0) for t in exact} or {(t, e) for _, t, e, _ in hits})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["toxic", "term", "edits", "alone"])
 
-    seen = texts.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, term long, edits long").groupBy("term", "edits").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
+    n, toxic, alone = F.count("*").alias("n"), F.sum("toxic").alias("t"), F.col("alone")
+    seen = texts.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, term long, edits long, alone long").groupBy("term", "edits").agg(n, toxic, F.sum(alone).alias("n1"), F.sum(alone * F.col("toxic")).alias("t1")).collect()
     for r in seen:
-        lexicon.weights[r["term"], r["edits"]] = (r["t"] + 0.1) / (r["n"] + 0.2)
+        lexicon.weights[r["term"], r["edits"]] = share = (r["t"] + 0.1) / (r["n"] + 0.2)
+        if r["edits"] == 0:
+            lexicon.alone[r["term"]] = (r["t1"] + share) / (r["n1"] + 1)
     for i, (term, prefix) in enumerate(listed):
         for e in range(1, allowed_edits(term, prefix) + 1):
             lexicon.weights.setdefault((i, e), lexicon.weights.get((i, 0), 0.9) * 0.8)
@@ -235,15 +242,14 @@ def judge(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, windo
     """
     tune(docs.sparkSession)
     docs = docs.drop("score", "predicted", "n_hits")
-    terms, weights = lexicon.terms, lexicon.weights
     at = docs.columns.index("text")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Matcher(terms, window)
+        find = Matcher(lexicon.terms, window)
         for b in batches:
             hits = [find.hits(t) for t in b.column(at).to_pylist()]
-            scores = [score(h, weights) for h in hits]
+            scores = [score(h, lexicon) for h in hits]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([len(h) for h in hits], pa.int64())], [*b.schema.names, "score", "predicted", "n_hits"])
 
     return docs.mapInArrow(run, f"{fields}, score double, predicted int, n_hits long")
