@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, mixing, packing, quality, token_output, topk, toxicity
+from . import html, mixing, packing, pii, quality, token_output, topk, toxicity
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.documents_in_order(read(spark, sf_dir, "documents"))
 
 
+def op3_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.documents(read(spark, sf_dir, "documents"))
+
+
 def op4_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
+    "op3_skip_chain": op3_skip_chain,
     "op4_levenshtein_lexicon": op4_levenshtein_lexicon,
     "op6_fair_mixing": op6_fair_mixing,
     "op7_block_rules": op7_block_rules,
