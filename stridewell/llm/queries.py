@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, mixing, packing, pii, quality, token_output, topk, toxicity
+from . import chosen_path, html, mixing, packing, pii, quality, token_output, topk, toxicity
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op4_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(read(spark, sf_dir, "documents"))
+
+
 def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
     "op3_skip_chain": op3_skip_chain,
     "op4_levenshtein_lexicon": op4_levenshtein_lexicon,
+    "op5_chosen_path": op5_chosen_path,
     "op6_fair_mixing": op6_fair_mixing,
     "op7_block_rules": op7_block_rules,
     "op8_threshold_search": op8_threshold_search,
