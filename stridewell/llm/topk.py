@@ -13,37 +13,39 @@ from pyspark.sql import functions as F
 from .common import partitions, tune
 
 #: Rows of a block of candidates and of a block of queries; they bound a worker's memory.
-BLOCK, QUERY_BLOCK = 4096, 256
+BLOCK, QUERY_BLOCK = 8192, 1024
 SCALE = 1024
 
 
-def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int, floor: int | None = None, step: int = 32) -> tuple[np.ndarray, np.ndarray, int]:
+def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int, floor: int | None = None, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows and scores of the k largest inner products (more, at ties with the kth), and how deep the lists were read.
 
     lists[d] holds the rows by falling value of dimension d; a negative component of the query reads its list from the
-    end. `step` entries of every list are read at a time and the rows that they show are scored in full. A row that no
+    end. `step` entries of every list are read first, then as many as before again, and the rows that they show are scored in full. A row that no
     list has shown yet scores no more than the values at the reading place allow; when that bound is below the kth score
     (or below `floor`, the kth score elsewhere), no further row can matter. Dimensions in which the query is 0 aren't read.
     """
     n = len(vectors)
-    use = np.flatnonzero(query)
-    if not len(use):
+    if not query.any():
         return np.arange(n), np.zeros(n, query.dtype), 0
     seen = np.zeros(n, bool)
     rows: list[np.ndarray] = []
     scores: list[np.ndarray] = []
     best = np.empty(0, query.dtype)
-    for at in range(0, n, step):
-        end = min(at + step, n)
-        shown = np.where((query[use] > 0)[:, None], lists[use, at:end], lists[use][:, n - end : n - at][:, ::-1])
-        fresh = np.unique(shown)
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
+    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+    at = end = 0
+    while end < n:
+        at, end = end, min(n, max(2 * end, step))
+        new = np.zeros(n, bool)
+        new[lists[:, at:end][up]] = True
+        new[lists[:, n - end : n - at][down]] = True
+        fresh = np.flatnonzero(new & ~seen)
+        seen |= new
         s = vectors[fresh] @ query
         rows.append(fresh)
         scores.append(s)
         best = np.sort(np.concatenate([best, s]))[-k:]
-        bound = sum(query[use] * vectors[shown[:, -1], use])
+        bound = sum(query[up] * vectors[lists[up, end - 1], up]) + sum(query[down] * vectors[lists[down, n - end], down])
         kth = max([x for x in ((best[0] if len(best) == k else None), floor) if x is not None], default=None)
         if kth is not None and bound < kth:
             break
@@ -107,12 +109,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
     numbers = q.where("salt = 0").select("j", F.col("d").alias("d"))
     c = valid(vectors).mapInArrow(blocks(block), made).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     c = c.join(numbers, "d")
-    pairs = q.join(c, ["j", "d", "salt"]).select("d", "query_ids", "queries", "ids", "vectors")
+    pairs = q.join(c, ["j", "d", "salt"]).select("d", "query_ids", "queries", "ids", "vectors", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, kth = None, {}  # of the queries of the block at hand, their k best scores in the task so far
         for b in batches:
             for r in range(b.num_rows):
-                d, *blobs = (c[r].as_py() for c in b.columns)
+                d, *blobs, j = (c[r].as_py() for c in b.columns)
+                if j != block:
+                    block, kth = j, {}
                 qid, cid = (np.frombuffer(blobs[i], np.int64) for i in (0, 2))
                 qs, cs = (np.frombuffer(blobs[i], np.float64).reshape(len(ids), d) for i, ids in ((1, qid), (3, cid)))
                 exact = d * float(np.abs(qs).max(initial=0)) * float(np.abs(cs).max(initial=0)) < 2.0**52
@@ -121,9 +126,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
                 lists = np.argsort(-cs.T.astype(np.float64), axis=1, kind="stable")
                 out: list[tuple[int, int, int]] = []
                 for i, x in zip(qid, qs, strict=True):
-                    rows, scores, _ = threshold_top_k(x, cs, lists, k + int((cid == i).sum()))
+                    best = kth.get(i, [])
+                    rows, scores, _ = threshold_top_k(x, cs, lists, k + int((cid == i).sum()), best[0] if len(best) == k else None)
                     other = cid[rows] != i
                     rows, scores = rows[other], scores[other]
+                    kth[i] = sorted([*best, *scores.tolist()])[-k:]
                     order = np.lexsort((cid[rows], -scores.astype(np.float64) if exact else np.array([-int(s) for s in scores], object).argsort(kind="stable").argsort(kind="stable")))
                     if not exact:
                         order = np.array(sorted(range(len(rows)), key=lambda t: (-scores[t], cid[rows[t]])), int)
