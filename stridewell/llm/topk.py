@@ -41,7 +41,7 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
         new[lists[:, n - end : n - at][down]] = True
         fresh = np.flatnonzero(new & ~seen)
         seen |= new
-        s = vectors[fresh] @ query
+        s = vectors[fresh] @ query if 4 * len(fresh) < n else (vectors @ query)[fresh]
         rows.append(fresh)
         scores.append(s)
         best = np.sort(np.concatenate([best, s]))[-k:]
