@@ -47,7 +47,7 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
         best = np.sort(np.concatenate([best, s]))[-k:]
         bound = sum(query[up] * vectors[lists[up, end - 1], up]) + sum(query[down] * vectors[lists[down, n - end], down])
         kth = max([x for x in ((best[0] if len(best) == k else None), floor) if x is not None], default=None)
-        if kth is not None and bound < kth:
+        if (kth is not None and bound < kth) or seen.all():
             break
     r, s = np.concatenate(rows), np.concatenate(scores)
     least = best[0] if len(best) else 0
