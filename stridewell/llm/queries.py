@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, html, mixing, packing, pii, quality, token_output, topk, toxicity
+from . import chosen_path, html, mixing, packing, pii, quality, substrings, token_output, topk, toxicity
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.documents_in_order(read(spark, sf_dir, "documents"))
 
 
+def op2_super_k_mers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.documents(read(spark, sf_dir, "documents"))
+
+
 def op3_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.documents(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
+    "op2_super_k_mers": op2_super_k_mers,
     "op3_skip_chain": op3_skip_chain,
     "op4_levenshtein_lexicon": op4_levenshtein_lexicon,
     "op5_chosen_path": op5_chosen_path,
