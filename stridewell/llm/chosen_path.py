@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -287,3 +287,13 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     out = all_sets.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(whole, "key", "left")
     known = F.col("set_id").isNotNull()
     return out.select("doc_id", *[F.when(known, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("set_id", "class_id")], F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def deduplicated(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs whose doc_id is the least of their class, equal rows once; all columns. Rows without words or doc_id stay."""
+    kept = join(docs, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    own = rows.join(kept, "__id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__id", F.xxhash64("text")).orderBy("__id"))
+    own = own.withColumn("__copy", first).where("__copy = 1")
+    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))

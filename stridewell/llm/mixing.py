@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, word_count
+from .common import SPACES, partitions, word_count
 
 #: Weights of the sources in the order of their names, repeated as often as needed.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -92,3 +92,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of each document; texts don't travel."""
     slim = docs.select("doc_id", "source", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), word_count(F.col("text")).alias("size"))
     return mix(slim, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_copies(docs: DataFrame, **settings) -> DataFrame:
+    """Rows of docs as often as the mix takes them, all columns; a part of a row keeps its first words, joined by one space.
+
+    Only hashes and sizes are mixed; the texts join the result by a hash of the row and, among equal rows, a number.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    number = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
+    slim = docs.select("source", row.alias("__row"), word_count(F.col("text")).alias("size")).withColumn("__number", number)
+    taken = mix(slim, size=F.col("size"), **settings).where("taken > 0").select("__row", "__number", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    out = docs.withColumn("__row", row).withColumn("__number", number).join(taken, ["__row", "__number"])
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))))
+    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    cut = F.array_join(F.slice(F.array_remove(F.split("text", SPACES), ""), F.lit(1), left.cast("int")), " ")
+    return out.withColumn("text", F.when(left < F.col("__size"), cut).otherwise(F.col("text"))).select(*docs.columns)

@@ -9,9 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import SPACES, WORD
 
-SPACES = r"[\x20\x09-\x0D]+"
 #: Labelled documents that a decision list is learned from at most, the first by a hash of doc_id.
 SAMPLE = 20_000
 #: Bits of a window's place among the sorted window hashes; longer texts take the way without hashes.
