@@ -67,12 +67,12 @@ def ewma(df: DataFrame, value: str, spans: dict[str, float], keys: Sequence[str]
     x = F.coalesce(F.col(value), F.lit(0.0))
     rates = {name: 2.0 / (span + 1.0) for name, span in spans.items()}
     for name, r in rates.items():
-        rows = rows.withColumn(f"__{name}", F.sum(x * r * F.pow(F.lit(1.0 - r), -F.col("__j"))).over(inside) * F.pow(F.lit(1.0 - r), F.col("__j")))
-    ends = rows.where("__b >= 0").groupBy(*keys, "__b").agg(F.min_by(value, "__j").alias("__first"), *[F.max_by(f"__{n}", "__j").alias(f"__{n}") for n in rates])
-    blocks = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__b", "__first", *[f"__{n}" for n in rates]))).alias("__all"))
+        rows = rows.withColumn(f"__part_{name}", F.sum(x * r * F.pow(F.lit(1.0 - r), -F.col("__j"))).over(inside) * F.pow(F.lit(1.0 - r), F.col("__j")))
+    ends = rows.where("__b >= 0").groupBy(*keys, "__b").agg(F.min_by(value, "__j").alias("__first"), *[F.max_by(f"__part_{n}", "__j").alias(f"__part_{n}") for n in rates])
+    blocks = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__b", "__first", *[f"__part_{n}" for n in rates]))).alias("__all"))
 
     def fold(state: Column, x: Column) -> Column:
-        after = F.struct(*[(state["now"][n] * float((1.0 - r) ** block) + x[f"__{n}"]).alias(n) for n, r in rates.items()])
+        after = F.struct(*[(state["now"][n] * float((1.0 - r) ** block) + x[f"__part_{n}"]).alias(n) for n, r in rates.items()])
         return F.struct(F.concat(state["starts"], F.array(state["now"])).alias("starts"), after.alias("now"))
 
     kind = "struct<" + ",".join(f"{n}:double" for n in rates) + ">"
@@ -80,7 +80,7 @@ def ewma(df: DataFrame, value: str, spans: dict[str, float], keys: Sequence[str]
     starts = blocks.select(*keys, F.posexplode(F.aggregate("__all", seed, fold, lambda s: s["starts"])).alias("__b", "__start")).withColumn("__b", F.col("__b").cast("long"))
     out = rows.withColumn("__b", F.col("__b").cast("long")).join(starts, [*keys, "__b"], "left")
     for name, r in rates.items():
-        out = out.withColumn(name, F.col("__start")[name] * F.pow(F.lit(1.0 - r), F.col("__j") + 1) + F.col(f"__{name}"))
+        out = out.withColumn(name, F.col("__start")[name] * F.pow(F.lit(1.0 - r), F.col("__j") + 1) + F.col(f"__part_{name}"))
     return out.select(*df.columns, *rates)
 
 

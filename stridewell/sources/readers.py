@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from stridewell import schemas
 from stridewell.operators import health as h
 
-#: Fixed value: event time at the start of a device file's name, before the first underscore.
-NAME_TIME = r"^(\d{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})[^_]*_.*$"
+#: Event time at the start of a device file's name, before the first underscore. Hadoop can't open local names with
+#: colons, so hyphens may stand for them.
+NAME_TIME = r"^(\d{4}-\d{2}-\d{2}T\d{2})[:-](\d{2})[:-](\d{2})[^_]*_.*$"
 
 
 def _struct(ddl: str) -> T.StructType:
@@ -22,7 +23,8 @@ def _struct(ddl: str) -> T.StructType:
 
 def filename_time(name: Column) -> Column:
     """Event time of a device file's name, UTC; null if the name has another form."""
-    return F.try_to_timestamp(F.nullif(F.regexp_extract(name, NAME_TIME, 1), F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    time = F.when(name.rlike(NAME_TIME), F.regexp_replace(name, NAME_TIME, "$1:$2:$3"))
+    return F.try_to_timestamp(time, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
 
 
 def activities(spark: SparkSession, path: str) -> DataFrame:
