@@ -46,3 +46,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of a text, 0 if it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 and so on: names with dots or backticks can't go to Python workers."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

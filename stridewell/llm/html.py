@@ -101,8 +101,8 @@ def main_text(html: str | None, short: int = 70, long: int = 200, link_density:
     is high; short blocks are undecided, or bad if they hold links; longer ones are good if stop words are frequent, near if less so,
     bad otherwise. Inside an <article> or <main> element, the first one being taken where there are any, only markup and
     links make a block bad. Second pass: undecided and near blocks take the label of the nearest decided block, the
-    earlier of two at the same distance; headings look only ahead. In an article, blocks outside it are no neighbours,
-    and one without decided blocks is good. A null or empty page gives an empty text.
+    earlier of two at the same distance; headings look only ahead. In an article, blocks outside it and those that are bad
+    by markup are no neighbours, and without decided blocks all are good. A null or empty page gives an empty text.
     """
     if not html:
         return ""
@@ -134,7 +134,7 @@ def main_text(html: str | None, short: int = 70, long: int = 200, link_density:
         else:
             label = "bad"
         labels.append(label)
-    decided = [i for i, x in enumerate(labels) if x in ("good", "bad") and not (inside and not found[i][3])]
+    decided = [i for i, x in enumerate(labels) if x in ("good", "bad") and not (inside and (found[i][2] or not found[i][3]))]
     kept = []
     k = 0
     for i, (text, _, _, article, heading) in enumerate(found):

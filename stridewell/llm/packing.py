@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, tune
+from .common import by_place, partitions, tune
 from .tokens import encoder
 
 #: Limits of a sequence: tokens, segments, tokens that bear loss.
@@ -68,11 +68,11 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, chunk: int
     tune(spark)
     n_partitions = n_partitions or partitions(spark)
     examples = examples.drop("sequence_id", "offset")
+    titles = examples.columns
+    measured = [f"c{titles.index(c)}" for c in ("length", "loss_tokens")]
+    examples = by_place(examples)
     names = examples.columns
-    deal = "__deal"
-    while deal in names:
-        deal += "_"
-    dealt = examples.withColumn(deal, F.xxhash64(*[F.col(f"`{c}`") for c in names])).repartition(n_partitions, deal).sortWithinPartitions(deal, *[f"`{c}`" for c in names if not isinstance(examples.schema[c].dataType, (T.MapType, T.VariantType))])
+    dealt = examples.withColumn("deal", F.xxhash64(*names)).repartition(n_partitions, "deal").sortWithinPartitions("deal", *[c for c in names if not isinstance(examples.schema[c].dataType, (T.MapType, T.VariantType))])
     schema = T.StructType([*examples.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, chunk: int
             nonlocal done, waiting
             table = pa.Table.from_batches(waiting).select(names)
             waiting = []
-            length, loss = (table[c].to_numpy().astype("float64") for c in ("length", "loss_tokens"))
+            length, loss = (table[c].to_numpy().astype("float64") for c in measured)
             sizes = np.stack([np.nan_to_num(length), np.ones(len(length)), np.nan_to_num(loss)], 1).astype(np.int64)
             bins, at = pack_chunk(sizes, limits)
             order = np.lexsort((at, bins))
@@ -105,7 +105,7 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, chunk: int
         if waiting:
             yield from flush()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema).toDF(*titles, "sequence_id", "offset")
 
 
 def token_pieces(docs: DataFrame, limit: int = LIMITS[0], end_id: int = 1, with_ids: bool = True, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import by_place, tune
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -268,8 +268,8 @@ def find(docs: DataFrame, field: Field, certain: float = 0.9, redact: bool = Fal
     overlap, the one that starts first, then the longer one. A null text counts as empty (and stays null); an empty table gives an empty result.
     """
     tune(docs.sparkSession)
-    source = docs if redact else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    at = source.columns.index("text")
+    source = by_place(docs) if redact else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    at = docs.columns.index("text") if redact else 1
 
     def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         if not text or not MARKED.search(text):
@@ -299,7 +299,8 @@ def find(docs: DataFrame, field: Field, certain: float = 0.9, redact: bool = Fal
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
             )
 
-    return source.mapInArrow(run, source.schema if redact else "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    out = source.mapInArrow(run, source.schema if redact else "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return out.toDF(*docs.columns) if redact else out
 
 
 def documents(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
         fresh = np.flatnonzero(new & ~seen)
         seen |= new
         s = vectors[fresh] @ query if 4 * len(fresh) < n else (vectors @ query)[fresh]
+        if s.dtype == object:
+            s = np.minimum(np.maximum(s, -(2**63)), 2**63 - 1)
         rows.append(fresh)
         scores.append(s)
         best = np.sort(np.concatenate([best, s]))[-k:]
@@ -55,9 +57,8 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
     return r[keep], s[keep], end
 
 
-def _whole(vector: Column) -> Column:
-    """floor(SCALE * x) of each component, as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+def _scaled(vector: Column) -> Column:
+    return F.transform(vector, lambda x: x.cast("double") * SCALE)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -70,7 +71,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
 
     Candidates and queries are cut into blocks; each pair of blocks meets once, on a key of query block and salt, and
     brings at most k rows (and ties of the kth) a query, so that no task holds more than two blocks. Products are exact: in double
-    precision as far as that is exact, else in whole numbers of any size; a score beyond 64 bits is given as the limit.
+    precision as far as that is exact, else in whole numbers of any size; a score beyond 64 bits counts as the limit.
     """
     spark = vectors.sparkSession
     tune(spark)
@@ -79,7 +80,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
     def valid(df: DataFrame) -> DataFrame:
         v = F.col("embedding")
         fine = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-        return df.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), _whole(v).alias("v"))
+        return df.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), _scaled(v).alias("v"))
 
     asked = valid(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -90,7 +91,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
             def row(d: int) -> pa.RecordBatch:
                 part = held.pop(d)
                 ids = np.array([i for i, _ in part], np.int64)
-                return pa.RecordBatch.from_pydict({"d": [d], "ids": [ids.tobytes()], "vectors": [np.stack([v for _, v in part]).astype(np.float64).tobytes()]})
+                return pa.RecordBatch.from_pydict({"d": [d], "ids": [ids.tobytes()], "vectors": [np.floor(np.stack([v for _, v in part])).astype(np.float64).tobytes()]})
 
             for b in batches:
                 for i, v in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1), strict=True):
@@ -131,10 +132,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
                     other = cid[rows] != i
                     rows, scores = rows[other], scores[other]
                     kth[i] = sorted([*best, *scores.tolist()])[-k:]
-                    order = np.lexsort((cid[rows], -scores.astype(np.float64) if exact else np.array([-int(s) for s in scores], object).argsort(kind="stable").argsort(kind="stable")))
-                    if not exact:
-                        order = np.array(sorted(range(len(rows)), key=lambda t: (-scores[t], cid[rows[t]])), int)
-                    out += [(int(i), int(cid[rows[t]]), max(-(2**63), min(2**63 - 1, int(scores[t])))) for t in order[:k]]
+                    order = sorted(range(len(rows)), key=lambda t: (-scores[t], cid[rows[t]]))
+                    out += [(int(i), int(cid[rows[t]]), int(scores[t])) for t in order[:k]]
                 for s in range(0, len(out), 10_000):
                     x = list(zip(*out[s : s + 10_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], ["query_id", "vec_id", "score"])

@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import tune
+from .common import by_place, tune
 
 #: Labelled documents that are learned from at most, the first by a hash of doc_id.
 SAMPLE = 16_000
@@ -243,7 +244,7 @@ def judge(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, windo
     tune(docs.sparkSession)
     docs = docs.drop("score", "predicted", "n_hits")
     at = docs.columns.index("text")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names, plain = docs.columns, by_place(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Matcher(lexicon.terms, window)
@@ -252,7 +253,8 @@ def judge(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, windo
             scores = [score(h, lexicon) for h in hits]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([len(h) for h in hits], pa.int64())], [*b.schema.names, "score", "predicted", "n_hits"])
 
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int, n_hits long")
+    fields = [*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_hits", T.LongType())]
+    return plain.mapInArrow(run, T.StructType(fields)).toDF(*names, "score", "predicted", "n_hits")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
