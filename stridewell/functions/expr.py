@@ -129,3 +129,9 @@ def polarization(z1: Column, z2: Column, z3: Column) -> Column:
     ratio = F.try_divide(p1, p2) * p3 * 100
     out = F.when(p3 == 0, F.lit(0.0)).when((p2 == 0) & (p3 < 0.01), F.lit(0.0)).when(p2 == 0, without)
     return F.coalesce(out.when(ratio > 0, F.log10(F.when(ratio > 0, ratio))).otherwise(0.0), F.lit(0.0))
+
+
+def ascii_name(text: Column) -> Column:
+    """A file name of ASCII letters, digits, dots and hyphens: accents are dropped, other runs of characters become one underscore."""
+    folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
+    return F.regexp_replace(folded, "[^a-z0-9.-]+", "_")

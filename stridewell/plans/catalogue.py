@@ -135,6 +135,11 @@ def report_mostrecent(spark, sf_dir):
     return reports.mostrecent(_a(spark, sf_dir)).select("athlete_id", "n_activities", text("first_start"), text("last_start"), "km_total")
 
 
+@query(f"WITH {A} SELECT athlete_id, count(*) AS n_runs, {r6('sum(distance_m / 1000) AS km', 'avg(avg_pace_min_km) AS pace_mean')} FROM r WHERE date >= DATE '2001-07-01' AND date < DATE '2001-08-01' GROUP BY 1")
+def report_month_footer(spark, sf_dir):
+    return reports.month_footer(reports.runs_month(_a(spark, sf_dir), date(2001, 7, 15)))
+
+
 RUN = "athlete_id, activity_id, year(session_start)::INTEGER AS year, month(session_start)::INTEGER AS month, day(session_start)::INTEGER AS day"
 
 
@@ -869,5 +874,18 @@ def longest_by_week(spark, sf_dir):
     return metrics.runs(_a(spark, sf_dir)).groupBy("athlete_id", monday_week(F.col("date")).alias("week")).agg((F.max("distance_m") / 1000).alias("km_longest"))
 
 
+@query(f"""WITH {EF}, e AS (SELECT athlete_id, min(date) AS lo, max(date) AS hi FROM o GROUP BY 1), w AS (SELECT athlete_id, date_trunc('week', date)::DATE AS week, sum(distance_m) / 1000 AS km FROM r GROUP BY 1, 2)
+SELECT athlete_id, week, {r6('km')} FROM w JOIN e USING (athlete_id) WHERE week BETWEEN lo AND hi""")
+def ef_panel(spark, sf_dir):
+    return reports.series_panel(metrics.efficiency(_a(spark, sf_dir)), _a(spark, sf_dir))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'lopning_i_malmo_' WHEN 1 THEN 'cafe_run-' ELSE 'x_' END || event_type || '.json' AS file FROM events")
+def workout_file_name(spark, sf_dir):
+    k = F.col("event_id") % 3
+    title = F.when(k == 0, "Löpning i Malmö / ").when(k == 1, "Café Run-").otherwise("X???")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", expr.ascii_name(F.concat(title, F.upper("event_type"), F.lit(".json"))).alias("file"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["readiness"](spark, sf_dir)

@@ -94,6 +94,11 @@ def runs_month(activities: DataFrame, as_of: date, n: int | None = None, span: R
     return out if n is None else ts.latest(out, keys, [F.col("session_start").desc(), F.col("activity_id").desc()], n)
 
 
+def month_footer(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Count, kilometres and mean pace of a list of runs."""
+    return runs.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.sum("km").alias("km"), F.avg("pace").alias("pace_mean"))
+
+
 def recent_runs(activities: DataFrame, n: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     r = ts.latest(activities.where(is_running()), keys, [F.col("session_start").desc(), F.col("activity_id").desc()], n)
     return r.select(*keys, "activity_id", "session_start", (F.col("distance_m") / 1000).alias("km"), pace_mmss(F.col("avg_pace_min_km")).alias("pace"), F.col("avg_hr").alias("hr"))
@@ -160,3 +165,12 @@ def acwr_panel(activities: DataFrame, as_of: date) -> DataFrame:
     from datetime import timedelta
 
     return metrics.acwr(activities, as_of).where(within(F.col("date"), as_of - timedelta(days=365), None))
+
+
+def series_panel(series: DataFrame, activities: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Weekly kilometres between the first and the last week of a series, for the bars under it."""
+    from stridewell.functions.dates import monday_week
+
+    ends = series.groupBy(*keys).agg(F.min("date").alias("__a"), F.max("date").alias("__z"))
+    weeks = metrics.runs(activities).groupBy(*keys, monday_week(F.col("date")).alias("week")).agg((F.sum("distance_m") / 1000).alias("km"))
+    return weeks.join(ends, list(keys)).where((F.col("week") >= F.col("__a")) & (F.col("week") <= F.col("__z"))).drop("__a", "__z")

@@ -175,3 +175,18 @@ def test_sinks(spark, tmp_path):
         sinks.save_table(df, str(tmp_path / "x.foo"))
     e = sinks.envelope(df)
     assert e["summary"] == {"record_count": 2, "date_range": ["2024-01-01", "2024-01-02"]} and len(e["details"]) == 2
+
+
+def test_cached_results_are_worked_out_once(spark, tmp_path):
+    from stridewell.operators.incremental import cached
+
+    seen = []
+
+    def compute(new):
+        seen.append(sorted(r["activity_id"] for r in new.collect()))
+        return new.where("activity_id % 2 = 0").select("activity_id", (F.col("activity_id") * 10).alias("x"))
+
+    path = str(tmp_path / "cache")
+    run = lambda n, p: sorted(r["x"] for r in cached(spark.range(n).withColumnRenamed("id", "activity_id"), compute, path, {"p": p}).collect())
+    assert run(4, 1) == [0, 20] and run(4, 1) == [0, 20] and run(6, 1) == [0, 20, 40] and run(2, 2) == [0]
+    assert seen == [[0, 1, 2, 3], [4, 5], [0, 1]]
