@@ -16,7 +16,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 def tune(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes as well as by rows, so that long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:

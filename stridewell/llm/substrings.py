@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -17,7 +18,9 @@ from .shingles import mix
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 13, 4
 #: Bytes of texts that are worked on at once, and of packed strings that a task holds before it sends them.
-CHUNK, FLUSH = 1 << 20, 24 << 20
+CHUNK, FLUSH = 1 << 19, 8 << 20
+#: Digests of whole texts that a task remembers.
+TEXTS = 1 << 17
 #: A string with more places than this in what a task sends has them looked up by a join, not by its bucket.
 HEAVY = 64
 RADIX = 0x9E3779B97F4A7C15
@@ -29,7 +32,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """RADIX ** i and its inverse modulo 2 ** 64, for i < n."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(r))], dtype=np.uint64) for r in (RADIX, pow(RADIX, -1, 1 << 64))]
     return _powers[0], _powers[1]
 
@@ -139,16 +142,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
     docs: doc_id and key (both long, not null; together they name a row) and text. Spans may touch or overlap.
 
-    1. Super-k-mers are counted by slots of their minimiser; a slot with more than a quarter of a bucket's share is hot,
-    and its windows go to buckets by their own hash instead. 2. Each task merges equal super-k-mers and packs those of a
-    bucket, with the places where they stand, into one string. 3. A bucket sorts the hashes of its windows, compares neighbours
-    word by word, and so has the least doc_id of each window. Places of a string that stands in more than HEAVY places of
-    one task don't go to its bucket, but to a join with what the bucket finds, which Spark can split.
+    1. Super-k-mers are counted by slots of their minimiser, and each task reports those with more than a bucket's share
+    of its own. A slot whose reported counts are more than a bucket's share of all is hot, which any slot with twice that
+    share is; its windows go to buckets by their own hash instead. 2. Each task takes a text only once, with its least doc_id,
+    as its other copies go whole; it merges equal super-k-mers and packs those of a bucket, with the places where they
+    stand, into one string. 3. A bucket sorts the hashes of its windows, compares neighbours
+    word by word, and so has the least doc_id of each window. Places of strings that stand in more than HEAVY places of
+    what a task sends don't go to buckets, but as one table to a join with what the buckets find about these strings.
     """
     spark = docs.sparkSession
     tune(spark)
     n = partitions(spark)
-    buckets = 4 * n
+    buckets = 8 * n
     slots = 1 << (16 * buckets - 1).bit_length()
     source = docs.where("doc_id is not null and text is not null").select("doc_id", "key", F.col("text").cast("string").alias("text"))
 
@@ -161,23 +166,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                 one = mix((words.sums[words.ends[last + window - 1]] - words.sums[words.starts[first]]) * words.down[words.starts[first]]) if len(first) else first
             _, at = np.unique(one, return_index=True)
             np.add.at(total, (low[at] & np.uint64(slots - 1)).astype(np.int64), 1)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["slot", "n"])
+        there = np.flatnonzero(total > total.sum() / buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, there]), pa.array(np.r_[total.sum(), total[there]])], ["slot", "n"])
 
     sizes = source.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     sizes = written(sizes, "slots")
-    everything = sizes.agg(F.sum("n")).first()[0] or 0
-    #: at most 4 * buckets numbers
-    hot = np.array(sorted(r["slot"] for r in sizes.where(F.col("n") > everything / (4 * buckets)).collect()), np.int64)
+    everything = sizes.where("slot = -1").agg(F.sum("n")).first()[0] or 0
+    #: fewer numbers than there are buckets
+    hot = np.array(sorted(r["slot"] for r in sizes.where((F.col("slot") >= 0) & (F.col("n") > everything / buckets)).collect()), np.int64)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, int] = {}
-        where: list[np.ndarray] = []
         places: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        least_of: dict[bytes, int] = {}  # whole texts that the task has had, by digest
+        size = sent_tables = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal table, where, places, size
+            nonlocal table, places, size, sent_tables
             strings = list(table)
             number, bucket, length, doc, key, start = (np.concatenate(x) for x in zip(*places, strict=True))
             order = np.argsort(number, kind="stable")
@@ -194,23 +199,42 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                 rows = np.concatenate([np.arange(at[s], at[s + 1]) for s in own[light]]) if light.any() else np.empty(0, np.int64)
                 out.append((int(b), 0, None, packed([strings[s] for s in own], length[own], np.where(light, counts[own], 0), least[own], doc[rows], key[rows], start[rows])))
                 held += len(out[-1][3])
-                for s in own[~light]:
-                    for i in range(at[s], at[s + 1], 8192):
-                        part = slice(i, min(i + 8192, at[s + 1]))
-                        blob = zstandard.compress(np.stack([doc[part], key[part], start[part]]).astype("<i8").tobytes())
-                        out.append(((int(b) + 1 + i) % buckets, 1, xxh3_128_digest(strings[s]), blob))
-                        held += len(blob)
                 if held > 4 << 20:
                     yield made(out)
                     out, held = [], 0
+            heavy = np.flatnonzero(counts > HEAVY)
+            if len(heavy):
+                sent_tables += 1
+                name = TaskContext.get().partitionId().to_bytes(8, "little") + sent_tables.to_bytes(8, "little")
+                rows = np.concatenate([np.arange(at[s], at[s + 1]) for s in heavy])
+                blob = zstandard.compress(np.stack([np.repeat(np.arange(len(heavy)), counts[heavy]), doc[rows], key[rows], start[rows]]).astype("<i8").tobytes())
+                out.append((sent_tables % buckets, 1, name, blob))
+                out += [(int(s) % buckets, 3, xxh3_128_digest(strings[s]), name + k.to_bytes(8, "little")) for k, s in enumerate(heavy)]
             if out:
                 yield made(out)
-            table, where, places, size = {}, [], [], 0
+            table, places, size = {}, [], 0
 
         def made(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["bucket", "kind", "string", "packed"])
 
         for (ids, keys), texts in chunked(batches, 2):
+            fresh, copies = [], []
+            for i, (doc, whole) in enumerate(zip(ids, texts, strict=True)):
+                name = xxh3_128_digest(whole)
+                if (known := least_of.get(name)) is not None and known <= doc:
+                    if known < doc and (n_words := len(whole.split())) >= window:
+                        copies.append((doc, keys[i], n_words))
+                    continue
+                if len(least_of) >= TEXTS:
+                    least_of.clear()
+                least_of[name] = doc
+                fresh.append(i)
+            if copies:
+                blob = zstandard.compress(np.array(copies, "<i8").T.tobytes())
+                yield made([(copies[0][0] % buckets, 2, None, blob)])
+            ids, keys, texts = ([x[i] for i in fresh] for x in (ids, keys, texts))
+            if not texts:
+                continue
             words, text, begin = texts_words(texts)
             first, last, low = super_k_mers(words, text, window, minimiser)
             if not len(first):
@@ -243,8 +267,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                     yield from of_bucket(held, window)
                     held = []
                 at = bucket
-                if kind:
-                    through.append((1, None, None, None, None, string, blob))
+                if kind == 2:
+                    through += [(0, *x, None, None) for d, k, n in np.frombuffer(zstandard.decompress(blob), "<i8").reshape(3, -1).T.tolist() for x in [(d, k, 0, n)]]
+                elif kind:
+                    through.append((kind, None, None, None, None, string, blob))
                 else:
                     held.append(blob)
             if through:
@@ -259,36 +285,53 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob, least in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc, key, start = np.frombuffer(zstandard.decompress(blob), "<i8").reshape(3, -1)
-                low = np.frombuffer(least, "<i8")
-                out = [(0, int(d), int(k), int(s + x), int(s + z + window - 1), None, None) for d, k, s in zip(doc, key, start, strict=True) if low.min() < d for x, z in flagged_runs(low < d)]
-                yield found_batch(out)
-
-    heavy = found.where("kind = 1").select("string", F.col("places").alias("who")).join(found.where("kind = 2").select("string", "places"), "string")
-    return light.unionByName(heavy.select("who", "places").mapInArrow(looked_up, FOUND).select(*SPANS))
+            for blob, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                number, doc, key, start = np.frombuffer(zstandard.decompress(blob), "<i8").reshape(4, -1)
+                low = {int.from_bytes(m["member"][16:], "little"): np.frombuffer(m["least"], "<i8") for m in members}
+                spans = [(d, k, s + x, s + z + window - 1) for n, d, k, s in zip(number.tolist(), doc.tolist(), key.tolist(), start.tolist(), strict=True) for x, z in flagged_runs(low[n] < d)]
+                merged: list[list[int]] = []
+                for d, k, x, z in sorted(spans):
+                    if merged and merged[-1][:2] == [d, k] and x <= merged[-1][3]:
+                        merged[-1][3] = max(z, merged[-1][3])
+                    else:
+                        merged.append([d, k, x, z])
+                yield found_batch([(0, *m, None, None) for m in merged])
+
+    least = found.where("kind = 2").select("string", F.col("places").alias("least"))
+    members = found.where("kind = 3").select("string", F.col("places").alias("member")).join(least, "string")
+    members = members.groupBy(F.substring("member", 1, 16).alias("string")).agg(F.collect_list(F.struct("member", "least")).alias("members"))
+    heavy = found.where("kind = 1").select("string", "places").join(members, "string")
+    return light.unionByName(heavy.select("places", "members").mapInArrow(looked_up, FOUND).select(*SPANS))
 
 
 def of_bucket(blobs: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     """Spans of the places of a bucket's strings (kind 0), and the windows' least doc_ids of strings whose places are elsewhere (kind 2)."""
     length, counts, least, doc, key, start, buffer = (np.concatenate(x) for x in zip(*map(unpacked, blobs), strict=True))
-    words = Words(buffer)
+    ends = np.flatnonzero(buffer == 32)
+    starts = np.r_[0, ends[:-1] + 1]
     string = np.repeat(np.arange(len(length)), length)
     n = len(string) - window + 1
-    if n <= 0:
-        return
     at = np.flatnonzero(string[:n] == string[window - 1 :])
-    hashes = words.runs(window)[at]
+    hashes = np.empty(len(at), np.uint64)
+    #: windows don't cross strings, so they are hashed some strings at a time
+    word = np.r_[0, np.cumsum(length)]
+    i = done = 0
+    while i < len(length):
+        j = max(i + 1, int(np.searchsorted(ends[word[1:] - 1], starts[word[i]] + CHUNK)))
+        part = string[word[i] : word[j]]
+        own = np.flatnonzero(part[: len(part) - window + 1] == part[window - 1 :])
+        hashes[done : done + len(own)] = Words(buffer[starts[word[i]] : ends[word[j] - 1] + 1]).runs(window)[own]
+        i, done = j, done + len(own)
     order = np.argsort(hashes, kind="stable")
     same = hashes[order[1:]] == hashes[order[:-1]]
     raw = buffer.tobytes()
-    a, z = words.starts[at][order], words.ends[at + window - 1][order]
+    a, z = starts[at][order], ends[at + window - 1][order]
     pairs = np.flatnonzero(same)
     #: equal hashes are compared word by word
     equal = [raw[i:j] == raw[k:m] for i, j, k, m in zip(a[pairs].tolist(), z[pairs].tolist(), a[pairs + 1].tolist(), z[pairs + 1].tolist(), strict=True)]
     if not all(equal):
         order = order[sorted(range(len(order)), key=lambda i: (int(hashes[order[i]]), raw[a[i] : z[i]]))]
-        a, z = words.starts[at][order], words.ends[at + window - 1][order]
+        a, z = starts[at][order], ends[at + window - 1][order]
         same = np.array([raw[a[i] : z[i]] == raw[a[i + 1] : z[i + 1]] for i in range(len(order) - 1)], bool)
     group = np.r_[0, np.cumsum(~same)]
     heads = np.flatnonzero(np.r_[True, ~same])
@@ -311,7 +354,7 @@ def of_bucket(blobs: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     first_word = np.cumsum(length) - length
     sent: set[bytes] = set()
     for s in np.flatnonzero(counts == 0):
-        name = xxh3_128_digest(raw[words.starts[first_word[s]] : words.ends[first_word[s] + length[s] - 1]])
+        name = xxh3_128_digest(raw[starts[first_word[s]] : ends[first_word[s] + length[s] - 1]])
         if name not in sent:
             sent.add(name)
             out.append((2, None, None, None, None, name, low[begin[s] : begin[s + 1]].astype("<i8").tobytes()))
