@@ -680,10 +680,10 @@ def nearest_join_120s(spark, sf_dir):
     return joins.nearest_join(left, right, "session_start", "device_ts", "activity_id", "device_id").select("activity_id", "device_id", "device_value")
 
 
-@query("SELECT event_id FROM events n WHERE event_id % 2 = 1 AND EXISTS (SELECT 1 FROM events k WHERE k.event_id % 2 = 0 AND k.ts > n.ts - INTERVAL 2 SECOND AND k.ts < n.ts + INTERVAL 2 SECOND)")
+@query("SELECT event_id FROM events n WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM events k WHERE k.event_type <> 'click' AND k.ts > n.ts - INTERVAL 2 SECOND AND k.ts < n.ts + INTERVAL 2 SECOND)")
 def near_dup_2s(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return joins.near_duplicates(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "ts", "ts").select("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return joins.near_duplicates(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), "ts", "ts").select("event_id")
 
 
 @query(f"WITH {H} SELECT athlete_id, date, metric, {r6('value')}, source, seq FROM h QUALIFY row_number() OVER (PARTITION BY athlete_id, date, metric ORDER BY seq DESC) = 1")
@@ -836,9 +836,9 @@ def hr_tenmin_mean(spark, sf_dir):
     return sessions.ten_minute_means(t.samples(spark, sf_dir))
 
 
-@query(f"WITH {A}, {S} SELECT activity_id, {r6('avg_hr')} FROM a WHERE avg_hr IS NOT NULL AND activity_id < 3000 AND activity_id NOT IN (SELECT activity_id FROM s WHERE heart_rate > 0)")
+@query(f"WITH {A}, {S} SELECT activity_id, {r6('avg_hr')} FROM a WHERE avg_hr IS NOT NULL AND activity_id NOT IN (SELECT activity_id FROM s WHERE heart_rate > 0)")
 def repair_candidates(spark, sf_dir):
-    return sessions.repair_candidates(_a(spark, sf_dir).where("activity_id < 3000"), t.samples(spark, sf_dir)).select("activity_id", "avg_hr")
+    return sessions.repair_candidates(_a(spark, sf_dir), t.samples(spark, sf_dir)).select("activity_id", "avg_hr")
 
 
 @query(f"""WITH {ZH}, m AS (SELECT athlete_id, strftime(date, '%Y-%m') AS year_month, {SHARES}, count(*) AS n_activities, {MINUTES},
