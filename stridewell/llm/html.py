@@ -94,8 +94,8 @@ class _Blocks(HTMLParser):
             self.blocks[-1][1] += len(data.strip())
 
 
-def main_text(html: str | None, short: int = 70, long: int = 200, link_density: float = 0.2, stop_low: float = 0.12, stop_high: float = 0.25) -> str:
-    """The blocks of a page that belong to its article, joined by a newline.
+def main_text(html: str | None, short: int = 70, long: int = 200, link_density: float = 0.2, stop_low: float = 0.12, stop_high: float = 0.25, between: str = "\n") -> str:
+    """The blocks of a page that belong to its article, joined by `between`.
 
     First pass: a block is bad if its markup says so (navigation, footer, form, advert and the like) or its link density
     is high; short blocks are undecided, or bad if they hold links; longer ones are good if stop words are frequent, near if less so,
@@ -153,15 +153,16 @@ def main_text(html: str | None, short: int = 70, long: int = 200, link_density:
                 label = labels[after]
         if label == "good":
             kept.append(text)
-    return "\n".join(kept)
+    return between.join(kept)
 
 
 def extract(pages: DataFrame, **rules) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page, in one map over the table; other columns are ignored.
 
-    A null or empty html gives an empty text; repeated rows are pages of their own; an empty table gives an empty result.
+    Blocks are joined by an empty line, two newlines. A null or empty html gives an empty text; repeated rows are pages of their own; an empty table gives an empty result.
     """
     tune(pages.sparkSession)
+    rules = {"between": "\n\n"} | rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

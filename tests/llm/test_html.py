@@ -31,3 +31,8 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "x"), (1, "u", "<article><p>é</p></article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in extract(df).collect()), key=str) == [(1, "u", "é", 1), (1, "u", "é", 1), (None, None, "", 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_rows_join_blocks_by_an_empty_line(spark):
+    df = spark.createDataFrame([(1, "u", "<article><h1>Head</h1><p>One</p><p>é</p></article>")], "page_id long, url string, html string")
+    assert [tuple(r) for r in extract(df).collect()] == [(1, "u", "Head\n\nOne\n\né", 12)]
