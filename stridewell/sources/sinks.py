@@ -12,6 +12,8 @@ from stridewell.operators.timeseries import keep_first
 
 #: Formats by file suffix.
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "xlsx": "xlsx"}
+#: Rows of an xlsx file at most: it is written by the driver, which holds all of them.
+XLSX_ROWS = 100_000
 
 
 def save_activities(df: DataFrame, path: str, keys: Sequence[str] = ("athlete_id", "session_start")) -> None:
@@ -21,12 +23,18 @@ def save_activities(df: DataFrame, path: str, keys: Sequence[str] = ("athlete_id
 
 
 def save_table(df: DataFrame, path: str, kind: str | None = None) -> str:
-    """Writes a result as csv, json lines, parquet, or xlsx (a small table, by way of the driver); the format is given or that of the suffix."""
+    """Writes a result as csv, json lines, parquet, or xlsx; the format is given or that of the suffix.
+
+    An xlsx file goes through the driver; a result of more than XLSX_ROWS rows raises a ValueError, and nothing is written.
+    """
     kind = kind or os.path.splitext(path)[1].lstrip(".") or os.environ.get("STRIDEWELL_FORMAT", "csv")
     if kind not in FORMATS:
         raise ValueError(f"unknown format: {kind}")
     if kind == "xlsx":
-        df.limit(1_000_000).toPandas().to_excel(path, index=False)
+        table = df.limit(XLSX_ROWS + 1).toPandas()
+        if len(table) > XLSX_ROWS:
+            raise ValueError(f"more than {XLSX_ROWS} rows are too many for xlsx; write csv or parquet, which executors write in parts")
+        table.to_excel(path, index=False)
     else:
         writer = df.write.mode("overwrite")
         (writer.option("header", "true") if kind == "csv" else writer).format(FORMATS[kind]).save(path)

@@ -177,6 +177,15 @@ def test_sinks(spark, tmp_path):
     assert e["summary"] == {"record_count": 2, "date_range": ["2024-01-01", "2024-01-02"]} and len(e["details"]) == 2
 
 
+def test_xlsx_holds_all_rows_or_none(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr("pandas.DataFrame.to_excel", lambda table, path, **_: written.append(len(table)))
+    assert sinks.save_table(spark.range(3), str(tmp_path / "x.xlsx")) == "xlsx"
+    with pytest.raises(ValueError, match="csv or parquet"):
+        sinks.save_table(spark.range(1_000_001), str(tmp_path / "y.xlsx"))
+    assert written == [3]
+
+
 def test_cached_results_are_worked_out_once(spark, tmp_path):
     from stridewell.operators.incremental import cached
 
