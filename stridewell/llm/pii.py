@@ -265,7 +265,7 @@ def find(docs: DataFrame, field: Field, certain: float = 0.9, redact: bool = Fal
     """doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans and n_added of each whole text, in one map.
 
     With redact: all columns of docs instead, every span of the text replaced by its kind in angle brackets; where spans
-    overlap, the one that starts first, then the longer one. A null text counts as empty (and stays null); an empty table gives an empty result.
+    overlap, the one that starts first, then the longer one, and what of another lies beyond it by that one's kind. A null text counts as empty (and stays null); an empty table gives an empty result.
     """
     tune(docs.sparkSession)
     source = by_place(docs) if redact else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -281,8 +281,8 @@ def find(docs: DataFrame, field: Field, certain: float = 0.9, redact: bool = Fal
         base, more = spans(text)
         out, end = [], 0
         for s, e, kind in sorted(((s, -e, k) for k, s, e in [*base, *more])):
-            if s >= end:
-                out += [text[end:s], f"<{KINDS[kind]}>"]
+            if -e > end:
+                out += [text[end : max(s, end)], f"<{KINDS[kind]}>"]
                 end = -e
         return text if not out else "".join([*out, text[end:]])
 

@@ -85,3 +85,19 @@ def test_rows(spark, field, documents, nothing):
     assert "<card>" in out[3] and "4111" not in out[3] and out[None] is None
     assert pii.find(documents, pii.fit(documents), redact=True).columns == documents.columns
     assert pii.find(nothing, pii.fit(nothing)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a 10.0.0.18 4111 1111 1111 1111 b", "a <ip><card> b"),
+        ("a +1 415 555 0100.ann@x.org b", "a <phone><email> b"),
+        ("a +4111111111111111 b, c@d.e", "a +<card> b, <email>"),
+        ("a +12345678901234@x.org b", "a <email> b"),
+    ],
+)
+def test_overlapping_spans_are_redacted_whole(spark, text, want):
+    """A field that adds nothing; the third text's number is too long for a phone, the fourth's phone lies within the address."""
+    nothing = pii.Field(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((len(pii.LABELS),) * 2), 0.0)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["text"] for r in pii.find(docs, nothing, redact=True).collect()] == [want]
