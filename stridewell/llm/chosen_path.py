@@ -29,7 +29,7 @@ SEED = np.uint64(0xD6E8FEB86659FD93)
 def runs_for(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs until a pair at the similarity shares a path of full depth in one of them with probability `recall`.
 
-    The shared paths of such a pair branch like a process with one child on average: it lives on for d levels with p(d) = 1 - exp(-p(d-1)).
+    The shared paths of such a pair branch like a process with one child on average, or more: it lives on for d levels with p(d) = 1 - exp(-p(d-1)).
     """
     p = 1.0
     for _ in range(depth):
@@ -241,7 +241,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     spark = docs.sparkSession
     tune(spark)
     n = partitions(spark)
-    overlap = 2 * similarity / (1 + similarity)
+    overlap = similarity  # the least |x & y| / max(|x|, |y|) of a pair at the similarity: one set holds the other
     runs = runs_for(similarity, recall, depth)
     all_sets = written(described(docs, runs, depth, overlap, width), "sets")
     named = all_sets.where("doc_id is not null and key is not null")

@@ -96,6 +96,26 @@ def test_recall_of_the_paths():
     assert hits / n >= 0.97
 
 
+@pytest.mark.parametrize("cuts", [(160, 160), (160, 170), (160, 180)])
+def test_recall_of_the_paths_that_a_join_takes(spark, monkeypatch, cuts):
+    """Also where one set holds the other: 160 / 200 shingles, as when a text has a quarter appended."""
+    asked = []
+    monkeypatch.setattr(cp, "described", lambda docs, runs, depth, overlap, width: asked.append((runs, depth, overlap)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        cp.join(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    rng = np.random.default_rng(5)
+    n, hits = 3000, 0
+    for _ in range(0, n, 300):
+        pairs = [np.split(rng.integers(0, 2**63, 200, dtype=np.uint64), cuts) for _ in range(300)]
+        sets = [np.r_[common, x] for common, *own in pairs for x in own]
+        owner, path, _ = cp.paths(np.concatenate(sets), np.array([len(s) for s in sets]), *asked[0])[-1]
+        found = [set() for _ in sets]
+        for i, p in zip(owner.tolist(), path.tolist(), strict=True):
+            found[i].add(p)
+        hits += sum(bool(found[i] & found[i + 1]) for i in range(0, len(sets), 2))
+    assert hits / n >= 0.985
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components(spark, seed):
     rng = random.Random(seed)
