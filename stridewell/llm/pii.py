@@ -87,12 +87,60 @@ class Tokens:
     features: np.ndarray  # of each token, bits
     label: np.ndarray  # of the patterns' kinds, else 0
     chain: np.ndarray  # pairs of neighbours
-    skip: np.ndarray  # pairs of tokens with the same content, each with the next one
+    skip: np.ndarray  # pairs of tokens with the same content, each with one token that has it
 
 
 FEATURES = ("always", "at sign", "1-3 digits", "4-6 digits", "7-8 digits", "9-12 digits", "13-19 digits", "20 digits or more", "letters", "three dots", "plus", "bracket", "hyphen", "equals or quote", "check digit", "number before", "number after", *(f"cue {k}" for k in KINDS))
 
 
+def same_content(words: list[str], joined: set[tuple[int, int]], number: list[bool], label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of tokens with the same content: equal addresses, and numbers, also in groups, whose last 7 digits or more are equal.
+
+    Neighbouring number tokens of one label make a run of digits, and each of its tokens may be where a number ends.
+    Numbers are matched backwards from there, digit by digit, up to 19, so that a country code or another grouping
+    doesn't part them. All go with one that the patterns have found, else with the first: evidence takes two steps at most.
+    """
+    parts: list[tuple[list[str], list[int], list[int]]] = []  # digits, tokens, end of each token's digits
+    for i, w in enumerate(words):
+        if number[i] and (d := "".join(c for c in w if c in "0123456789")):
+            if not (parts and parts[-1][1][-1] == i - 1 and (i - 1, i) in joined and label[i - 1] == label[i]):
+                parts.append(([], [], []))
+            text, tokens, ends = parts[-1]
+            text.append(d)
+            tokens.append(i)
+            ends.append((ends[-1] if ends else 0) + len(d))
+    runs = [("".join(text), tokens, ends) for text, tokens, ends in parts]
+    hub: dict[str, tuple[int, int]] = {}
+    pairs: set[tuple[int, int]] = set()
+    for known, whole in ((True, True), (True, False), (False, True), (False, False)):
+        for r, (text, tokens, ends) in enumerate(runs):
+            if (label[tokens[0]] > 0) == known:
+                for k in range(len(ends) - 1, -1, -1) if not whole else (len(ends) - 1,):
+                    if (e := ends[k]) >= 7:
+                        hub.setdefault(text[e - 7 : e], (r, k))
+    for r, (text, tokens, ends) in enumerate(runs):
+        for k, e in enumerate(ends):
+            if e < 7 or (at := hub[text[e - 7 : e]])[0] == r:
+                continue
+            other, others, stops = runs[at[0]]
+            stop, j, n = stops[at[1]], at[1], 7
+            while n < min(19, e, stop) and text[e - n - 1] == other[stop - n - 1]:
+                n += 1
+            i = k
+            while i >= 0 and j >= 0 and max(e - ends[i], stop - stops[j]) < n:
+                pairs.add((min(tokens[i], others[j]), max(tokens[i], others[j])))
+                left, right = e - (ends[i - 1] if i else 0), stop - (stops[j - 1] if j else 0)
+                i, j = i - (left <= right), j - (right <= left)
+    address: dict[str, int] = {}
+    mails = [(w.strip(",.;:!?\"'()<>").lower(), i) for i, w in enumerate(words) if "@" in w]
+    for known in (True, False):
+        for same, i in mails:
+            if (label[i] > 0) == known:
+                address.setdefault(same, i)
+    pairs |= {(min(i, address[same]), max(i, address[same])) for same, i in mails if same and address[same] != i}
+    return sorted(pairs)
+
+
 def tokens_of(text: str, base: list[Span]) -> Tokens:
     words: list[str] = []
     spans: list[tuple[int, int]] = []
@@ -110,8 +158,7 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
     n = len(words)
     f = np.zeros((n, len(FEATURES)), bool)
     number = [not any(c.isalpha() for c in w) and "@" not in w for w in words]
-    last: dict[str, int] = {}
-    skip, chain = [], []
+    chain = []
     for i, w in enumerate(words):
         digits = "".join(c for c in w if c in "0123456789")
         k = len(digits)
@@ -128,11 +175,6 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
             f[i, 15], f[i - 1, 16] = number[i - 1], number[i]
         for j, kind in enumerate(KINDS):
             f[i, 17 + j] = any(c in CUES[kind] for c in cues[i])
-        same = w.strip(",.;:!?\"'()<>").lower() if "@" in w else digits if k >= 7 and not f[i, 8] else ""
-        if same:
-            if same in last:
-                skip.append((last[same], i))
-            last[same] = i
     label = np.zeros(n, np.int64)
     starts = np.array([s for s, _ in spans], np.int64)
     for kind, s, e in reversed(base):
@@ -142,7 +184,7 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
                 label[a] = kind + 1
             a += 1
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Tokens(spans, f, label, pairs(chain), pairs(skip))
+    return Tokens(spans, f, label, pairs(chain), pairs(same_content(words, set(chain), number, label)))
 
 
 @dataclass
@@ -152,8 +194,11 @@ class Field:
     skip: float  # of equal labels
 
 
-def marginals(f: Field, t: Tokens, rounds: int = 12, damping: float = 0.5) -> np.ndarray:
-    """Label probabilities of each token by loopy sum-product message passing; the patterns' tokens are held at their labels."""
+def marginals(f: Field, t: Tokens, rounds: int = 1000, damping: float = 0.5, settled: float = 1e-7) -> np.ndarray:
+    """Label probabilities of each token by loopy sum-product message passing; the patterns' tokens are held at their labels.
+
+    Messages pass until none changes by more than `settled`, or for `rounds` where loops keep them from settling.
+    """
     unary = t.features @ f.node
     held = t.label > 0
     unary[held] = -30.0
@@ -173,7 +218,10 @@ def marginals(f: Field, t: Tokens, rounds: int = 12, damping: float = 0.5) -> np
             top = out.max(1, keepdims=True)
             new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            message = damping * message + (1 - damping) * new
+            change = (1 - damping) * (new - message)
+            message += change
+            if np.abs(change).max() <= settled:
+                break
         np.add.at(unary, dst, message)
     p = np.exp(unary - unary.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)

@@ -57,6 +57,21 @@ def test_field_adds_repeated_numbers_and_leaves_the_rest(field):
     assert pii.added_spans(clean, [], field) == []
 
 
+def test_numbers_in_groups_are_found_again():
+    """Other groupings, a national form, and an occurrence far from the one that the patterns find."""
+    t = "fax +49 30 1234 5678 of erin, or 030 1234 5678 there"
+    tokens = pii.tokens_of(t, pii.base_spans(t))
+    assert {tuple(t[slice(*tokens.spans[i])] for i in p) for p in tokens.skip} == {("30", "030"), ("1234", "1234"), ("5678", "5678")}
+    t = "card 4111 1111 1111 1111 or 4111111111111111"
+    assert len(pii.tokens_of(t, []).skip) == 4
+    t = " or 4155550100 then" * 41 + " call +14155550100 now"
+    tokens = pii.tokens_of(t, pii.base_spans(t))
+    held = int(tokens.label.argmax())
+    assert {held} == set(tokens.skip.max(1)) and len(tokens.skip) == 41
+    plain = pii.Field(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((len(pii.LABELS),) * 2), 4.0)
+    assert pii.marginals(plain, tokens)[:, 4].min() > 0.9
+
+
 def test_message_passing_is_exact_on_a_chain(field):
     """Without skip links the graph of a short chain is a tree, on which the messages end at the exact marginals."""
     rng = np.random.default_rng(2)
