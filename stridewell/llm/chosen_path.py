@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import partitions, tune, written
+from .common import by_place, partitions, row_hash, tune, written
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -21,8 +21,8 @@ DEPTH = 3
 LEAF = 256
 #: Sets of a block of a larger bucket or component; a task holds two blocks at most.
 BLOCK, SET_BLOCK = 1024, 2048
-#: Minhashes of a sketch, and the share of equal ones from which a pair is compared in full: a pair at the similarity falls short once in about 10,000.
-SKETCH, ALIKE = 32, 16
+#: Minhashes of a sketch, and the number of equal ones from which a pair is compared in full: a pair at the similarity falls short once in about 30,000.
+SKETCH, ALIKE = 64, 38
 SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,19 +64,25 @@ def paths(flat: np.ndarray, sizes: np.ndarray, runs: int, depth: int, overlap: f
 
 
 def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """16 bits of SKETCH minhashes of each set; no set may be empty."""
+    """8 bits of SKETCH minhashes of each set; no set may be empty."""
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), SKETCH), "<u2")
+    out = np.empty((len(sizes), SKETCH), np.uint8)
     with np.errstate(over="ignore"):
         for k in range(SKETCH):
             h = (flat ^ (SEED * np.uint64(2 * k + 1))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
-            out[:, k] = np.minimum.reduceat(h * np.uint64(0xD6E8FEB86659FD93), starts) >> np.uint64(20) & np.uint64(0xFFFF)
+            out[:, k] = np.minimum.reduceat(h * np.uint64(0xD6E8FEB86659FD93), starts) >> np.uint64(20) & np.uint64(0xFF)
     return out
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and mark, a digest of the text: rows that agree in doc_id and mark are one document."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("mark"))
+
+
 def described(docs: DataFrame, runs: int, depth: int, overlap: float, width: int) -> DataFrame:
-    """doc_id, key (of the shingle set; null without words), sketch and the paths of each level."""
+    """doc_id, mark (of the text), key (of the shingle set; null without words), sketch and the paths of each level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -84,7 +90,7 @@ def described(docs: DataFrame, runs: int, depth: int, overlap: float, width: int
                 sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sizes = np.array([len(sets[i]) for i in full], np.int64)
-                columns: dict = {"doc_id": b.column(0), "key": pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())}
+                columns: dict = {"doc_id": b.column(0), "mark": b.column(2), "key": pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())}
                 place = np.full(len(sets), -1)
                 place[full] = np.arange(len(full))
                 flat = np.concatenate([sets[i] for i in full]) if full else np.empty(0, np.uint64)
@@ -99,8 +105,8 @@ def described(docs: DataFrame, runs: int, depth: int, overlap: float, width: int
                         columns[name] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x[order].view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id long, key binary, sketch binary, " + ", ".join(f"path{k} array<long>, up{k} array<long>" for k in range(depth))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, mark binary, key binary, sketch binary, " + ", ".join(f"path{k} array<long>, up{k} array<long>" for k in range(depth))
+    return texts_of(docs).mapInArrow(run, schema)
 
 
 def blocked(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
@@ -144,7 +150,7 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[int, int]] = []
     for rows in groups(batches):
         ids = np.array([r[1] for r in rows])
-        m = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), -1)
+        m = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
         order = np.argsort(ids, kind="stable")
         ids, m = ids[order], m[order]
         left, right = [], []
@@ -222,22 +228,8 @@ def verified(similarity: float):
     return run
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
-    """doc_id, set_id, class_id and n_links of each document.
-
-    set_id is the least doc_id with the same set of shingles of `width` words (a shorter text: all its words); n_links
-    is the number of other sets with a Jaccard similarity of at least `similarity`; class_id is the least doc_id of the
-    documents that such links join. Pairs are found with probability `recall` or more and checked on their whole sets,
-    and all pairs of a group that links join are compared, so that a link that no path has found still counts.
-
-    A document without words, or with a null text, is a class of its own; a null doc_id has no set, class or links.
-    Repeated rows have the same class. Other columns are ignored; an empty table gives an empty result.
-
-    1. Each text becomes its shingle set, a sketch and the paths of each run; equal sets become one. 2. Paths are
-    counted; buckets of more than LEAF sets are split by the next level of paths. In a bucket, sets with like sketches
-    are joined by one link each; larger buckets at the last level are taken by pairs of blocks. 3. Components of these
-    links are the groups whose sets are compared in full, again by pairs of blocks if there are many. 4. Components of the links that hold.
-    """
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id, mark and key of their set; and for each set its key, set_id and mark (of its least document), class_id, first (whether it is its class's) and n_links."""
     spark = docs.sparkSession
     tune(spark)
     n = partitions(spark)
@@ -246,15 +238,15 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     all_sets = written(described(docs, runs, depth, overlap, width), "sets")
     named = all_sets.where("doc_id is not null and key is not null")
     rest = F.struct("sketch", *[f"{x}{k}" for k in range(depth) for x in ("path", "up")])
-    sets = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by(rest, "doc_id").alias("x")).select("id", "key", "x.*")
+    sets = named.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("who"), F.first(rest).alias("x")).select("who.*", "key", "x.*")
     # the same doc_id may stand for several texts; sets go by a number of their own
-    sets = written(sets.withColumn("set", F.xxhash64("key")), "distinct")
+    sets = written(sets.withColumnRenamed("doc_id", "id").withColumn("set", F.xxhash64("key")), "distinct")
 
-    leaves = None
+    leaves = large = None
     for k in range(depth):
         rows = sets.select("set", "sketch", F.explode(F.arrays_zip(F.col(f"path{k}").alias("path"), F.col(f"up{k}").alias("up"))).alias("p")).select("set", "sketch", "p.path", "p.up")
-        if k:
-            rows = rows.join(large.select(F.col("path").alias("up")), "up", "left_semi")  # noqa: F821
+        if large is not None:
+            rows = written(rows.join(large.select(F.col("path").alias("up")), "up", "left_semi"), "paths")
         counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         large = counts.where(F.col("n") > LEAF)
         here = rows.select("set", "sketch", "path").join(counts if k == depth - 1 else counts.where(F.col("n") <= LEAF), "path")
@@ -264,36 +256,70 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     near = components(candidates)
 
     size = near.groupBy("root").agg(F.count("*").alias("n"))
-    chosen = near.join(size, "root").join(sets.select(F.col("set").alias("node"), "id", "key"), "node").select("id", "key", "node", "root", "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id")
+    chosen = near.join(size, "root").join(sets.select(F.col("set").alias("node"), "id", "mark"), "node")
+    # equal rows bring a set once
+    texts = texts_of(docs).withColumnRenamed("doc_id", "id").join(chosen, ["id", "mark"]).select("text", "node", "root", "n").dropDuplicates(["node"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
                 x = [shingle_set(t, width).tobytes() for t in b.column(0).to_pylist()]
-                own = pa.array([xxh3_128_digest(s) == k for s, k in zip(x, b.column(1).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(x, pa.binary())], ["node", "root", "n", "tokens"]).filter(own)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.binary())], ["node", "root", "n", "tokens"])
 
-    with_sets = texts.select("text", "key", "node", "root", "n").mapInArrow(sets_of, "node long, root long, n long, tokens binary")
+    with_sets = texts.mapInArrow(sets_of, "node long, root long, n long, tokens binary")
     pairs = blocked(with_sets, "root", "node", SET_BLOCK).select("group", "node", "block", "other", "tokens")
     checked = written(pairs.repartition(n, "group").sortWithinPartitions("group", "node").mapInArrow(verified(similarity), "what long, a long, b long"), "checked")
 
     links = checked.where("what = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("n_links"))
     member = components(checked.where("what = 1").select("a", "b"))
-    ids = sets.select("set", "key", F.col("id").alias("set_id"))
+    ids = sets.select("set", "key", "mark", F.col("id").alias("set_id"))
     whole = ids.join(member.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = whole.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    whole = whole.join(least, "root").select("key", "set_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = all_sets.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(whole, "key", "left")
+    least = whole.groupBy("root").agg(F.min(F.struct("set_id", "key")).alias("least"))
+    whole = whole.join(least, "root").select("key", "mark", "set_id", F.col("least.set_id").alias("class_id"), (F.col("key") == F.col("least.key")).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return all_sets.select("doc_id", "mark", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), whole
+
+
+def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+    """doc_id, set_id, class_id and n_links of each document.
+
+    set_id is the least doc_id with the same set of shingles of `width` words (a shorter text: all its words); n_links
+    is the number of other sets with a Jaccard similarity of at least `similarity`; class_id is the least doc_id of the
+    documents that such links join. Pairs are found with probability `recall` or more and checked on their whole sets,
+    and all pairs of a group that links join are compared, so that a link that no path has found still counts.
+
+    A document without words, or with a null text, is a class of its own; a null doc_id has no set, class or links.
+    Repeated rows have the same set, class and links, and count as one set; rows that share a doc_id but not a text go by
+    their texts. Other columns are ignored; an empty table gives an empty result.
+
+    1. Each text becomes its shingle set, a sketch and the paths of each run; equal sets become one. 2. Paths are
+    counted; buckets of more than LEAF sets are split by the next level of paths, whose rows are worked out once and
+    written. In a bucket, sets with like sketches are joined by one link each; larger buckets at the last level are taken
+    by pairs of blocks. 3. Components of these links are the groups whose sets are compared in full, again by pairs of
+    blocks if there are many: a set is copied once for each SET_BLOCK sets of its group, which only groups of more than
+    that feel. 4. Components of the links that hold.
+    """
+    rows, whole = classes(docs, similarity, recall, width, depth)
+    out = rows.select("doc_id", "key").join(whole, "key", "left")
     known = F.col("set_id").isNotNull()
     return out.select("doc_id", *[F.when(known, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("set_id", "class_id")], F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their class, equal rows once; all columns. Rows without words or doc_id stay."""
-    kept = join(docs, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    own = rows.join(kept, "__id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id", F.xxhash64("text")).orderBy("__id"))
-    own = own.withColumn("__copy", first).where("__copy = 1")
-    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of docs for each class, with all columns of whatever names: of its least doc_id, the least set.
+
+    Rows go by doc_id and text, so that a copy goes even where its doc_id also stands for another text. Of several
+    rows with the doc_id and text that stay, one with the least hash of all columns stays. Rows without words or
+    without a doc_id all stay; an empty table gives an empty result.
+    """
+    rows, whole = classes(docs, **settings)
+    titles, places = docs.columns, by_place(docs)
+    place = {c: F.col(f"c{titles.index(c)}") for c in ("doc_id", "text")}
+    text = place["text"].cast("string")
+    named = places.select(F.struct(*places.columns).alias("row"), place["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("mark"))
+    often = rows.where("key is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"))
+    stay = whole.where("first").select(F.col("set_id").alias("doc_id"), "mark").join(often, ["doc_id", "mark"])
+    wordless = rows.where("key is null and doc_id is not null").select("doc_id", F.coalesce("mark", F.lit(b"")).alias("mark"), F.lit(1).cast("long").alias("rows")).distinct()
+    found = named.join(stay.unionByName(wordless), ["doc_id", "mark"])
+    once = found.where("rows = 1").select("row")
+    repeated = found.where("rows > 1").groupBy("doc_id", "mark").agg(F.min_by("row", row_hash(places, "row.")).alias("row")).select("row")
+    return once.unionByName(repeated).unionByName(named.where("doc_id is null").select("row")).select("row.*").toDF(*titles)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but these six ASCII characters; bytes.split() and this pattern agree on that.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,21 +21,42 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in tests, a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder in local mode, as in tests; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="stridewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables in the shared folder that nobody has removed yet, in the order of writing.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which outlives executors."""
+    """Cuts the lineage with a table in the shared folder, which outlives executors; `removed` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """Paths of the tables that `written` has made and nobody has removed. Results that are still to be read need theirs."""
+    return list(_TABLES)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of `written` that no result needs any more."""
+    for path in paths:
+        if path in _TABLES:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _TABLES.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -51,3 +73,19 @@ def word_count(text: Column) -> Column:
 def by_place(df: DataFrame) -> DataFrame:
     """df with columns c0, c1 and so on: names with dots or backticks can't go to Python workers."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def sortable(t: T.DataType) -> bool:
+    return not _has_map(t)
+
+
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t.fields)
+    return _has_map(t.elementType) if isinstance(t, T.ArrayType) else isinstance(t, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame, prefix: str = "") -> Column:
+    """A 64-bit hash of all columns of df (with plain names), maps and variants included."""
+    columns = [(F.col(prefix + f.name), f.dataType) for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if _has_map(t) else c for c, t in columns])

@@ -84,16 +84,41 @@ def test_documents(spark, documents, nothing):
     assert cp.join(nothing).count() == 0
 
 
-def test_recall_of_the_paths():
-    """Pairs at the similarity share a path of full depth in one of the runs about as often as asked."""
-    rng = np.random.default_rng(5)
-    runs, n, hits = cp.runs_for(), 300, 0
-    for _ in range(n):
-        common, a, b = np.split(rng.integers(0, 2**63, 200, dtype=np.uint64), [160, 180])
-        x, y = np.r_[common, a], np.r_[common, b]  # Jaccard 160 / 200
-        owner, path, _ = cp.paths(np.r_[x, y], np.array([180, 180]), runs, cp.DEPTH, 2 * 0.8 / 1.8)[-1]
-        hits += bool(set(path[owner == 0].tolist()) & set(path[owner == 1].tolist()))
-    assert hits / n >= 0.97
+def test_repeated_rows_and_ids(spark):
+    """Rows that repeat three times, and doc_ids that stand for several texts, count once a text."""
+    base = families(3, n_families=4, copies=5, changes=3)
+    rows = [r for r in base for _ in range(3)] + [(i, base[(i * 7 + 3) % len(base)][1]) for i, _ in base[:8]] + [(5, "t u v"), (1, "t u v"), (5, "w x y z a b c")]
+    check(spark, rows)
+    docs = spark.createDataFrame([(1, "t u", "x", {"k": 1}), (5, "t u", "x", None), (5, "u v", "x", None), (5, "u v", "y", {"k": 2}), (5, "u v", "y", {"k": 2}), (7, "", None, None), (7, "", None, None), (8, None, None, None), (None, "t u", None, None)], "doc_id long, text string, `__id` string, `row` map<string,int>")
+    kept = cp.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter({(1, "t u"): 1, (5, "u v"): 1, (7, ""): 2, (8, None): 1, (None, "t u"): 1})
+    assert all((r["__id"], r["row"]) in [("x", None), ("y", {"k": 2}), ("x", {"k": 1}), (None, None)] for r in kept.collect())
+    assert cp.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_a_large_family_and_a_chain(spark):
+    """3,000 near copies, more than a block, and a chain whose ends are unlike: class and links of every set."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(90)}" for _ in range(60)]
+    rows = []
+    for i in range(3000):
+        w = list(words)
+        w[rng.choice((0, 1, 58, 59))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    chain = [f"c{k}" for k in range(200)]
+    rows += [(5000 + k, " ".join(chain[4 * k : 4 * k + 60])) for k in range(30)]
+    sets = [shingle_set(t) for _, t in rows]
+    tokens = {x: k for k, x in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    m = np.zeros((len(sets), len(tokens)), np.float32)
+    for k, x in enumerate(sets):
+        m[k, [tokens[y] for y in x.tolist()]] = 1
+    both, size = m @ m.T, m.sum(1)
+    links = (both >= 0.8 * (size[:, None] + size[None] - both) - 1e-4).sum(1) - 1
+    got = {r["doc_id"]: r for r in cp.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i]["n_links"] for i, _ in rows] == links.tolist()
+    assert {got[i]["class_id"] for i in range(3000)} == {0} and {got[5000 + k]["class_id"] for k in range(30)} == {5000}
 
 
 @pytest.mark.parametrize("cuts", [(160, 160), (160, 170), (160, 180)])
