@@ -12,7 +12,7 @@ from stridewell.session import session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     folder = tempfile.mkdtemp(prefix="spark-")
-    s = session("tests", **{"spark.master": "local[4]", "spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.local.dir": folder, "spark.sql.warehouse.dir": f"{folder}/warehouse"})
+    s = session("tests", **{"spark.master": "local[4]", "spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.local.dir": folder, "spark.checkpoint.dir": f"{folder}/shared", "spark.sql.warehouse.dir": f"{folder}/warehouse"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
