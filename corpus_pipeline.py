@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridewell.llm import chosen_path, mixing, packing, pii, toxicity
-from stridewell.llm.common import read, written
+from stridewell.llm.common import read, removed, tables, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -42,10 +42,15 @@ STAGES: list[tuple[str, Stage]] = [("toxicity", toxic), ("jaccard_join", near_co
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's result is written to the shared folder before the next reads it."""
+    """Applies the stages to documents; each one's result is written to the shared folder before the next reads it.
+
+    What a stage has written on the way, and its predecessor's result, is removed when its own result stands.
+    """
     docs = read(spark, sf_dir, "documents")
+    before = tables()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        removed(spark, [t for t in tables()[:-1] if t not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
