@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,6 +20,9 @@ BOILERPLATE = frozenset("nav footer header aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind closes an open element of the second kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A start tag closes no element outside the innermost of these.
+LISTS = ("ul", "ol", "dl", "table", "select", "menu")
 #: Words in a class, an id or a role that name something other than the article.
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising|orial)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|cookies?|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|tags|tagcloud|pagination|pager|widget|toolbar|search|skip|complementary|contentinfo)(?:$|[\s_-])", re.I)
 #: Frequent words of English, German, French and Spanish.
@@ -32,27 +36,38 @@ SPACE = re.compile(r"\s+")
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page in order: [pieces of text, characters in links, boilerplate by markup, number of the article around it, heading]."""
+    """Blocks of a page in order: [pieces of text, characters in links, boilerplate by markup, number of the article around it, heading].
+
+    Each tag takes constant time, however deep it stands: `at` holds where in the stack each kind of element is open.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, int]] = []  # element, skipped, boilerplate, article
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
         self.blocks: list[list] = []
-        self.links = self.articles = 0
+        self.articles = 0
         self.fresh = True
 
+    def nearest(self, tags: Iterable[str]) -> int:
+        """Place in the stack of the innermost open element of these kinds; -1 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, place: int | None = None) -> None:
+        """Closes the element at a place of the stack and all inside it; without a place, the page."""
+        if place is None:
+            super().close()
+            return
+        while len(self.open) > place:
+            self.at[self.open.pop()[0]].pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.fresh = True
-        if tag in CLOSES:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in CLOSES[tag]:
-                    del self.open[k:]
-                    break
-                if self.open[k][0] in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
+        if tag in CLOSES and (k := self.nearest(CLOSES[tag])) > self.nearest(LISTS):
+            self.close(k)
         if tag == "p" and self.open and self.open[-1][0] == "p":
-            self.open.pop()
+            self.close(len(self.open) - 1)
         if tag == "br":
             self.handle_data(" ")
         if tag in VOID:
@@ -64,43 +79,38 @@ class _Blocks(HTMLParser):
             article = self.articles
         named = " ".join(str(own.get(k) or "") for k in ("class", "id", "role"))
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", str(own.get("style") or ""))
-        if tag not in ("html", "body", "main") and (tag != "article" or any(t == "article" for t, *_ in self.open)):
+        if tag not in ("html", "body", "main") and (tag != "article" or self.at["article"]):
             boiler = boiler or (tag in BOILERPLATE and not (tag == "header" and article)) or bool(hidden) or bool(named.strip() and NAMES.search(named))
-        if tag == "a":
-            self.links += 1
+        self.at[tag].append(len(self.open))
         self.open.append((tag, skipped or tag in SKIPPED, boiler, article))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.fresh = True
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if tag == "a":
-                    self.links = max(0, self.links - 1)
-                del self.open[k:]
-                break
+        if self.at.get(tag):
+            self.close(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        tag, skipped, boiler, article = self.open[-1] if self.open else ("", False, False, 0)
+        _, skipped, boiler, article = self.open[-1] if self.open else ("", False, False, 0)
         if skipped:
             return
         if self.fresh or not self.blocks:
             if not data.strip():
                 return
-            self.blocks.append([[], 0, boiler, article, any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, *_ in self.open)])
+            self.blocks.append([[], 0, boiler, article, self.nearest(HEADINGS) >= 0])
             self.fresh = False
         self.blocks[-1][0].append(data)
-        if self.links and any(t == "a" for t, *_ in self.open):
+        if self.at["a"]:
             self.blocks[-1][1] += len(data.strip())
 
 
-def main_text(html: str | None, short: int = 70, long: int = 200, link_density: float = 0.2, stop_low: float = 0.12, stop_high: float = 0.25, between: str = "\n") -> str:
+def main_text(html: str | None, short: int = 70, long: int = 200, link_density: float = 0.2, stop_low: float = 0.12, stop_high: float = 0.25, between: str = "\n\n") -> str:
     """The blocks of a page that belong to its article, joined by `between`.
 
     First pass: a block is bad if its markup says so (navigation, footer, form, advert and the like) or its link density
     is high; short blocks are undecided, or bad if they hold links; longer ones are good if stop words are frequent, near if less so,
-    bad otherwise. Inside an <article> or <main> element, the first one being taken where there are any, only markup and
-    links make a block bad. Second pass: undecided and near blocks take the label of the nearest decided block, the
+    bad otherwise. Where there are <article> or <main> elements, the outermost one with the most text is taken, the
+    first of equals, and inside it only markup and links make a block bad. Second pass: undecided and near blocks take the label of the nearest decided block, the
     earlier of two at the same distance; headings look only ahead. In an article, blocks outside it and those that are bad
     by markup are no neighbours, and without decided blocks all are good. A null or empty page gives an empty text.
     """
@@ -114,7 +124,12 @@ def main_text(html: str | None, short: int = 70, long: int = 200, link_density:
         text = SPACE.sub(" ", "".join(pieces)).strip()
         if text:
             found.append((text, linked / max(1, len(text)), boiler, article, heading))
-    inside = any(article and not boiler for _, _, boiler, article, _ in found)
+    sizes = Counter()
+    for text, _, boiler, article, _ in found:
+        sizes[article] += len(text) if article and not boiler else 0
+    chosen = max(sizes, key=lambda k: (sizes[k], -k), default=0)
+    inside = sizes[chosen] > 0
+    found = [(*x[:3], inside and x[3] == chosen, x[4]) for x in found]
     labels: list[str] = []
     for text, links, boiler, article, heading in found:
         words = [w.strip(".,;:!?\"'()[]%*#&$|").lower() for w in text.split()]
@@ -159,10 +174,9 @@ def main_text(html: str | None, short: int = 70, long: int = 200, link_density:
 def extract(pages: DataFrame, **rules) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page, in one map over the table; other columns are ignored.
 
-    Blocks are joined by an empty line, two newlines. A null or empty html gives an empty text; repeated rows are pages of their own; an empty table gives an empty result.
+    Blocks are joined by two newlines. A null or empty html gives an empty text; repeated rows are pages of their own; an empty table gives an empty result.
     """
     tune(pages.sparkSession)
-    rules = {"between": "\n\n"} | rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from stridewell.llm.html import extract, main_text
+from stridewell.llm.html import BOILERPLATE, NAMES, STOP, extract, main_text
 
 PROSE = "The model of the house is in a street that was built by one of the people who had been there, and it is not far from the river that they all know."
 
@@ -9,13 +12,14 @@ PROSE = "The model of the house is in a street that was built by one of the peop
     ("html", "text"),
     [
         (None, ""), ("", ""), ("<p></p>", ""),
-        ("<html><head><title>t</title><script>var a='</p>';</script><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>Short.<p>One &amp; two&nbsp;\n three<br>four</article><footer>&copy; x</footer>", "Head\nShort.\nOne & two three four"),
-        ("<article><p>A</p><aside>no</aside><div class='comments'><p>I say</p></div><form>f<input></form><!-- c --><p>B<b>b</b>c</p></article>", "A\nBbc"),
-        (f"<body><div class=ad>{PROSE}</div><p>{PROSE} {PROSE}</p><p>Yes.</p><p>{PROSE} {PROSE}</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></body>", f"{PROSE} {PROSE}\nYes.\n{PROSE} {PROSE}"),
+        ("<html><head><title>t</title><script>var a='</p>';</script><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>Short.<p>One &amp; two&nbsp;\n three<br>four</article><footer>&copy; x</footer>", "Head\n\nShort.\n\nOne & two three four"),
+        ("<article><p>A</p><aside>no</aside><div class='comments'><p>I say</p></div><form>f<input></form><!-- c --><p>B<b>b</b>c</p></article>", "A\n\nBbc"),
+        (f"<body><div class=ad>{PROSE}</div><p>{PROSE} {PROSE}</p><p>Yes.</p><p>{PROSE} {PROSE}</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></body>", f"{PROSE} {PROSE}\n\nYes.\n\n{PROSE} {PROSE}"),
         (f"<body><div id='cookie-notice'>{PROSE}</div><div>menu item</div></body>", ""),
-        ("<article><p>x &lt;b&gt; &#233; &eacute;</p><p>&#x1F600;</p></article>", "x <b> é é\n😀"),
-        ("<article><p>unclosed <b>bold<p>next</article>", "unclosed bold\nnext"),
-        ("<article><header><h1>T</h1></header><p>body</p><article class=comment><p>me too</p></article></article>", "T\nbody"),
+        ("<article><p>x &lt;b&gt; &#233; &eacute;</p><p>&#x1F600;</p></article>", "x <b> é é\n\n😀"),
+        ("<article><p>unclosed <b>bold<p>next</article>", "unclosed bold\n\nnext"),
+        ("<article><header><h1>T</h1></header><p>body</p><article class=comment><p>me too</p></article></article>", "T\n\nbody"),
+        ("<article><p>teaser</p></article><article><p>the longer of two articles</p></article><article class=comment><p>me too, and at length</p></article>", "the longer of two articles"),
     ],
 )
 def test_pages(html, text):
@@ -23,7 +27,7 @@ def test_pages(html, text):
 
 
 def test_very_long_and_deep_pages():
-    assert len(main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").split("\n")) == 20_000
+    assert len(main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").split("\n\n")) == 20_000
     assert main_text("<article>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "</article>") == "x"
 
 
@@ -36,3 +40,112 @@ def test_rows(spark):
 def test_rows_join_blocks_by_an_empty_line(spark):
     df = spark.createDataFrame([(1, "u", "<article><h1>Head</h1><p>One</p><p>é</p></article>")], "page_id long, url string, html string")
     assert [tuple(r) for r in extract(df).collect()] == [(1, "u", "Head\n\nOne\n\né", 12)]
+
+
+def test_time_is_linear_in_depth():
+    def took(n, inside):
+        began = time.perf_counter()
+        main_text("<article>" + "<div>x" * n + inside * n + "</div>" * n + "</article>")
+        return time.perf_counter() - began
+
+    for inside in ("y<b>z</b>", "</span>", "<li>y", "<a href=x>y"):
+        took(100, inside)
+        assert took(50_000, inside) < 40 * took(5_000, inside) + 1, inside
+    assert main_text("<article>" + "<div>" * 50_000 + "x" + "</div>" * 50_000 + "</article>") == "x"
+
+
+def tree(rng, depth=0):
+    """A random element: (tag, class, children); text is a string."""
+    def text():
+        return " ".join(rng.choice(["the", "of", "and", "in", "mirro", "vast", "tande", "&amp;", "lo\n re", "es.", "&eacute;"]) for _ in range(rng.choice([0, 1, 4, 12, 45, 70])))
+
+    tag = rng.choice(["div", "p", "section", "ul", "nav", "aside", "article", "main", "h2", "footer", "span", "b", "a", "script", "blockquote", "header"])
+    if tag in ("p", "h2", "a", "b", "span", "script") or depth > 4:
+        inner = [text()]
+        if tag in ("p", "h2", "span"):
+            inner += [("a" if rng.random() < 0.3 else "b", "", [text()]), text()]
+        return tag, "", inner
+    return tag, rng.choice(["", "", "", "", "x-1", "ad", "related links", "story"]), [tree(rng, depth + 1) if rng.random() < 0.8 else text() for _ in range(rng.randrange(5))]
+
+
+def written(node):
+    if isinstance(node, str):
+        return node
+    tag, name, inner = node
+    return f"<{tag}{f' class="{name}"' if name else ''}>{''.join(map(written, inner))}</{tag}>"
+
+
+def walked(node):
+    """The article of a tree, by walking it and looking at all blocks for each block."""
+    blocks, articles = [], [0]
+    fresh = [True]
+
+    def walk(node, path):
+        if isinstance(node, str):
+            plain = node.replace("&amp;", "&").replace("&eacute;", "é")
+            tags = [t for t, *_ in path]
+            if "script" in tags or (fresh[0] and not plain.strip()) or not plain:
+                return
+            if fresh[0]:
+                blocks.append([[], 0, path[-1][1], path[-1][2], "h2" in tags])
+                fresh[0] = False
+            blocks[-1][0].append(plain)
+            blocks[-1][1] += len(plain.strip()) * ("a" in tags)
+            return
+        tag, name, inner = node
+        bad, article = path[-1][1:]
+        if tag in ("article", "main") and not bad and not article:
+            articles[0] += 1
+            article = articles[0]
+        if tag != "main" and (tag != "article" or any(t == "article" for t, *_ in path)):
+            bad = bad or (tag in BOILERPLATE and not (tag == "header" and article)) or bool(name and NAMES.search(name))
+        block = tag not in ("span", "b", "a", "script")
+        fresh[0] = fresh[0] or block
+        for x in inner:
+            walk(x, [*path, (tag, bad, article)])
+        fresh[0] = fresh[0] or block
+
+    walk(node, [("", False, 0)])
+    rows = [(" ".join("".join(b[0]).split()), *b[1:]) for b in blocks]
+    rows = [r for r in rows if r[0]]
+    size = {k: sum(len(r[0]) for r in rows if r[3] == k and not r[2]) for k in range(1, articles[0] + 1)}
+    top = max(size, key=lambda k: (size[k], -k)) if any(size.values()) else 0
+
+    def first(r):
+        text, linked, bad, article, heading = r
+        inside, share = top and article == top, linked / len(text)
+        if bad or (top and not inside) or share > (0.2 if not top else 0.9 if len(text) >= 70 else 0.5):
+            return "bad"
+        if heading or len(text) < 70:
+            return "bad" if linked and not top else "short"
+        words = [w.strip(".,;:!?\"'()[]%*#&$|").lower() for w in text.split()]
+        stop = sum(w in STOP for w in words) / len(words)
+        return "good" if inside else "good" if stop >= 0.25 and len(text) > 200 else "near" if stop >= 0.12 else "bad"
+
+    label = [first(r) for r in rows]
+    known = [i for i, x in enumerate(label) if x in ("good", "bad") and not (top and (rows[i][2] or rows[i][3] != top))]
+    out = []
+    for i, r in enumerate(rows):
+        mine = label[i]
+        if mine in ("short", "near"):
+            after, before = [k for k in known if k > i], [k for k in known if k < i]
+            if r[4]:
+                mine = label[after[0]] if after else label[before[-1]] if before else "good"
+            elif not known:
+                mine = "good" if top or mine == "near" else "bad"
+            else:
+                mine = label[min(known, key=lambda k: (abs(k - i), k))]
+        if mine == "good":
+            out.append(r[0])
+    return "\n\n".join(out)
+
+
+def test_against_a_walk_over_generated_trees():
+    rng = random.Random(3)
+    full = 0
+    for _ in range(1500):
+        page = ("div", "", [tree(rng) for _ in range(rng.randrange(1, 7))])
+        want = walked(page)
+        full += bool(want)
+        assert main_text(written(page)) == want, written(page)
+    assert full > 500
