@@ -10,35 +10,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, tune
+from .common import partitions, tune, written
 
-#: Rows of a block of candidates and of a block of queries; they bound a worker's memory.
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Rows of a block of candidates and of a block of queries, and candidate blocks that a task holds at a time; they bound a worker's memory.
+BLOCK, QUERY_BLOCK, HELD = 8192, 1024, 16
 SCALE = 1024
 
 
-def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int, floor: int | None = None, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows and scores of the k largest inner products (more, at ties with the kth), and how deep the lists were read.
+def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int, floor: int | None = None, step: int = 8) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Rows and scores of the k largest inner products (more, at ties with the kth), how many rows were scored and how deep the deepest list was read.
 
     lists[d] holds the rows by falling value of dimension d; a negative component of the query reads its list from the
-    end. `step` entries of every list are read first, then as many as before again, and the rows that they show are scored in full. A row that no
-    list has shown yet scores no more than the values at the reading place allow; when that bound is below the kth score
-    (or below `floor`, the kth score elsewhere), no further row can matter. Dimensions in which the query is 0 aren't read.
+    end. Lists are read in rounds, each in proportion to the size of its component: `step` entries on average first, then
+    as many as before again. The rows that they show are scored in full. A row that no list has shown yet scores no more
+    than the values at the reading places allow; when that bound is below the kth score (or below `floor`, the kth score
+    elsewhere), no further row can matter. Dimensions in which the query is 0 aren't read.
     """
     n = len(vectors)
     if not query.any():
-        return np.arange(n), np.zeros(n, query.dtype), 0
+        return np.arange(n), np.zeros(n, query.dtype), n, 0
+    used = np.flatnonzero(query != 0)
+    q, falling = query[used], query[used] > 0
+    share = np.abs(q).astype(np.float64)
+    share = share / share.mean()
     seen = np.zeros(n, bool)
     rows: list[np.ndarray] = []
     scores: list[np.ndarray] = []
     best = np.empty(0, query.dtype)
-    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    at = end = 0
-    while end < n:
-        at, end = end, min(n, max(2 * end, step))
+    depth, average = np.zeros(len(used), np.int64), 0
+    while True:
+        average = max(2 * average, step)
+        was, depth = depth, np.minimum(n, np.ceil(average * share)).astype(np.int64)
+        at = was.min() + np.arange(depth.max() - was.min())
         new = np.zeros(n, bool)
-        new[lists[:, at:end][up]] = True
-        new[lists[:, n - end : n - at][down]] = True
+        for way in (True, False):
+            d = np.flatnonzero(falling == way)
+            part = lists[used[d]][:, at if way else n - 1 - at]
+            new[part[(at >= was[d, None]) & (at < depth[d, None])]] = True
         fresh = np.flatnonzero(new & ~seen)
         seen |= new
         s = vectors[fresh] @ query if 4 * len(fresh) < n else (vectors @ query)[fresh]
@@ -47,21 +55,22 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
         rows.append(fresh)
         scores.append(s)
         best = np.sort(np.concatenate([best, s]))[-k:]
-        bound = sum(query[up] * vectors[lists[up, end - 1], up]) + sum(query[down] * vectors[lists[down, n - end], down])
+        last = lists[used, np.where(falling, depth - 1, n - depth)]
+        bound = sum(q * vectors[last, used])
         kth = max([x for x in ((best[0] if len(best) == k else None), floor) if x is not None], default=None)
         if (kth is not None and bound < kth) or seen.all():
             break
     r, s = np.concatenate(rows), np.concatenate(scores)
     least = best[0] if len(best) else 0
     keep = s >= least
-    return r[keep], s[keep], end
+    return r[keep], s[keep], len(r), int(depth.max())
 
 
 def _scaled(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") * SCALE)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK, trace: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score: of each query the k rows of largest integer inner product, ties to smaller vec_id.
 
     Both inputs have vec_id and embedding; components become floor(1024 * x). A query's own row, known by its vec_id,
@@ -69,13 +78,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
     nor does a vector of another length than the query's. Repeated candidate rows are candidates each; of repeated
     queries the smallest vector counts. Other columns are ignored; an empty table gives an empty result.
 
-    Candidates and queries are cut into blocks; each pair of blocks meets once, on a key of query block and salt, and
-    brings at most k rows (and ties of the kth) a query, so that no task holds more than two blocks. Products are exact: in double
-    precision as far as that is exact, else in whole numbers of any size; a score beyond 64 bits counts as the limit.
+    With trace: also n_scored, the candidates that were scored in full for the query, and n_candidates.
+
+    Each candidate goes to one task, in a block of its own length and a salt; there are as many salts as hold HELD blocks
+    each, and as many as there are tasks at least. A task sorts the lists of its blocks once; blocks of queries, which
+    are sent to every salt, pass over them one at a time, and bring at most k rows (and ties of the kth) a query and
+    block. Each block starts from the kth score in those before it. Products are exact: in double precision as far as
+    that is exact, else in whole numbers of any size; a score beyond 64 bits counts as the limit.
     """
     spark = vectors.sparkSession
     tune(spark)
-    salts = partitions(spark)
 
     def valid(df: DataFrame) -> DataFrame:
         v = F.col("embedding")
@@ -83,15 +95,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
         return df.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), _scaled(v).alias("v"))
 
     asked = valid(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    salts = max(partitions(spark), vectors.count() // (block * HELD))
 
-    def blocks(size: int):
+    def blocks(size: int, kind: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
             def row(d: int) -> pa.RecordBatch:
                 part = held.pop(d)
                 ids = np.array([i for i, _ in part], np.int64)
-                return pa.RecordBatch.from_pydict({"d": [d], "ids": [ids.tobytes()], "vectors": [np.floor(np.stack([v for _, v in part])).astype(np.float64).tobytes()]})
+                return pa.RecordBatch.from_pydict({"d": [d], "kind": [kind], "ids": [ids.tobytes()], "vectors": [np.floor(np.stack([v for _, v in part])).astype(np.float64).tobytes()]})
 
             for b in batches:
                 for i, v in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1), strict=True):
@@ -104,43 +117,60 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
 
         return run
 
-    made = "d long, ids binary, vectors binary"
-    q = asked.repartition(F.pmod(F.xxhash64("vec_id"), F.lit(salts))).mapInArrow(blocks(query_block), made).withColumnsRenamed({"ids": "query_ids", "vectors": "queries"})
-    q = q.withColumn("j", F.xxhash64("query_ids")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    numbers = q.where("salt = 0").select("j", F.col("d").alias("d"))
-    c = valid(vectors).mapInArrow(blocks(block), made).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    c = c.join(numbers, "d")
-    pairs = q.join(c, ["j", "d", "salt"]).select("d", "query_ids", "queries", "ids", "vectors", "j")
+    made = "d long, kind long, ids binary, vectors binary"
+    some = F.pmod(F.xxhash64("vec_id"), F.lit(partitions(spark)))
+    asked = asked.repartition(some).mapInArrow(blocks(query_block, 1), made).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    given = valid(vectors).mapInArrow(blocks(block, 0), made).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    dealt = given.unionByName(asked).repartition(salts, "d", "salt").sortWithinPartitions("d", "salt", "kind").select("d", "salt", "kind", "ids", "vectors")
+
+    def numbers(m: np.ndarray, exact: bool) -> np.ndarray:
+        return m if exact else np.array([[int(x) for x in v] for v in m], object).reshape(m.shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, kth = None, {}  # of the queries of the block at hand, their k best scores in the task so far
+        group, held = None, []  # ids, vectors, lists and largest component of each candidate block of the salt at hand
         for b in batches:
             for r in range(b.num_rows):
-                d, *blobs, j = (c[r].as_py() for c in b.columns)
-                if j != block:
-                    block, kth = j, {}
-                qid, cid = (np.frombuffer(blobs[i], np.int64) for i in (0, 2))
-                qs, cs = (np.frombuffer(blobs[i], np.float64).reshape(len(ids), d) for i, ids in ((1, qid), (3, cid)))
-                exact = d * float(np.abs(qs).max(initial=0)) * float(np.abs(cs).max(initial=0)) < 2.0**52
-                if not exact:
-                    qs, cs = (np.array([[int(x) for x in v] for v in m], object).reshape(m.shape) for m in (qs, cs))
-                lists = np.argsort(-cs.T.astype(np.float64), axis=1, kind="stable")
-                out: list[tuple[int, int, int]] = []
-                for i, x in zip(qid, qs, strict=True):
-                    best = kth.get(i, [])
-                    rows, scores, _ = threshold_top_k(x, cs, lists, k + int((cid == i).sum()), best[0] if len(best) == k else None)
-                    other = cid[rows] != i
-                    rows, scores = rows[other], scores[other]
-                    kth[i] = sorted([*best, *scores.tolist()])[-k:]
-                    order = sorted(range(len(rows)), key=lambda t: (-scores[t], cid[rows[t]]))
-                    out += [(int(i), int(cid[rows[t]]), int(scores[t])) for t in order[:k]]
-                for s in range(0, len(out), 10_000):
-                    x = list(zip(*out[s : s + 10_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+                d, salt, kind, *blobs = (c[r].as_py() for c in b.columns)
+                if (d, salt) != group:
+                    group, held = (d, salt), []
+                ids = np.frombuffer(blobs[0], np.int64)
+                m = np.frombuffer(blobs[1], np.float64).reshape(len(ids), d)
+                most = float(np.abs(m).max(initial=0))
+                if not kind:
+                    held.append((ids, m, np.argsort(-m.T, axis=1, kind="stable").astype(np.int32), most))
+                    continue
+                top: dict[int, list[int]] = {}  # of each query, its k best scores so far
+                cost: dict[int, list[int]] = {int(i): [0, 0] for i in ids}
+                for cid, raw, lists, largest in held:
+                    exact = d * most * largest < 2.0**52
+                    qs, cs = numbers(m, exact), numbers(raw, exact)
+                    out: list[tuple] = []
+                    for i, x in zip(ids.tolist(), qs, strict=True):
+                        best = top.get(i, [])
+                        own = int((cid == i).sum())
+                        rows, scores, n, _ = threshold_top_k(x, cs, lists, k + own, best[0] if len(best) == k else None)
+                        cost[i][0] += n
+                        cost[i][1] += len(cid) - own
+                        other = cid[rows] != i
+                        rows, scores = rows[other], scores[other]
+                        top[i] = sorted([*best, *scores.tolist()])[-k:]
+                        order = sorted(range(len(rows)), key=lambda t: (-scores[t], cid[rows[t]]))
+                        out += [(i, int(cid[rows[t]]), int(scores[t]), None, None) for t in order[:k]]
+                    for s in range(0, len(out), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out[s : s + 10_000], strict=True)], found_as)
+                if trace:
+                    out = [(i, None, None, *c) for i, c in cost.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], found_as)
+
+    found_as = ["query_id", "vec_id", "score", "n_scored", "n_candidates"]
+    found = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in found_as))
+    if trace:
+        found = written(found, "found")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = found.where("vec_id is not null").withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if trace:
+        out = out.join(found.where("vec_id is null").groupBy("query_id").agg(F.sum("n_scored").alias("n_scored"), F.sum("n_candidates").alias("n_candidates")), "query_id")
+    return out
 
 
 def every_hundredth(embeddings: DataFrame) -> DataFrame:

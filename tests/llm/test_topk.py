@@ -34,8 +34,21 @@ def test_reading_stops_early():
     rng = np.random.default_rng(0)
     v = np.floor(rng.random((4000, 4)) * 10)
     v[17] = 1000
-    rows, scores, depth = topk.threshold_top_k(np.ones(4), v, np.argsort(-v.T, axis=1, kind="stable"), 1)
-    assert rows.tolist() == [17] and scores.tolist() == [4000] and depth < 4000
+    rows, scores, n, depth = topk.threshold_top_k(np.ones(4), v, np.argsort(-v.T, axis=1, kind="stable"), 1)
+    assert rows.tolist() == [17] and scores.tolist() == [4000] and depth < 100 and n < 400
+
+
+def test_few_rows_are_scored_where_few_dimensions_matter(spark):
+    """Vectors whose dimensions fall off by a third, as after a rotation to principal axes: the bound stops the search; with equal ones it can't."""
+    rng = np.random.default_rng(4)
+    for fall, share in ((3.0, 0.2), (1.0, None)):
+        rows = [(i, [float(x) for x in rng.normal(size=16) / fall ** np.arange(16)]) for i in range(3000)]
+        df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(2)
+        got = topk.search(df, df.where("vec_id % 100 = 0"), block=512, query_block=8, trace=True).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
+        assert {r["n_candidates"] for r in got} == {2999}
+        if share:
+            assert sum(r["n_scored"] for r in got) < share * 2999 * len(got)
 
 
 def test_nothing(spark):
