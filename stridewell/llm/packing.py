@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_place, partitions, tune
+from .common import by_place, partitions, row_hash, sortable, tune
 from .tokens import encoder
 
 #: Limits of a sequence: tokens, segments, tokens that bear loss.
-LIMITS = (2048, 64, 2048)
+LIMITS = (2048, 16, 1792)
+#: The first share of a document's tokens is its prompt, which bears no loss. It is cut into pieces of FILLER at most, which fill up
+#: sequences that have reached their tokens with loss.
+PROMPT, FILLER = 0.25, 256
 #: Examples that are packed together; bounds a worker's memory whatever the input's size or skew.
 CHUNK = 8192
 
@@ -72,7 +75,7 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, chunk: int
     measured = [f"c{titles.index(c)}" for c in ("length", "loss_tokens")]
     examples = by_place(examples)
     names = examples.columns
-    dealt = examples.withColumn("deal", F.xxhash64(*names)).repartition(n_partitions, "deal").sortWithinPartitions("deal", *[c for c in names if not isinstance(examples.schema[c].dataType, (T.MapType, T.VariantType))])
+    dealt = examples.withColumn("deal", row_hash(examples)).repartition(n_partitions, "deal").sortWithinPartitions("deal", *[c for c in names if sortable(examples.schema[c].dataType)])
     schema = T.StructType([*examples.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,14 +111,31 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, chunk: int
     return dealt.mapInArrow(run, schema).toDF(*titles, "sequence_id", "offset")
 
 
-def token_pieces(docs: DataFrame, limit: int = LIMITS[0], end_id: int = 1, with_ids: bool = True, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """The ids of each whole text and end_id, cut into pieces of `limit`, of which the last may be shorter.
+def cuts(n: int, limits: tuple[int, int, int] = LIMITS, prompt: float = PROMPT, filler: int = FILLER) -> list[tuple[int, int]]:
+    """End and tokens with loss of each piece of a document of n tokens, whose first int(n * prompt) bear no loss.
 
-    doc_id, start, length, ids_crc32, doc_tokens and, with_ids, ids (binary, little-endian unsigned 32-bit). A null or empty text
-    has the piece [end_id]; repeated rows and null doc_ids are documents of their own.
+    A prompt longer than `filler` is cut into pieces of that length, apart from the rest; other pieces take as many tokens as the limits allow.
+    """
+    free, out, s = int(n * prompt), [], 0
+    while s < n:
+        if s < free and free > filler:
+            e = min(free, s + filler, s + limits[0])
+        else:
+            e = min(n, s + limits[0], max(s, free) + limits[2])
+        out.append((e, max(0, e - max(s, free))))
+        s = e
+    return out
+
+
+def token_pieces(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, end_id: int = 1, with_ids: bool = True, prompt: float = PROMPT, filler: int = FILLER, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """The ids of each whole text and end_id, cut into pieces (see `cuts`) that the limits of a sequence allow.
+
+    doc_id, start, length, loss_tokens, ids_crc32, doc_tokens and, with_ids, ids (binary, little-endian unsigned 32-bit). A null or empty text
+    has the piece [end_id]; repeated rows and null doc_ids are documents of their own; other columns are ignored.
     """
     tune(docs.sparkSession)
-    width = 6 if with_ids else 5
+    names = ["doc_id", "start", "length", "loss_tokens", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    types = [pa.int64()] * 6 + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
@@ -123,17 +143,22 @@ def token_pieces(docs: DataFrame, limit: int = LIMITS[0], end_id: int = 1, with_
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
-                for s in range(0, len(ids), limit):
-                    piece = ids[s : s + limit].tobytes()
-                    out.append((doc, s, len(piece) // 4, zlib.crc32(piece), len(ids), piece)[:width])
+                s = 0
+                for e, loss in cuts(len(ids), limits, prompt, filler):
+                    piece = ids[s:e].tobytes()
+                    out.append((doc, s, e - s, loss, zlib.crc32(piece), len(ids), piece)[: len(names)])
+                    s = e
             for i in range(0, len(out), 4096):
                 cols = list(zip(*out[i : i + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ([pa.int64()] * 5 + [pa.binary()])[:width], strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][:width])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, loss_tokens long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def packed_documents(docs: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
-    """Pieces of documents with the sequence that each one goes to: every token bears loss. The ids stay with the documents."""
-    pieces = token_pieces(docs, limits[0], with_ids=False).withColumn("loss_tokens", F.col("length"))
-    return pack(pieces, limits).drop("loss_tokens")
+    """Pieces of documents with the sequence that each one goes to; the first quarter of a document bears no loss. The ids stay with the documents.
+
+    A null text counts as empty; an empty table gives an empty result.
+    """
+    out = pack(token_pieces(docs, limits, with_ids=False), limits)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
