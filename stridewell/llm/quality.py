@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import reduce
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -71,8 +72,8 @@ def repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) > (1 << PLACE), by_window(w)).otherwise(counted(w)))
 
 
-def word_stats(docs: DataFrame) -> DataFrame:
-    """All columns of docs and `stats`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and further counts.
+def word_stats(docs: DataFrame, features: Collection[str] = FEATURES) -> DataFrame:
+    """All columns of docs and `stats`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what else `features` ask for.
 
     A null or empty text counts 0 throughout. An earlier column named stats is replaced. One map over whole texts; no shuffle.
     """
@@ -83,17 +84,8 @@ def word_stats(docs: DataFrame) -> DataFrame:
     def of(w: Column) -> Column:
         joined = F.array_join(w, "")
         n = lambda p: F.regexp_count(joined, F.lit(p))
-        whole = {
-            "n_words": F.size(w),
-            "word_chars": F.length(joined),
-            "n_symbols": n(r"[#*$%&|<>]"),
-            "n_pipes": n(r"\|"),
-            "n_shouts": n(r"!"),
-            "n_capitals": n(r"\p{Lu}"),
-            "n_digits": n(r"[0-9]"),
-            "n_distinct": F.size(F.array_distinct(w)),
-            "n_repeat_words": repeat_words(w),
-        }
+        more = {"pipes": ("n_pipes", n(r"\|")), "shouts": ("n_shouts", n(r"!")), "capitals": ("n_capitals", n(r"\p{Lu}")), "digits": ("n_digits", n(r"[0-9]")), "distinct": ("n_distinct", F.size(F.array_distinct(w)))}
+        whole = {"n_words": F.size(w), "word_chars": F.length(joined), "n_symbols": n(r"[#*$%&|<>]"), "n_repeat_words": repeat_words(w)} | dict(more[f] for f in more if f in features)
         return F.struct(*[v.cast("long").alias(k) for k, v in whole.items()], let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"))
 
     return docs.drop("stats").withColumn("stats", let(words, of))
@@ -116,12 +108,16 @@ def _feature(stats: Column, name: str) -> Column:
     }[name]()
 
 
-def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 0, max_rules: int = 24, max_terms: int = 4, precision: float = 0.9, bins: int = 64) -> list[list[tuple[int, str, float]]]:
+def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 0, max_rules: int = 24, max_terms: int = 4, precision: float = 0.9, bins: int = 64, tries: int = 12, chance: float = 0.05) -> list[list[tuple[int, str, float]]]:
     """Sequential covering: rules (feature, <= or >, threshold), each a conjunction that says "bad", in the order to try them.
 
-    A rule is grown term by term by information gain on two thirds of the rows that no rule has covered, then its last
-    terms are pruned while that raises (p - n) / (p + n) on the other third. Learning stops at a rule whose precision
-    there, smoothed, is below `precision`; what no rule covers is good. No bad rows, or no rows: no rules.
+    A rule is grown term by term by information gain on two thirds of the rows that no rule has covered, bad and good
+    ones dealt apart, then its last terms are pruned while that raises (p - n) / (p + n) on the other third. There it
+    must be right with `precision`, by Laplace's estimate as far as so few rows allow, and its hits must be likelier than
+    by chance: a rule that covers as many rows at random has as many bad ones with a probability of at most `chance`, divided by the number of tries.
+    A rule that fails is grown again from other rows, without its first term, `tries` times in all; then learning
+    stops. A threshold stands in the middle between the last value it leaves out and the first that it covers. What no
+    rule covers is good. Fewer than two bad rows, or no rows: no rules.
     """
     rng = np.random.default_rng(seed)
     rules: list[list[tuple[int, str, float]]] = []
@@ -131,44 +127,84 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 0, max_rules: int =
     # thresholds also stand between the values of bad and good rows that are rare
     cuts = [np.unique(np.r_[c, np.quantile(x[bad, j], np.linspace(0, 1, bins + 1)) if bad.any() else []]) for j, c in enumerate(cuts)]
     alive = np.ones(len(x), bool)
-    for _ in range(max_rules):
-        fold = rng.random(len(x)) < 2 / 3
-        grow, prune = alive & fold, alive & ~fold
-        if not (grow & bad).any() or not (prune & bad).any():
-            break
-        rule, inside = [], grow.copy()
-        while len(rule) < max_terms and (inside & ~bad).any():
-            p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
-            best = (1e-9, None)
-            for j in range(x.shape[1]):
-                at = np.searchsorted(cuts[j], x[inside, j], side="left")  # x <= cuts[k] iff at <= k
-                p = np.cumsum(np.bincount(at[bad[inside]], minlength=len(cuts[j]) + 1))[:-1]
-                n = np.cumsum(np.bincount(at[~bad[inside]], minlength=len(cuts[j]) + 1))[:-1]
-                for op, pp, nn in (("<=", p, n), (">", p0 - p, n0 - n)):
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        gain = np.where(pp > 0, pp * (np.log2((pp + 1e-9) / (pp + nn + 1e-9)) - np.log2(p0 / (p0 + n0))), -1.0)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0]:
-                        best = (gain[k], (j, op, float(cuts[j][k])))
-            if best[1] is None:
+    while len(rules) < max_rules:
+        failed: set[tuple[int, str]] = set()
+        for t in range(tries):
+            grow = np.zeros(len(x), bool)
+            for kind in (bad, ~bad):
+                rows = rng.permutation(np.flatnonzero(alive & kind))
+                grow[rows[: len(rows) - len(rows) // 3 - (len(rows) == 2)]] = True
+            prune = alive & ~grow
+            if not (grow & bad).any() or not (prune & bad).any():
+                return rules
+            rule = _grown(x, bad, grow, cuts, max_terms, failed)
+            if not rule:
+                failed = set()
+                continue
+            rule = _pruned(x, bad, prune, rule)
+            c = covers(x, rule) & prune
+            p, n = int((c & bad).sum()), int((c & ~bad).sum())
+            right = p and (p + 1) / (p + n + 2) >= min(precision, (p + 1) / (p + 2)) and _tail(p, p + n, (prune & bad).sum() / prune.sum()) <= chance / (t + 1)
+            if right:
+                rules.append(_centred(x, alive, rule))
+                alive &= ~covers(x, rules[-1])
                 break
-            rule.append(best[1])
-            inside &= covers(x, rule[-1:])
+            failed.add(rule[0][:2])
+        else:
+            break
+    return rules
 
-        def worth(terms: list, rows: np.ndarray = prune) -> float:
-            c = covers(x, terms) & rows
-            p, n = (c & bad).sum(), (c & ~bad).sum()
-            return (p - n) / (p + n) if p + n else -1.0
 
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule.pop()
-        c = covers(x, rule) & prune if rule else np.zeros(len(x), bool)
-        p, n = (c & bad).sum(), (c & ~bad).sum()
-        if not rule or (p + 1) / (p + n + 2) < min(precision, (p + 1) / (p + 2)) or not p:
+def _tail(hits: int, n: int, rate: float) -> float:
+    """Probability of at least `hits` of n at this rate; of 200 rows or more, only whether they exceed it (0) or not (1)."""
+    return sum(comb(n, k) * rate**k * (1 - rate) ** (n - k) for k in range(hits, n + 1)) if n < 200 else float(hits / n <= rate)
+
+
+def _grown(x: np.ndarray, bad: np.ndarray, rows: np.ndarray, cuts: list[np.ndarray], max_terms: int, failed: set[tuple[int, str]]) -> list[tuple[int, str, float]]:
+    """Terms of the largest information gain on these rows, one after the other; none of `failed` comes first."""
+    rule: list[tuple[int, str, float]] = []
+    inside = rows.copy()
+    while len(rule) < max_terms and (inside & ~bad).any():
+        p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
+        best = (1e-9, None)
+        for j in range(x.shape[1]):
+            at = np.searchsorted(cuts[j], x[inside, j], side="left")  # x <= cuts[k] iff at <= k
+            p = np.cumsum(np.bincount(at[bad[inside]], minlength=len(cuts[j]) + 1))[:-1]
+            n = np.cumsum(np.bincount(at[~bad[inside]], minlength=len(cuts[j]) + 1))[:-1]
+            for op, pp, nn in (("<=", p, n), (">", p0 - p, n0 - n)):
+                if not rule and (j, op) in failed:
+                    continue
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = np.where(pp > 0, pp * (np.log2((pp + 1e-9) / (pp + nn + 1e-9)) - np.log2(p0 / (p0 + n0))), -1.0)
+                k = int(np.argmax(gain))
+                if gain[k] > best[0]:
+                    best = (gain[k], (j, op, float(cuts[j][k])))
+        if best[1] is None:
             break
-        rules.append(rule)
-        alive &= ~covers(x, rule)
-    return rules
+        rule.append(best[1])
+        inside &= covers(x, rule[-1:])
+    return rule
+
+
+def _pruned(x: np.ndarray, bad: np.ndarray, rows: np.ndarray, rule: list[tuple[int, str, float]]) -> list[tuple[int, str, float]]:
+    def worth(terms: list[tuple[int, str, float]]) -> float:
+        c = covers(x, terms) & rows
+        p, n = (c & bad).sum(), (c & ~bad).sum()
+        return (p - n) / (p + n) if p + n else -1.0
+
+    while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+        rule = rule[:-1]
+    return rule
+
+
+def _centred(x: np.ndarray, rows: np.ndarray, rule: list[tuple[int, str, float]]) -> list[tuple[int, str, float]]:
+    out = []
+    for k, (j, op, cut) in enumerate(rule):
+        inside = rows & covers(x, rule[:k] + rule[k + 1 :])
+        v = x[inside, j]
+        below, above = v[v <= cut], v[v > cut]
+        out.append((j, op, float((below.max() + above.min()) / 2) if len(below) and len(above) else cut))
+    return out
 
 
 def covers(x: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
@@ -187,23 +223,34 @@ def rules_column(rules: list[list[tuple[int, str, float]]], stats: Column) -> Co
     return F.lit(0) if out is None else out.otherwise(0)
 
 
+def _base_failed(s: Column) -> Column:
+    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0) -> list[list[tuple[int, str, float]]]:
-    """Rules learned from the statistics of `sample` labelled documents at most: those with the smallest hash of doc_id.
+    """Rules learned from the statistics of `sample` labelled documents at most that pass the base test, as what fails it needs no rule.
 
-    Labels with null doc_id or quality take no part; repeated labels count as often as they occur.
+    Of more labels or documents, those with the smallest hashes count. Labels with null doc_id or quality take no part;
+    repeated labels and documents count as often as they occur.
     """
     picked = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(sample)
-    rows = word_stats(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).select("quality", F.array(*[_feature(F.col("stats"), f) for f in FEATURES]).alias("x")).orderBy("x", "quality").collect()
+    stats = word_stats(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where(~_base_failed(F.col("stats")))
+    named = stats.select("quality", F.array(*[_feature(F.col("stats"), f) for f in FEATURES]).alias("x"))
+    rows = named.orderBy(F.xxhash64("x", "quality"), "x", "quality").limit(sample).collect()
     if not rows:
         return []
     return learn_rules(np.array([r["x"] for r in rows]), np.array([r["quality"] == 0 for r in rows]), seed)
 
 
 def judge(docs: DataFrame, rules: list[list[tuple[int, str, float]]]) -> DataFrame:
-    """doc_id, the base counts, base_failed, rule (0: none) and kept of each document."""
+    """doc_id, the base counts, base_failed, rule (0: none) and kept of each document; of further counts, those that the rules ask for.
+
+    A null text counts as empty and fails the base test; repeated rows and null doc_ids are documents of their own;
+    other columns, of whatever names, are ignored; an empty table gives an empty result.
+    """
     s = F.col("stats")
-    base = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-    out = word_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "stats")
+    base = _base_failed(s)
+    out = word_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), {FEATURES[j] for rule in rules for j, *_ in rule}).select("doc_id", "stats")
     return out.select(
         "doc_id", *[s[k].alias(k) for k in ("n_words", "word_chars", "n_symbols")], s["lines"]["dup"].alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"),
         base.alias("base_failed"), rules_column(rules, s).alias("rule"),

@@ -55,6 +55,60 @@ def test_rules_find_conjunctions():
     assert q.learn_rules(x, rng.random(4000) < 0.1) == [] or np.mean([q.covers(x, r).mean() for r in q.learn_rules(x, rng.random(4000) < 0.1)]) < 0.05
 
 
+def test_rules_from_few_labels():
+    """Six bad rows among 80 that one statistic tells apart: a rule whose threshold stands in the middle; by chance alone there is none."""
+    rng = np.random.default_rng(1)
+    x = rng.random((80, 4))
+    bad = np.arange(80) < 6
+    x[:, 2] = np.where(bad, 0.5 + x[:, 2] / 2, 0.0)
+    (rule,) = q.learn_rules(x, bad)
+    assert rule == [(2, ">", x[bad, 2].min() / 2)]
+    assert sum(len(q.learn_rules(rng.random((400, 10)), rng.random(400) < 0.1, s)) for s in range(40)) <= 4
+
+
+def plain_learn(x, bad, tries=12, precision=0.9):
+    """Covering by trying every value as a threshold, one rule of one term, on the same folds."""
+    rng = np.random.default_rng(0)
+    for _ in range(tries):
+        grow = np.zeros(len(x), bool)
+        for kind in (bad, ~bad):
+            rows = rng.permutation(np.flatnonzero(kind))
+            grow[rows[: len(rows) - len(rows) // 3]] = True
+        best = max(((((x[grow, j] > t) & bad[grow]).sum() - ((x[grow, j] > t) & ~bad[grow]).sum()), j, t) for j in range(x.shape[1]) for t in x[grow, j])
+        hit = x[:, best[1]] > best[2]
+        p, n = (hit & bad & ~grow).sum(), (hit & ~bad & ~grow).sum()
+        if p and (p + 1) / (p + n + 2) >= precision:
+            return best[1], hit
+    return None, np.zeros(len(x), bool)
+
+
+def test_a_single_term_against_every_threshold():
+    rng = np.random.default_rng(6)
+    for j in range(5):
+        x = rng.random((600, 5))
+        bad = x[:, j] > 0.85
+        rules = q.learn_rules(x, bad)
+        k, hit = plain_learn(x, bad)
+        assert k == j and rules[0][0][0] == j and (np.any([q.covers(x, r) for r in rules], axis=0) == hit).mean() > 0.98
+
+
+def test_rules_on_the_driver_s_labels(spark):
+    """On held-out labels, the list finds the bad documents that pass the base test and leaves good ones alone."""
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    rules = q.fit(docs, labels.where(part == 0))
+    out = q.judge(docs, rules).join(labels.where(part == 1), "doc_id").where("not base_failed").collect()
+    bad, good = [r for r in out if r["quality"] == 0], [r for r in out if r["quality"] == 1]
+    assert rules and len(bad) >= 5 and sum(not r["kept"] for r in bad) >= 0.9 * len(bad) and sum(r["kept"] for r in good) >= 0.98 * len(good)
+
+
+def test_repeated_labels_and_documents(spark):
+    docs = spark.createDataFrame([(i % 50, " ".join(f"v{k}" for k in range(60 + i % 9)) + (" |" * 60 if i % 50 < 10 else "")) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 50, int(i % 50 >= 10)) for i in range(150)], "doc_id long, quality int")
+    assert q.fit(docs, labels, sample=300)
+
+
 def test_fit_and_judge(spark):
     rng = random.Random(3)
     junk = lambda: " | ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
