@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,17 @@ SAMPLE = 8_000
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MARKED = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"\S+")
+#: What stands for an @ in a disguised address, and what marks a token: a digit or an @ of any width, or one of these.
+AT = re.compile(r"\s?(?:[@\uff20]|[\[({<]at[\])}>])\s?", re.I)
+MARKED = re.compile(r"[\d@\uff20]|[\[({<]at[\])}>]", re.I)
+TOKEN = re.compile(r"\S+\s(?:[@\uff20]|[\[({<]at[\])}>])\s\S+|\S+", re.I)
+#: Kinds of links between distant tokens of a document.
+SIMILAR = ("same content", "one digit apart", "same domain", "same cue and shape")
+EDGE = ",.;:!?\"'()<>[]{}"
 #: Words that announce personal data.
 CUES = {
     "email": frozenset("mail email e-mail contact correo courriel".split()),
@@ -81,16 +88,27 @@ def said(spans: list[Span]) -> str:
 
 @dataclass
 class Tokens:
-    """Marked tokens of a text: those with a digit or an @. All others are of no kind and cut the chain."""
+    """Marked tokens of a text: those with a digit, an @ or what stands for one. All others are of no kind and cut the chain."""
 
     spans: list[tuple[int, int]]
     features: np.ndarray  # of each token, bits
     label: np.ndarray  # of the patterns' kinds, else 0
     chain: np.ndarray  # pairs of neighbours
-    skip: np.ndarray  # pairs of tokens with the same content, each with one token that has it
+    skips: list[np.ndarray]  # for each of SIMILAR, pairs of tokens, each with one token that it is like
 
+    @property
+    def skip(self) -> np.ndarray:
+        """Pairs of the same content."""
+        return self.skips[0]
 
-FEATURES = ("always", "at sign", "1-3 digits", "4-6 digits", "7-8 digits", "9-12 digits", "13-19 digits", "20 digits or more", "letters", "three dots", "plus", "bracket", "hyphen", "equals or quote", "check digit", "number before", "number after", *(f"cue {k}" for k in KINDS))
+
+def plain(word: str) -> str:
+    """A token in plain characters: digits and signs of normal width, an @ for what stands for one, no brackets around dots."""
+    word = word if word.isascii() else unicodedata.normalize("NFKC", word)
+    return AT.sub("@", word).replace("[.]", ".")
+
+
+FEATURES = ("always", "at sign", "1-3 digits", "4-6 digits", "7-8 digits", "9-12 digits", "13-19 digits", "20 digits or more", "letters", "three dots", "plus", "bracket", "hyphen", "equals or quote", "check digit", "number before", "number after", "disguised", "address", "small parts", "long part", *(f"cue {k}" for k in KINDS))
 
 
 def same_content(words: list[str], joined: set[tuple[int, int]], number: list[bool], label: np.ndarray) -> list[tuple[int, int]]:
@@ -132,7 +150,7 @@ def same_content(words: list[str], joined: set[tuple[int, int]], number: list[bo
                 left, right = e - (ends[i - 1] if i else 0), stop - (stops[j - 1] if j else 0)
                 i, j = i - (left <= right), j - (right <= left)
     address: dict[str, int] = {}
-    mails = [(w.strip(",.;:!?\"'()<>").lower(), i) for i, w in enumerate(words) if "@" in w]
+    mails = [(w.strip(EDGE).lower(), i) for i, w in enumerate(words) if "@" in w]
     for known in (True, False):
         for same, i in mails:
             if (label[i] > 0) == known:
@@ -141,8 +159,39 @@ def same_content(words: list[str], joined: set[tuple[int, int]], number: list[bo
     return sorted(pairs)
 
 
+def similar(words: list[str], joined: set[tuple[int, int]], number: list[bool], label: np.ndarray, cue: list[int]) -> list[list[tuple[int, int]]]:
+    """Pairs of tokens that are one digit apart (numbers of 9 digits or more, also in groups), addresses at one domain, and tokens
+    of one shape after cues of one kind. Each goes with one that the patterns have found, else with the first."""
+    keyed: list[list[tuple[object, int]]] = [[], [], []]
+    i = 0
+    while i < len(words):
+        j = i + 1
+        while number[i] and j < len(words) and number[j] and (j - 1, j) in joined and label[j - 1] == label[j]:
+            j += 1
+        if number[i]:
+            digits = "".join(c for w in words[i:j] for c in w if c.isdigit())
+            if 9 <= len(digits) <= 19:
+                keyed[0] += [((k, digits[:k], digits[k + 1 :]), j - 1) for k in range(len(digits))]
+        i = j
+    for i, w in enumerate(words):
+        if "@" in w and "." in (domain := w.strip(EDGE).lower().rpartition("@")[2]):
+            keyed[1].append((domain, i))
+        if cue[i] >= 0:
+            keyed[2].append(((cue[i], re.sub(r"[^\W\d]+", "a", re.sub(r"\d", "9", w.strip(EDGE)))), i))
+    out = []
+    for rows in keyed:
+        hub: dict[object, int] = {}
+        for known in (True, False):
+            for key, i in rows:
+                if (label[i] > 0) == known:
+                    hub.setdefault(key, i)
+        out.append(sorted({(min(i, hub[key]), max(i, hub[key])) for key, i in rows if hub[key] != i}))
+    return out
+
+
 def tokens_of(text: str, base: list[Span]) -> Tokens:
     words: list[str] = []
+    raw: list[str] = []
     spans: list[tuple[int, int]] = []
     places: list[int] = []
     cues: list[list[str]] = []
@@ -151,7 +200,8 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
         w = m[0]
         if MARKED.search(w):
             spans.append(m.span())
-            words.append(w)
+            raw.append(w)
+            words.append(plain(w))
             places.append(i)
             cues.append([x.strip(",.:;!?\"'").lower() for x in recent[-3:]])
         recent = [*recent[-2:], w]
@@ -173,25 +223,42 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
         if i and places[i] == places[i - 1] + 1:
             chain.append((i - 1, i))
             f[i, 15], f[i - 1, 16] = number[i - 1], number[i]
+        f[i, 17] = w != raw[i]
+        bare = w.strip(EDGE)
+        parts = re.split("[.,]", bare) if not f[i, 1] else []
+        f[i, 18] = bool(ADDRESS.fullmatch(bare))
+        f[i, 19] = len(parts) == 4 and all(p.isdigit() and _small(p) for p in parts)
+        f[i, 20] = len(parts) == 4 and all(p.isdigit() for p in parts) and not f[i, 19]
         for j, kind in enumerate(KINDS):
-            f[i, 17 + j] = any(c in CUES[kind] for c in cues[i])
-    label = np.zeros(n, np.int64)
+            f[i, 21 + j] = any(c in CUES[kind] for c in cues[i])
+    label = _labelled(spans, base)
+    pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
+    joined = set(chain)
+    cue = [int(np.argmax(row)) if row.any() else -1 for row in f[:, 21:]]
+    return Tokens(spans, f, label, pairs(chain), [pairs(x) for x in (same_content(words, joined, number, label), *similar(words, joined, number, label, cue))])
+
+
+def _labelled(spans: list[tuple[int, int]], found: list[Span]) -> np.ndarray:
+    """For each token 1 + the first kind of those that cover it, else 0."""
+    label = np.zeros(len(spans), np.int64)
     starts = np.array([s for s, _ in spans], np.int64)
-    for kind, s, e in reversed(base):
-        a = max(0, int(np.searchsorted(starts, s, side="right")) - 1) if n else 0
-        while a < n and spans[a][0] < e:
+    for kind, s, e in reversed(sorted(found)):
+        a = max(0, int(np.searchsorted(starts, s, side="right")) - 1) if len(spans) else 0
+        while a < len(spans) and spans[a][0] < e:
             if spans[a][1] > s:
                 label[a] = kind + 1
             a += 1
-    pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Tokens(spans, f, label, pairs(chain), pairs(same_content(words, set(chain), number, label)))
+    return label
 
 
 @dataclass
 class Field:
     node: np.ndarray  # features x labels
     chain: np.ndarray  # labels x labels
-    skip: float  # of equal labels
+    skip: np.ndarray  # for each of SIMILAR, of two that are both of no kind, and of two of one kind
+
+    def without_skips(self) -> Field:
+        return Field(self.node, self.chain, np.zeros_like(self.skip))
 
 
 def marginals(f: Field, t: Tokens, rounds: int = 1000, damping: float = 0.5, settled: float = 1e-7) -> np.ndarray:
@@ -203,14 +270,14 @@ def marginals(f: Field, t: Tokens, rounds: int = 1000, damping: float = 0.5, set
     held = t.label > 0
     unary[held] = -30.0
     unary[held, t.label[held]] = 0.0
-    pairs = np.concatenate([t.chain, t.skip])
+    pairs = np.concatenate([t.chain, *t.skips])
     if len(pairs):
-        same = np.eye(len(LABELS)) * f.skip
-        pot = np.concatenate([np.broadcast_to(f.chain, (len(t.chain), *f.chain.shape)), np.broadcast_to(same, (len(t.skip), *same.shape))])
+        k = len(LABELS)
+        pot = np.concatenate([np.broadcast_to(f.chain, (len(t.chain), k, k)), *(np.broadcast_to(np.diag([w[0], *[w[1]] * (k - 1)]), (len(x), k, k)) for w, x in zip(f.skip, t.skips, strict=True))])
         src, dst = np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]]
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         back = np.r_[len(pairs) : 2 * len(pairs), : len(pairs)]
-        message = np.zeros((len(src), len(LABELS)))
+        message = np.zeros((len(src), k))
         for _ in range(rounds):
             belief = unary.copy()
             np.add.at(belief, dst, message)
@@ -249,64 +316,156 @@ def added_spans(text: str, base: list[Span], field: Field, certain: float = 0.9)
             s, e = t.spans[i][0], t.spans[j][1]
             while s < e and text[s] in ",.;:!?\"'<[{":
                 s += 1
-            while e > s and text[e - 1] in ",.;:!?\"'>]}":
+            while e > s and text[e - 1] in ",.;:!?\"'>]}*#$%&|":
                 e -= 1
-            part, kind = text[s:e], int(best[i]) - 1
+            part, kind = plain(text[s:e]), int(best[i]) - 1
             digits = re.sub("[^0-9]", "", part)
-            fine = (kind == 0 and re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", part)) or (kind == 1 and len(x := re.split(r"[.,]", part)) == 4 and all(y.isdigit() and _small(y) for y in x)) or (kind == 2 and 13 <= len(digits) <= 19 and luhn(digits)) or (kind == 3 and 9 <= len(digits) <= 15)
+            fine = (kind == 0 and ADDRESS.fullmatch(part)) or (kind == 1 and len(x := re.split("[.,]", part)) == 4 and all(y.isdigit() and _small(y) for y in x)) or (kind == 2 and 13 <= len(digits) <= 19 and luhn(digits)) or (kind == 3 and 9 <= len(digits) <= 15)
             if fine and not any(s < b and a < e for _, a, b in base):
                 out.append((kind, s, e))
         i = j + 1
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Trains the field on what the patterns find in `sample` documents at most, with a digit or an @ in them.
-
-    Features describe a token's make-up and surroundings, so that the field also knows tokens that the patterns' strict
-    forms miss. Only counts of distinct feature sets come to the driver. No such documents: a field that adds nothing.
+def disguised(kind: int, value: str, rng: np.random.Generator) -> tuple[str, int]:
+    """A form of a value that the patterns miss, and how long the part is that is personal."""
+    digits = re.sub("[^0-9]", "", value)
+    wide = lambda x: "".join(chr(ord(c) + 0xFEE0) if c in "0123456789+@" else c for c in x)
+    if kind == 0:
+        out = value.replace("@", str(rng.choice(["[at]", "(at)", " [at] ", " (at) ", " @ ", "\uff20"])))
+    elif kind == 1:
+        out = wide(value) if rng.random() < 0.4 else value.replace(".", str(rng.choice([",", "[.]"])))
+    elif kind == 2:
+        out = wide(value) if rng.random() < 0.4 else str(rng.choice([".", "/"])).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    else:
+        forms = [value.lstrip("+"), f"00{digits}", digits, value.lstrip("+0123456789 ") or digits, f"0{digits[-9:]}", wide(value), *(sign.join((digits[-10:-7], digits[-7:-4], digits[-4:])) for sign in " .-")]
+        out = forms[int(rng.integers(len(forms)))]
+        if rng.random() < 0.2:  # runs into a number, so that the patterns find it too long
+            return f"{value} {'.'.join(map(str, rng.integers(100, 256, 4)))}", len(value)
+    return out, len(out)
+
+
+def _harmless(rng: np.random.Generator) -> str:
+    """A token with digits or an @ that is no personal data."""
+    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    forms = [n(int(rng.integers(1, 18))), n(int(rng.integers(8, 14))), f"20{n(2)}-0{rng.integers(1, 10)}-1{n(1)} 1{n(1)}:3{n(1)}:2{n(1)}", f"{n(1)}.{n(1)}.{n(2)}", f"{n(1)}.{n(1)}.{n(3)}.{n(4)}.{n(1)}", f"@user{n(2)}", f"{n(3)},{n(3)}.{n(2)}", f"no. {n(6)}-{n(4)}", f"{n(4)}/{n(4)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}", f"id={n(6)}af{n(5)}c{n(2)}", f"5 @ {n(2)}.{n(2)}"]
+    return forms[int(rng.integers(len(forms)))]
+
+
+def augmented(text: str, rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with disguised mentions of its personal data, beside the plain ones or in their place, and with harmless numbers; and all spans of personal data in it."""
+    base = sorted(base_spans(text), key=lambda x: x[1:])
+    edits: list[tuple[int, int, str, int, int, int]] = []  # start, end, new text, kind, start and end in it
+    gaps = [0, *(m.end() for m in re.finditer(r"\s+", text)), len(text)]
+
+    def put(value: str, kind: int, size: int) -> None:
+        at = gaps[int(rng.integers(len(gaps)))]
+        cue = f"{sorted(CUES[KINDS[kind]])[int(rng.integers(len(CUES[KINDS[kind]])))]} " if kind >= 0 and rng.random() < 0.4 else ""
+        edits.append((at, at, f" {cue}{value} ", kind, 1 + len(cue), 1 + len(cue) + size))
+
+    chosen = set(rng.permutation(len(base))[:4].tolist())
+    end = 0
+    for i, (kind, s, e) in enumerate(base):
+        replaced = i in chosen and s >= end and rng.random() < 0.3
+        if replaced:
+            value, size = disguised(kind, text[s:e], rng)
+            edits.append((s, e, value, kind, 0, size))
+            end = e
+        if i in chosen and (not replaced or rng.random() < 0.3):
+            put(*(lambda v: (v[0], kind, v[1]))(disguised(kind, text[s:e], rng)))
+    for _ in range(int(rng.integers(1, 4))):
+        value = _harmless(rng)
+        for _ in range(1 + (rng.random() < 0.4)):
+            put(value, -1, 0)
+    out, gold, at, size = [], [], 0, 0
+    kept = [(s, s, None, kind, 0, e - s) for i, (kind, s, e) in enumerate(base)]
+    gone = [(s, e) for s, e, *_ in edits if e > s]
+    for s, e, new, kind, a, b in sorted([*edits, *kept], key=lambda x: (x[0], x[2] is None or x[1] > x[0], x[1])):
+        if new is None:
+            if not any(x <= s and s + b <= y for x, y in gone):
+                gold.append((kind, size + s - at, size + s - at + b))
+            continue
+        if s < at:
+            continue
+        if any(k >= 0 and x < size + s - at < y for k, x, y in gold):  # within another's span
+            continue
+        out += [text[at:s], new]
+        size += s - at
+        if kind >= 0:
+            gold.append((kind, size + a, size + b))
+        size += len(new)
+        at = e
+    out.append(text[at:])
+    return "".join(out), gold
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, versions: int = 4) -> Field:
+    """Trains the field on `sample` documents at most, with a digit or an @ in them; nodes, chain and skip links together.
+
+    Each document is `augmented`, in several versions: some of what the patterns find is repeated or replaced in a form that they miss, and
+    harmless numbers are put in, also twice. The tokens that the patterns still find are evidence, as they are when
+    the field is used; the field learns to tell the others' labels, by pseudo-likelihood: each token's label given its
+    features and the true labels of its neighbours and of the tokens that it is like. Only counts of distinct cases come
+    to the driver, no more than the versions of the sample have tokens. No such documents: a field that adds nothing.
     """
     tune(docs.sparkSession)
     picked = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    hashes = picked.select("h").orderBy("h").limit(sample).distinct()
-    texts = picked.join(F.broadcast(hashes), "h").select("text")
+    hashes = picked.select("h").distinct().orderBy("h").limit(sample)
+    texts = picked.join(F.broadcast(hashes), "h").groupBy("h").agg(F.min("text").alias("text")).select("text", "h")
+    k, kinds = len(LABELS), len(SIMILAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[str, int, int]] = []
-            for text in b.column(0).to_pylist():
-                t = tokens_of(text, base_spans(text))
-                out += [("node" + "".join("01"[x] for x in row), int(k), 0) for row, k in zip(t.features.tolist(), t.label, strict=True)]
-                out += [("chain", int(t.label[i]), int(t.label[j])) for i, j in t.chain]
-                out += [("skip", int(t.label[i]), int(t.label[j])) for i, j in t.skip]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), *(pa.array([r[k] for r in out], pa.int64()) for k in (1, 2))], ["what", "a", "b"])
-
-    rows = texts.mapInArrow(run, "what string, a long, b long").groupBy("what", "a", "b").count().orderBy("what", "a", "b").collect()
-    k = len(LABELS)
-    nodes = [r for r in rows if r["what"].startswith("node")]
-    if not nodes:
-        return Field(np.eye(len(FEATURES), k) * 0 + np.r_[9.0, np.zeros(k - 1)] * np.eye(len(FEATURES))[:, :1], np.zeros((k, k)), 0.0)
-    x = np.array([[c == "1" for c in r["what"][4:]] for r in nodes], float)
-    y = np.eye(k)[[r["a"] for r in nodes]]
-    n = np.array([r["count"] for r in nodes], float)
-    w = np.zeros((x.shape[1], k))
-    moment = np.zeros_like(w)
-    for _ in range(1500):
-        z = x @ w
+            out: list[tuple[str, int]] = []
+            for text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rng = np.random.default_rng(h % 2**63)
+                for _ in range(versions):
+                    new, gold = augmented(text, rng)
+                    base = base_spans(new)
+                    t = tokens_of(new, base)
+                    truth = np.where(t.label > 0, t.label, _labelled(t.spans, gold))
+                    left, right = np.full(len(truth), k), np.full(len(truth), k)
+                    if len(t.chain):
+                        left[t.chain[:, 1]], right[t.chain[:, 0]] = truth[t.chain[:, 0]], truth[t.chain[:, 1]]
+                    like = np.zeros((len(truth), kinds, k), np.int64)
+                    for x, pairs in enumerate(t.skips):
+                        np.add.at(like, (pairs[:, 0], x, truth[pairs[:, 1]]), 1)
+                        np.add.at(like, (pairs[:, 1], x, truth[pairs[:, 0]]), 1)
+                    for i in np.flatnonzero(t.label == 0):
+                        out.append((" ".join(map(str, [*t.features[i].astype(int), left[i], right[i], *like[i].ravel()])), int(truth[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64())], ["seen", "label"])
+
+    rows = texts.mapInArrow(run, "seen string, label long").groupBy("seen", "label").count().orderBy("seen", "label").collect()
+    if not rows:
+        return Field(np.r_[9.0, np.zeros(k - 1)] * np.eye(len(FEATURES))[:, :1], np.zeros((k, k)), np.zeros((kinds, 2)))
+    seen = np.array([[int(x) for x in r["seen"].split()] for r in rows])
+    return _trained(seen, np.array([r["label"] for r in rows]), np.array([r["count"] for r in rows], float))
+
+
+def _trained(seen: np.ndarray, label: np.ndarray, n: np.ndarray, steps: int = 1200, rate: float = 0.05, decay: float = 2e-5) -> Field:
+    """The field of the largest penalised pseudo-likelihood of cases (features, labels of neighbours, label counts of similar tokens), by Adam."""
+    k, kinds, width = len(LABELS), len(SIMILAR), len(FEATURES)
+    x = seen[:, :width].astype(float)
+    left, right = (np.eye(k + 1)[seen[:, width + j]][:, :k] for j in (0, 1))
+    like = seen[:, width + 2 :].reshape(-1, kinds, k).astype(float)
+    y = np.eye(k)[label]
+    sizes = [width * k, k * k, kinds * 2]
+    cut = np.cumsum(sizes)[:2]
+    w = np.zeros(sum(sizes))
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        node, chain, skip = (v.reshape(s) for v, s in zip(np.split(w, cut), ((width, k), (k, k), (kinds, 2)), strict=True))
+        z = x @ node + left @ chain + right @ chain.T
+        z[:, :1] += like[:, :, 0] @ skip[:, :1]
+        z[:, 1:] += np.einsum("rtc,t->rc", like[:, :, 1:], skip[:, 1])
         q = np.exp(z - z.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        moment = 0.9 * moment + x.T @ ((q - y) * n[:, None]) / n.sum() + 1e-4 * w
-        w -= 0.5 * moment
-    chain = np.ones((k, k))
-    skip = [1.0, 1.0]
-    for r in rows:
-        if r["what"] == "chain":
-            chain[r["a"], r["b"]] += r["count"]
-        elif r["what"] == "skip":
-            skip[r["a"] == r["b"]] += r["count"]
-    p = chain / chain.sum()
-    pmi = np.log(p) - np.log(p.sum(1, keepdims=True)) - np.log(p.sum(0, keepdims=True))
-    return Field(w, np.clip(pmi, -2, 2), float(np.clip(np.log(skip[1] / skip[0]), 0.5, 4)))
+        q = (q / q.sum(1, keepdims=True) - y) * n[:, None] / n.sum()
+        pull = np.stack([np.einsum("rt,r->t", like[:, :, 0], q[:, 0]), np.einsum("rtc,rc->t", like[:, :, 1:], q[:, 1:])], 1)
+        g = np.concatenate([(x.T @ q).ravel(), (left.T @ q + q.T @ right).ravel(), pull.ravel()]) + decay * w
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    node, chain, skip = (v.reshape(s) for v, s in zip(np.split(w, cut), ((width, k), (k, k), (kinds, 2)), strict=True))
+    return Field(node, chain, skip)
 
 
 def find(docs: DataFrame, field: Field, certain: float = 0.9, redact: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stridewell.llm import pii
 
@@ -49,7 +50,16 @@ def field(spark):
     return pii.fit(people(spark))
 
 
-def test_field_adds_repeated_numbers_and_leaves_the_rest(field):
+@pytest.fixture(scope="module")
+def trained(spark):
+    """A field of two thirds of the driver's documents with a digit or an @, and the texts of the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9@]'")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    return pii.fit(docs.where(part > 0)), [r["text"] for r in docs.where(part == 0).orderBy("doc_id").collect()]
+
+
+def test_field_adds_repeated_numbers_and_leaves_the_rest(trained):
+    field, _ = trained
     t = "reed +1 (942) 555-5600 of erin, later (942) 555-5600 again, room 942 in 2024, token=555f5600a"
     base = pii.base_spans(t)
     assert [t[s:e] for _, s, e in pii.added_spans(t, base, field)] == ["(942) 555-5600"]
@@ -68,7 +78,7 @@ def test_numbers_in_groups_are_found_again():
     tokens = pii.tokens_of(t, pii.base_spans(t))
     held = int(tokens.label.argmax())
     assert {held} == set(tokens.skip.max(1)) and len(tokens.skip) == 41
-    plain = pii.Field(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((len(pii.LABELS),) * 2), 4.0)
+    plain = pii.Field(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((len(pii.LABELS),) * 2), np.full((len(pii.SIMILAR), 2), 4.0))
     assert pii.marginals(plain, tokens)[:, 4].min() > 0.9
 
 
@@ -76,8 +86,8 @@ def test_message_passing_is_exact_on_a_chain(field):
     """Without skip links the graph of a short chain is a tree, on which the messages end at the exact marginals."""
     rng = np.random.default_rng(2)
     n, k = 3, len(pii.LABELS)
-    t = pii.Tokens([(0, 1)] * n, np.eye(n, len(pii.FEATURES), dtype=bool), np.zeros(n, np.int64), np.array([[0, 1], [1, 2]]), np.empty((0, 2), np.int64))
-    f = pii.Field(rng.normal(size=(len(pii.FEATURES), k)), rng.normal(size=(k, k)), 1.0)
+    t = pii.Tokens([(0, 1)] * n, np.eye(n, len(pii.FEATURES), dtype=bool), np.zeros(n, np.int64), np.array([[0, 1], [1, 2]]), [np.empty((0, 2), np.int64)] * len(pii.SIMILAR))
+    f = pii.Field(rng.normal(size=(len(pii.FEATURES), k)), rng.normal(size=(k, k)), np.ones((len(pii.SIMILAR), 2)))
     u = t.features @ f.node
     joint = np.exp(u[0][:, None, None] + u[1][None, :, None] + u[2][None, None, :] + f.chain[:, :, None] + f.chain[None, :, :])
     joint /= joint.sum()
@@ -86,6 +96,71 @@ def test_message_passing_is_exact_on_a_chain(field):
         assert np.allclose(got[i], joint.sum(axes), atol=1e-6)
 
 
+def test_skip_links_are_exact_on_a_tree():
+    """Four tokens joined by skip links of different kinds, without a loop, one of them held: against all assignments."""
+    rng = np.random.default_rng(3)
+    k, none = len(pii.LABELS), np.empty((0, 2), np.int64)
+    t = pii.Tokens([(0, 1)] * 4, np.eye(4, len(pii.FEATURES), dtype=bool), np.array([0, 3, 0, 0]), np.array([[0, 1]]), [np.array([[1, 2]]), none, np.array([[0, 3]]), none])
+    f = pii.Field(rng.normal(size=(len(pii.FEATURES), k)), rng.normal(size=(k, k)), rng.normal(size=(len(pii.SIMILAR), 2)))
+    p = np.zeros((4, k))
+    agree = lambda w, a, b: (a == b) * w[int(a > 0)]
+    for y in np.ndindex(k, k, k, k):
+        if y[1] == 3:
+            e = np.exp(sum(f.node[i, y[i]] for i in (0, 2, 3)) + f.chain[y[0], y[1]] + agree(f.skip[0], y[1], y[2]) + agree(f.skip[2], y[0], y[3]))
+            for i in range(4):
+                p[i, y[i]] += e
+    assert np.allclose(pii.marginals(f, t), p / p.sum(1, keepdims=True), atol=1e-5)
+
+
+def test_similar_tokens_are_linked():
+    t = "ann@mail.example.org wrote, bob [at] mail.example.org too; order 4155550100 or 4155550190; card 1234-5678 and card 8765-4321"
+    tokens = pii.tokens_of(t, pii.base_spans(t))
+    linked = lambda k: [tuple(t[slice(*tokens.spans[i])] for i in p) for p in tokens.skips[k]]
+    assert linked(1) == [("4155550100", "4155550190;")]
+    assert linked(2) == [("ann@mail.example.org", "bob [at] mail.example.org")]
+    assert linked(3) == [("1234-5678", "8765-4321")]
+
+
+def outcome(field, texts):
+    """Hidden spans, those found, spans added and those right, over augmented texts; a span counts if kind, start and end are right."""
+    hidden = found = added = right = 0
+    for i, text in enumerate(texts):
+        new, gold = pii.augmented(text, np.random.default_rng(i))
+        base = pii.base_spans(new)
+        missed = {g for g in gold if not any(g[1] < e and s < g[2] for _, s, e in base)}
+        more = pii.added_spans(new, base, field)
+        hidden, found, added, right = hidden + len(missed), found + len(missed & set(more)), added + len(more), right + sum(m in missed for m in more)
+    return hidden, found, added, right
+
+
+def test_held_out_disguised_data(trained):
+    """Of what is masked or disguised in documents that the field wasn't trained on most is found, nearly nothing else, and much less without skip links."""
+    f, texts = trained
+    hidden, found, added, right = outcome(f, texts)
+    assert hidden > 150 and found >= 0.85 * hidden and right >= 0.95 * added
+    _, alone, _, _ = outcome(f.without_skips(), texts)
+    assert alone <= found - 0.15 * hidden
+    text = f"call {'+1 (942) 555-5600'} or 942 555 5600, not 3141592653"
+    base = pii.base_spans(text)
+    assert [text[s:e] for _, s, e in pii.added_spans(text, base, f)] == ["942 555 5600"] and pii.added_spans(text, base, f.without_skips()) == []
+
+
+def test_augmented_spans(spark):
+    """Spans of augmented texts hold what was there: plain ones are still found, disguised ones give back the value."""
+    text = "mail ann.b@x.example.org or 10.0.0.18, +1 (942) 555-5600 and 4111 1111 1111 1111 of erin\nthe end"
+    seen = set()
+    for i in range(300):
+        new, gold = pii.augmented(text, np.random.default_rng(i))
+        base = set(pii.base_spans(new))
+        for kind, s, e in gold:
+            value = pii.plain(new[s:e])
+            digits = re.sub("[^0-9]", "", value)
+            assert [value.lower() == "ann.b@x.example.org", value.replace(",", ".") == "10.0.0.18", digits == "4111111111111111", digits.endswith("9425555600") or digits in ("942555560", "9425555600", "0942555560", "5555600", "0425555600")][kind], new[s:e]
+            seen.add((kind, (kind, s, e) in base))
+    assert seen == {(k, known) for k in range(4) for known in (True, False)}
+    assert pii.augmented("", np.random.default_rng(0))[1] == []
+
+
 def test_rows(spark, field, documents, nothing):
     rows = pii.find(people(spark), field).collect()
     assert len(rows) == 303
@@ -113,6 +188,6 @@ def test_rows(spark, field, documents, nothing):
 )
 def test_overlapping_spans_are_redacted_whole(spark, text, want):
     """A field that adds nothing; the third text's number is too long for a phone, the fourth's phone lies within the address."""
-    nothing = pii.Field(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((len(pii.LABELS),) * 2), 0.0)
+    nothing = pii.Field(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((len(pii.LABELS),) * 2), np.zeros((len(pii.SIMILAR), 2)))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [r["text"] for r in pii.find(docs, nothing, redact=True).collect()] == [want]
