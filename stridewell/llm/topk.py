@@ -22,7 +22,8 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
 
     lists[d] holds the rows by falling value of dimension d; a negative component of the query reads its list from the
     end. Lists are read in rounds, each in proportion to the size of its component: `step` entries on average first, then
-    as many as before again. The rows that they show are scored in full. A row that no list has shown yet scores no more
+    twice as many in all. The rows that they show are scored in full; once these are half of all rows, reading on
+    costs more than it can save, and the rest is scored at once. A row that no list has shown yet scores no more
     than the values at the reading places allow; when that bound is below the kth score (or below `floor`, the kth score
     elsewhere), no further row can matter. Dimensions in which the query is 0 aren't read.
     """
@@ -47,6 +48,8 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
             d = np.flatnonzero(falling == way)
             part = lists[used[d]][:, at if way else n - 1 - at]
             new[part[(at >= was[d, None]) & (at < depth[d, None])]] = True
+        if 2 * np.count_nonzero(new | seen) > n:
+            new[:] = True
         fresh = np.flatnonzero(new & ~seen)
         seen |= new
         s = vectors[fresh] @ query if 4 * len(fresh) < n else (vectors @ query)[fresh]
@@ -54,7 +57,8 @@ def threshold_top_k(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k
             s = np.minimum(np.maximum(s, -(2**63)), 2**63 - 1)
         rows.append(fresh)
         scores.append(s)
-        best = np.sort(np.concatenate([best, s]))[-k:]
+        best = np.concatenate([best, s])
+        best = np.sort(best if len(best) <= k else best[best >= np.partition(best, -k)[-k]] if s.dtype != object else best)[-k:]
         last = lists[used, np.where(falling, depth - 1, n - depth)]
         bound = sum(q * vectors[last, used])
         kth = max([x for x in ((best[0] if len(best) == k else None), floor) if x is not None], default=None)
