@@ -85,7 +85,14 @@ def _has_map(t: T.DataType) -> bool:
     return _has_map(t.elementType) if isinstance(t, T.ArrayType) else isinstance(t, (T.MapType, T.VariantType))
 
 
-def row_hash(df: DataFrame, prefix: str = "") -> Column:
-    """A 64-bit hash of all columns of df (with plain names), maps and variants included."""
+def row_hash(df: DataFrame, prefix: str = "", seed: int = 0) -> Column:
+    """A 64-bit hash of all columns of df (with plain names), maps and variants included; another one for each seed."""
     columns = [(F.col(prefix + f.name), f.dataType) for f in df.schema.fields]
-    return F.xxhash64(*[F.to_json(F.struct(c)) if _has_map(t) else c for c, t in columns])
+    return F.xxhash64(*[F.lit(seed)] * (seed > 0), *[F.to_json(F.struct(c)) if _has_map(t) else c for c, t in columns])
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """docs whose n_chars, if they have it, follows the text; other columns, of whatever names, stay."""
+    titles, places = docs.columns, by_place(docs)
+    n = F.length(F.col(f"c{titles.index('text')}").cast("string")).cast("long")
+    return places.select(*[n.alias(c) if t == "n_chars" else F.col(c) for c, t in zip(places.columns, titles, strict=True)]).toDF(*titles)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, partitions, word_count
+from .common import SPACES, by_place, partitions, row_hash, word_count
 
 #: Weights of the sources in the order of their names, repeated as often as needed.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -47,17 +47,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     Reruns agree: the order depends on the rows alone.
     """
     buckets = buckets or partitions(docs.sparkSession)
-    docs = docs.drop("source_size", "target", "taken", *([] if size is not None else ["size"]))
-    names = [c for c in docs.columns if c != "size"]
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    sized = docs.select(
-        row,
-        F.col("source").isNotNull().alias("has_source"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce((size if size is not None else word_count(F.col("text"))).cast("long"), F.lit(0)).alias("size"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h"),
+    docs = docs.withColumn("size", size if size is not None else word_count(F.col("text"))).drop("source_size", "target", "taken")
+    titles, places = docs.columns, by_place(docs)
+    at = {c: F.col(f"c{titles.index(c)}") for c in ("source", "size")}
+    others = [c for c, title in zip(places.columns, titles, strict=True) if title != "size"]
+    sized = places.select(
+        F.struct(*others).alias("row"),
+        at["source"].isNotNull().alias("has_source"),
+        F.coalesce(at["source"].cast("string"), F.lit("")).alias("source"),
+        F.coalesce(at["size"].cast("long"), F.lit(0)).alias("size"),
+        row_hash(places.select(*others)).alias("h"),
     ).withColumn("bucket", F.pmod(F.shiftright("h", 17), F.lit(buckets)))
-    return _mixed(sized, weights, epochs, buckets).select(*[F.col("row")[c].alias(c) for c in names], "size", "source_size", "target", "taken")
+    return _mixed(sized, weights, epochs, buckets).select("row.*", "size", "source_size", "target", "taken").toDF(*[t for t in titles if t != "size"], "size", "source_size", "target", "taken")
 
 
 def _mixed(sized: DataFrame, weights: tuple[float, ...], epochs: int, buckets: int) -> DataFrame:
@@ -95,16 +96,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixed_copies(docs: DataFrame, **settings) -> DataFrame:
-    """Rows of docs as often as the mix takes them, all columns; a part of a row keeps its first words, joined by one space.
+    """Rows of docs as often as the mix takes them, all columns of whatever names and kinds; a part of a row keeps its first words, joined by one space.
 
-    Only hashes and sizes are mixed; the texts join the result by a hash of the row and, among equal rows, a number.
+    Only hashes and sizes are mixed; each different row then joins its copies, by two hashes of the row (128 bits).
+    A null text or source is as in `mix`; a row without words is never taken; an empty input gives an empty result.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    number = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
-    slim = docs.select("source", row.alias("__row"), word_count(F.col("text")).alias("size")).withColumn("__number", number)
-    taken = mix(slim, size=F.col("size"), **settings).where("taken > 0").select("__row", "__number", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    out = docs.withColumn("__row", row).withColumn("__number", number).join(taken, ["__row", "__number"])
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))))
-    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    cut = F.array_join(F.slice(F.array_remove(F.split("text", SPACES), ""), F.lit(1), left.cast("int")), " ")
-    return out.withColumn("text", F.when(left < F.col("__size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    titles, places = docs.columns, by_place(docs)
+    text = F.col(f"c{titles.index('text')}")
+    keys = [row_hash(places, seed=k).alias(f"row{k + 1}") for k in range(2)]
+    slim = places.select(F.col(f"c{titles.index('source')}").alias("source"), *keys, word_count(text).alias("words"))
+    taken = mix(slim, size=F.col("words"), **settings).where("taken > 0").select("row1", "row2", "words", "taken")
+    copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("words")))))
+    rows = places.groupBy(*keys).agg(F.first(F.struct(*places.columns)).alias("row"))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("words")
+    out = rows.join(copies.select("row1", "row2", F.when(left < F.col("words"), left.cast("int")).alias("left")), ["row1", "row2"]).select("row.*", "left")
+    cut = F.array_join(F.slice(F.array_remove(F.split(text, SPACES), ""), F.lit(1), F.col("left")), " ")
+    kept = F.when(F.col("left").isNotNull(), cut).otherwise(text)
+    return out.select(*[kept.alias(c) if t == "text" else F.col(c) for c, t in zip(places.columns, titles, strict=True)]).toDF(*titles)

@@ -261,3 +261,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and n_hits of each document."""
     out = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fit(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
+
+
+def accepted(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that aren't toxic, with all their columns of whatever names. Null and empty texts stay; repeated rows fare alike."""
+    titles, places = docs.columns, by_place(docs)
+    rows = places.select(F.struct(*places.columns).alias("row"), F.col(f"c{titles.index('text')}").cast("string").alias("text"))
+    return judge(rows, lexicon, threshold).where("predicted = 0").select("row.*").toDF(*titles)

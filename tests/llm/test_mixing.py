@@ -83,6 +83,21 @@ def test_copies(documents):
         assert abs(by_source[r["source"]] - r["target"]) <= most + 1
 
 
+def test_columns_of_any_kind_and_name(spark):
+    """Maps, also within others, and names that operators use or that hold a dot; repeated rows; every copy is a row of the input."""
+    rows = [(i % 40, " ".join(["w"] * (3 + i % 5)), f"s{i % 3}", {"a": i % 2}, "x", [{"b": 1}], None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row1 map<string,int>, `a.b` string, words array<map<string,int>>, __copy string")
+    out = mixing.mixed_copies(df)
+    assert out.columns == df.columns
+    plain = lambda r: repr(r.asDict(recursive=True))
+    known, size = Counter(map(plain, df.collect())), lambda rs: sum(len(r["text"].split()) for r in rs)
+    got = out.collect()
+    assert size(got) == size(df.collect()) and sum(plain(r) not in known for r in got) <= 1
+    assert all(n <= 3 * known[k] for k, n in Counter(map(plain, got)).items() if k in known)
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "size", "source_size", "target", "taken"] and mixed.count() == 60
+
+
 def test_all_texts_empty(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["size"], r["target"], r["taken"]) for r in mixing.mixed_documents(df).collect()] == [(0, 0.0, 0)] * 2

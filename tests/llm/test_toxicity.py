@@ -88,3 +88,45 @@ def test_extra_columns_and_nothing(documents, nothing, labelled):
     d = documents.withColumn("score", F.lit("x")).withColumn("a`b", F.lit(1))
     out = tx.judge(d, lexicon)
     assert out.count() == d.count() and dict(out.dtypes)["score"] == "double" and "a`b" in out.columns
+
+
+def plain_score(text, lexicon):
+    """Each word against each term by itself, its surroundings cut out of the text."""
+    words = (text or "").lower().split()
+    hits = []
+    for i, raw in enumerate(words):
+        def near(w):
+            out = {}
+            for t, (term, prefix) in enumerate(lexicon.terms):
+                if prefix:
+                    if w.startswith(term):
+                        out[t] = 0
+                elif (d := distance(w, term)) <= tx.allowed_edits(term, prefix):
+                    out[t] = d
+            return out
+
+        w = raw.strip(tx.MARKS)
+        found = near(w)
+        if not found and w and not w.isalpha():
+            found = {t: max(1, e) for t, e in near(raw.strip(tx.MARKS.replace("$", "")).translate(tx.DISGUISE)).items()}
+        around = words[max(0, i - 12) : i], words[i + 1 : i + 13]
+        opens, shuts = (lambda x: x[0] in tx.QUOTES), (lambda x: x.rstrip(".,;:!?")[-1:] in tx.QUOTES)
+        inside = any(opens(x) for x in [*around[0], raw]) and not any(shuts(x) and x[0] not in tx.QUOTES for x in around[0]) and any(shuts(x) for x in [raw, *around[1]])
+        speech = any(x.strip(tx.MARKS) in tx.REPORTING for x in [*around[0], *around[1]])
+        hits += [(t, e, inside and speech) for t, e in found.items()]
+    one = sum(e == 0 for _, e, _ in hits) == 1
+    clean = 0.98
+    for t in {t for t, *_ in hits}:
+        clean *= 1 - max((lexicon.alone.get(t, 0) if one and e == 0 else lexicon.weights.get((t, e), 0)) * (0.3 if q else 1) for x, e, q in hits if x == t)
+    return 1 - clean
+
+
+def test_whole_scores_against_a_plain_version(spark):
+    lexicon = tx.Lexicon([("moronic", False), ("scum", False), ("worthless", False), ("lowei", True), ("wort", True)], {(0, 0): 0.9, (0, 1): 0.7, (1, 0): 0.95, (2, 0): 0.8, (2, 1): 0.5, (2, 2): 0.3, (3, 0): 0.6, (4, 0): 0.2}, {0: 0.75, 1: 0.5, 2: 0.9, 3: 0.4, 4: 0.1})
+    rng = random.Random(8)
+    some = ["moronic", "moronc", "m0ronic!", "scum", "scums", "worthless", "worthles,", "w0rthl3ss", "loweified", "wort", "worthy", '"you', 'are"', "said", "sagte:", '"worthless"', "the", "of", "reed.", "«scum»", "$cum"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(400)] + ["", None, " \n"]
+    out = tx.judge(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), lexicon).collect()
+    for r in out:
+        assert r["score"] == pytest.approx(plain_score(texts[r["i"]], lexicon)), texts[r["i"]]
+    assert 50 < sum(r["predicted"] for r in out) < 390
