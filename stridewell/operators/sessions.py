@@ -101,7 +101,8 @@ def decoupling(samples: DataFrame, warmup_s: float = 600, smooth_s: float = 30,
 
     Samples without speed or heart rate and the warm-up are left out; the smoothing takes as many samples as smooth_s
     holds at the session's median interval, 3 at least. The width differs by session, which no window frame can, so a
-    trailing mean is the difference of two running sums, of which the earlier one comes by an equi-join on (session, row).
+    trailing mean is the difference of two running sums, of which the earlier one is taken from an array of the
+    session's. A session is a bounded recording; all steps share one deal of the samples by session.
     Sessions with fewer than `least` samples at any step, or with halves whose speeds differ by more, are left out.
     """
     order = W.partitionBy("activity_id").orderBy("ts")
@@ -112,11 +113,11 @@ def decoupling(samples: DataFrame, warmup_s: float = 600, smooth_s: float = 30,
     s = s.withColumn("__n", F.count("*").over(every)).withColumn("__first", F.min("at").over(every)).where((F.col("__n") >= least) & (F.col("at") - F.col("__first") >= warmup_s))
     s = s.withColumn("__n", F.count("*").over(every)).where(F.col("__n") >= least)
     s = s.withColumn("rn", F.row_number().over(order)).withColumn("cum", F.sum("speed").over(upto)).withColumn("__gap", F.col("at") - F.lag("at").over(order))
-    width = s.groupBy("activity_id").agg(F.greatest(F.bround(F.lit(float(smooth_s)) / F.greatest(F.percentile("__gap", F.lit(0.5)), F.lit(1.0))), F.lit(3.0)).cast("int").alias("width"))
-    s = s.join(width, "activity_id").where(F.col("rn") >= F.col("width"))
-    earlier = _running(samples, warmup_s, least).select("activity_id", F.col("rn").alias("__rn"), F.col("cum").alias("__cum"))
-    s = s.withColumn("__rn", F.col("rn") - F.col("width")).join(earlier, ["activity_id", "__rn"], "left")
-    s = s.withColumn("smooth", (F.col("cum") - F.coalesce("__cum", F.lit(0.0))) / F.col("width"))
+    width = F.greatest(F.bround(F.lit(float(smooth_s)) / F.greatest(F.percentile("__gap", F.lit(0.5)), F.lit(1.0))), F.lit(3.0)).cast("int")
+    whole = s.groupBy("activity_id").agg(width.alias("width"), F.sort_array(F.collect_list(F.struct("rn", "at", "heart_rate", "cum"))).alias("x"))
+    smooth = lambda e, i: (e["cum"] - F.coalesce(F.get(F.col("x"), i - F.col("width"))["cum"], F.lit(0.0))) / F.col("width")
+    points = F.transform("x", lambda e, i: F.struct(e["at"].alias("at"), e["heart_rate"].alias("heart_rate"), smooth(e, i).alias("smooth")))
+    s = whole.select("activity_id", "width", F.explode(F.slice(points, F.col("width"), F.greatest(F.size("x") - F.col("width") + 1, F.lit(0)))).alias("p")).select("activity_id", "width", "p.*")
     s = s.withColumn("__n", F.count("*").over(every)).where(F.col("__n") >= least)
     s = s.withColumn("__start", F.min("at").over(every)).withColumn("__end", F.max("at").over(every))
     first = F.col("at") - F.col("__start") <= (F.col("__end") - F.col("__start")) / 2
@@ -131,15 +132,6 @@ def decoupling(samples: DataFrame, warmup_s: float = 600, smooth_s: float = 30,
     return out.drop("__m1", "__m2").withColumn("decoupling_pct", (F.col("ratio_first") - F.col("ratio_second")) / F.col("ratio_first") * 100)
 
 
-def _running(samples: DataFrame, warmup_s: float, least: int) -> DataFrame:
-    """Row numbers and running sums of speed after the warm-up."""
-    every = W.partitionBy("activity_id")
-    order = every.orderBy("ts")
-    s = samples.where((F.col("speed") > 0) & (F.col("heart_rate") > 0)).select("activity_id", "ts", "speed", (F.unix_micros("ts") / 1_000_000).alias("at"))
-    s = s.withColumn("__n", F.count("*").over(every)).withColumn("__first", F.min("at").over(every)).where((F.col("__n") >= least) & (F.col("at") - F.col("__first") >= warmup_s))
-    return s.withColumn("rn", F.row_number().over(order)).withColumn("cum", F.sum("speed").over(order.rowsBetween(W.unboundedPreceding, 0)))
-
-
 def decoupling_series(activities: DataFrame, samples: DataFrame, rows: int = 28, min_duration: float = 45, min_pace: float = 5.0, keys: Sequence[str] = KEYS, **settings) -> DataFrame:
     """Decoupling of runs over 45 minutes slower than 5 min/km, and its mean over 28 days."""
     r = activities.where(is_running() & (F.col("duration_min") > min_duration) & (F.col("avg_pace_min_km") > min_pace))

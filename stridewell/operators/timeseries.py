@@ -67,6 +67,9 @@ def ewma(df: DataFrame, value: str, spans: dict[str, float], keys: Sequence[str]
     x = F.coalesce(F.col(value), F.lit(0.0))
     rates = {name: 2.0 / (span + 1.0) for name, span in spans.items()}
     for name, r in rates.items():
+        if r == 1.0:  # a span of 1 is the value itself
+            rows = rows.withColumn(f"__part_{name}", F.when(F.col("__on"), x))
+            continue
         rows = rows.withColumn(f"__part_{name}", F.sum(x * r * F.pow(F.lit(1.0 - r), -F.col("__j"))).over(inside) * F.pow(F.lit(1.0 - r), F.col("__j")))
     ends = rows.where("__b >= 0").groupBy(*keys, "__b").agg(F.min_by(value, "__j").alias("__first"), *[F.max_by(f"__part_{n}", "__j").alias(f"__part_{n}") for n in rates])
     blocks = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__b", "__first", *[f"__part_{n}" for n in rates]))).alias("__all"))

@@ -14,12 +14,14 @@ from stridewell.operators.timeseries import keep_first
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "xlsx": "xlsx"}
 #: Rows of an xlsx file at most: it is written by the driver, which holds all of them.
 XLSX_ROWS = 100_000
+PART_ROWS = 2_000_000
 
 
 def save_activities(df: DataFrame, path: str, keys: Sequence[str] = ("athlete_id", "session_start")) -> None:
-    """One row for each key, partitioned by year."""
+    """One row for each key, partitioned by year; a year is written in parts of about PART_ROWS rows, however large it is, each sorted by the keys."""
     rows = keep_first(df, keys, ["activity_id"]).withColumn("year", F.year("session_start"))
-    rows.repartition("year").sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("year").parquet(path)
+    parts = max(1, df.count() // PART_ROWS)
+    rows.repartitionByRange(parts, "year", *keys).sortWithinPartitions("year", *keys).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def save_table(df: DataFrame, path: str, kind: str | None = None) -> str:
