@@ -18,6 +18,8 @@ LEAST = ("resting_heart_rate", "heart_rate_min")
 LARGEST = ("heart_rate_max",)
 #: Measures whose values from sources with this name are copies of another source's.
 MIXED_METRICS, MIXED_SOURCE = ("resting_heart_rate",), "Connect"
+#: Fixed value: the metric whose samples are nights or segments of them.
+SLEEP = "sleep_analysis"
 #: Sources, the most trusted first.
 PRIORITY = ("watch", "ring", "phone")
 WIDE = ("heart_rate_variability", "resting_heart_rate", "sleep_totalSleep", "sleep_deep", "sleep_rem", "apple_sleeping_wrist_temperature")
@@ -30,22 +32,34 @@ def rank(source: Column, priority: Sequence[str] = PRIORITY, last: int = 99) ->
     return out
 
 
-def parse_push(raw: DataFrame, body: str = "body", schema: str | None = None) -> DataFrame:
-    """metric, units, date, value and source of each sample of pushed JSON bodies, besides their other columns.
+def push_samples(raw: DataFrame, body: str = "body", schema: str | None = None) -> DataFrame:
+    """name, units and sample (a struct) of each sample of pushed JSON bodies, besides their other columns.
 
-    Metrics are under data.metrics, else under metrics. A heart_rate sample with Min, Avg and Max becomes three rows.
-    A body or sample that can't be read gives no row.
+    Metrics are under data.metrics, else under metrics. A body that can't be read gives no row.
     """
     from stridewell.schemas import PUSH
 
     parsed = raw.withColumn("__j", F.from_json(F.col(body), schema or PUSH))
     keep = [c for c in raw.columns if c != body]
     m = parsed.select(*keep, F.explode(F.coalesce("__j.data.metrics", "__j.metrics")).alias("__m"))
-    s = m.select(*keep, F.col("__m.name").alias("name"), F.col("__m.units").alias("units"), F.explode("__m.data").alias("__s"))
-    three = F.array(*[F.struct(F.concat(F.col("name"), F.lit(f"_{k.lower()}")).alias("metric"), F.col(f"__s.{k}").alias("value")) for k in ("Min", "Avg", "Max")])
-    one = F.array(F.struct(F.col("name").alias("metric"), F.col("__s.qty").alias("value")))
-    rows = s.select(*keep, "units", F.col("__s.date").alias("at"), F.col("__s.source").alias("source"), F.explode(F.when(F.col("__s.Avg").isNotNull(), three).otherwise(one)).alias("__v"))
-    return rows.select(*keep, F.col("__v.metric").alias("metric"), "units", F.to_date(F.substring("at", 1, 10)).alias("date"), F.col("__v.value").alias("value"), "source").where("value is not null")
+    return m.select(*keep, F.col("__m.name").alias("name"), F.col("__m.units").alias("units"), F.explode("__m.data").alias("sample"))
+
+
+def quantities(samples: DataFrame) -> DataFrame:
+    """metric, units, date, value and source of samples (name, units, sample) that aren't sleep, besides their other columns.
+
+    A heart_rate sample with Min, Avg and Max becomes three rows; one that holds no value becomes none.
+    """
+    keep = [c for c in samples.columns if c not in ("name", "units", "sample")]
+    three = F.array(*[F.struct(F.concat(F.col("name"), F.lit(f"_{k.lower()}")).alias("metric"), F.col(f"sample.{k}").alias("value")) for k in ("Min", "Avg", "Max")])
+    one = F.array(F.struct(F.col("name").alias("metric"), F.col("sample.qty").alias("value")))
+    rows = samples.where(F.col("name") != SLEEP).select(*keep, "units", F.col("sample.date").alias("at"), F.col("sample.source").alias("source"), F.explode(F.when(F.col("sample.Avg").isNotNull(), three).otherwise(one)).alias("__v"))
+    return rows.select(*keep, F.col("__v.metric").alias("metric"), "units", F.expr("try_to_date(substring(at, 1, 10))").alias("date"), F.col("__v.value").alias("value"), "source").where("value is not null")
+
+
+def parse_push(raw: DataFrame, body: str = "body", schema: str | None = None) -> DataFrame:
+    """The quantities of pushed JSON bodies; their nights are in `sleep.from_samples`."""
+    return quantities(push_samples(raw, body, schema))
 
 
 def clean_sources(df: DataFrame, keys: Sequence[str] = ("athlete_id",)) -> DataFrame:

@@ -123,3 +123,12 @@ def hrv_band(health: DataFrame, rows: int = 7, metric: str = "heart_rate_variabi
     daily = health.where(F.col("metric") == metric).select(*keys, "date", "value")
     out = daily.withColumn("mean", ts.rolling_mean(x, rows, keys)).withColumn("sd", ts.rolling_sd(x, rows, keys))
     return out.withColumn("low", F.col("mean") - F.col("sd")).withColumn("high", F.col("mean") + F.col("sd"))
+
+
+def vo2max(daily: DataFrame, activities: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """date, value and origin: from health values first, then the best of what activities report, where they have it."""
+    own = daily.where(F.col("metric") == "vo2_max").select(*keys, "date", "value", F.lit("health").alias("origin"))
+    if "vo2_max" not in activities.columns:
+        return own
+    other = runs(activities).where(F.col("vo2_max") > 0).select(*keys, "date", F.col("vo2_max").alias("value"), F.lit("device").alias("origin"))
+    return ts.keep_first(own.unionByName(other), [*keys, "date"], [F.col("origin").desc(), F.col("value").desc()])

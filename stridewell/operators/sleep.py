@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 
 from stridewell.functions.expr import hour_fraction, plain_spaces
 
-from .health import PRIORITY, rank
+from .health import PRIORITY, SLEEP, rank
 
 #: Stages as devices name them, in English and Swedish; others are dropped.
-STAGES = {"Core": "core", "Deep": "deep", "REM": "rem", "Awake": "awake", "In Bed": "inBed", "Asleep": "asleep", "Kärna": "core", "Djup": "deep", "Vaken": "awake", "I sängen": "inBed", "Sover": "asleep"}
+STAGES = {"Core": "core", "Deep": "deep", "REM": "rem", "Awake": "awake", "In Bed": "inBed", "Asleep": "asleep", "Kärna": "core", "Djup": "deep", "Vaken": "awake", "I sängen": "inBed", "Sova": "asleep"}
 SUFFIXES = ("core", "deep", "rem", "awake", "inBed", "asleep")
 TIMES = ("sleepStart", "sleepEnd", "inBedStart", "inBedEnd")
 
 
 def night(start: Column, end: Column) -> Column:
     """The date a segment (text times) counts for: the day after its start from 18 o'clock on, else the day of its end."""
-    first = F.to_date(F.substring(start, 1, 10))
-    return F.when(F.substring(start, 12, 2).try_cast("int") >= 18, F.date_add(first, 1)).otherwise(F.to_date(F.substring(end, 1, 10)))
+    day = lambda c: F.try_to_date(F.substring(c, 1, 10))
+    return F.when(F.substring(start, 12, 2).try_cast("int") >= 18, F.date_add(day(start), 1)).otherwise(day(end))
 
 
 def segments(raw: DataFrame, keys: Sequence[str] = ("athlete_id",)) -> DataFrame:
@@ -67,6 +67,24 @@ def aggregated_rows(df: DataFrame, keys: Sequence[str] = ("athlete_id",), zone:
     return long_rows(df, keys, zone).where("value is not null")
 
 
+def from_samples(samples: DataFrame, keys: Sequence[str] = ("athlete_id",), zone: str = "Europe/Stockholm", priority: Sequence[str] = PRIORITY) -> DataFrame:
+    """sleep_* rows (date, metric, value, source) of sleep samples (name, sample) in either format, told apart sample by sample.
+
+    A sample with totalSleep is a night that the device has summed up; another with a stage in value is a segment,
+    from which nights are made. Other samples, and segments of stages that no one knows, give no row.
+    """
+    rows = samples.where(F.col("name") == SLEEP).select(*keys, "sample.*")
+    whole = rows.where("totalSleep is not null").select(*keys, F.expr("try_to_date(substring(date, 1, 10))").alias("date"), "source", "totalSleep", *SUFFIXES, *TIMES)
+    return aggregated_rows(whole, keys, zone).unionByName(long_rows(nights(raw_segments(samples, keys), keys, priority), keys, zone))
+
+
+def raw_segments(samples: DataFrame, keys: Sequence[str] = ("athlete_id",)) -> DataFrame:
+    """start_ts, end_ts (text), stage, hours and source of sleep samples that are segments; hours that are missing count 0."""
+    rows = samples.where(F.col("name") == SLEEP).select(*keys, "sample.*").where("totalSleep is null and value is not null")
+    first = lambda *names: F.coalesce(*[F.col(n) for n in names], F.lit(""))
+    return rows.select(*keys, first("startDate", "start", "date").alias("start_ts"), first("endDate", "end", "date").alias("end_ts"), F.col("value").alias("stage"), F.coalesce("qty", F.lit(0.0)).alias("hours"), "source")
+
+
 def stage_trend(nightly: DataFrame, unit: str, keys: Sequence[str] = ("athlete_id",)) -> DataFrame:
     """Mean hours of each stage by day, week or month."""
     return nightly.groupBy(*keys, F.date_trunc(unit, F.col("date")).cast("date").alias("period")).agg(*[F.avg(s).alias(s) for s in ("core", "deep", "rem", "awake")], F.count("*").alias("n_nights"))

@@ -16,7 +16,7 @@ from stridewell.operators import timeseries as ts
 from stridewell.plans import insight, reports
 from stridewell.plans.readiness import readiness as readiness_plan
 from stridewell.sources import driver_tables as t
-from stridewell.sources.readers import dual_format, filename_time
+from stridewell.sources.readers import canonical_measures, dual_format, filename_time
 from stridewell.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -663,6 +663,23 @@ def sleep_aggregated(spark, sf_dir):
     return sleep.aggregated_rows(n.withColumn("asleep", F.nullif("asleep", F.lit(0.0))))
 
 
+NIGHTS = " UNION ALL ".join(
+    [f"SELECT 100 + user_id % 8 AS athlete_id, CAST(ts AS DATE) AS date, 'sleep_{n}' AS metric, round({v}, 6) AS value, 'watch' AS source FROM events WHERE event_type = 'purchase'{w}" for n, v, w in (("totalSleep", "round(value % 8, 2)", ""), ("core", "round(value % 3, 2)", ""), ("deep", "round(value % 2, 2)", " AND event_id % 2 = 0"))]
+    + [f"SELECT 100 + user_id % 8, CAST(ts AS DATE), 'sleep_sleepStart', round({_hour('start')}, 6), 'watch' FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' +0000' AS start FROM events) WHERE event_type = 'purchase'"]
+)
+
+
+@query(f"WITH {SEG} {LONG} UNION ALL {NIGHTS}")
+def sleep_from_push(spark, sf_dir):
+    return sleep.from_samples(h.push_samples(t.sleep_pushes(spark, sf_dir)))
+
+
+@query(f"""WITH {SEG} {LONG} UNION ALL {NIGHTS} UNION ALL SELECT user_id % 8, CAST(ts AS DATE), event_type, round(value, 6), 'watch' FROM events WHERE event_type <> 'click'
+{" ".join(f"UNION ALL SELECT user_id % 8, CAST(ts AS DATE), 'heart_rate_{n}', round(value + {d}, 6), 'ring' FROM events WHERE event_type = 'click'" for n, d in (("min", 0), ("avg", 5), ("max", 9)))}""")
+def sleep_from_canonical(spark, sf_dir):
+    return canonical_measures(t.canonical_bodies(spark, sf_dir)).drop("seq")
+
+
 @query(f"WITH {SEG} SELECT athlete_id, date_trunc('week', date)::DATE AS period, {r6('avg(core) AS core', 'avg(deep) AS deep', 'avg(rem) AS rem', 'avg(awake) AS awake')}, count(*) AS n_nights FROM nt GROUP BY 1, 2")
 def sleep_stage_trend(spark, sf_dir):
     return sleep.stage_trend(sleep.nights(t.sleep_segments(spark, sf_dir)), "week")
@@ -719,6 +736,15 @@ def json_dual_format(spark, sf_dir):
     return dual_format(e.select("event_id", body.alias("body")), "body", "maxHR double, vO2MaxValue double").drop("body")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round(value, 6) END AS recoveryHeartRate, CASE WHEN event_id % 6 = 0 THEN round(value / 4, 6) END AS minHR FROM events")
+def json_details_nested(spark, sf_dir):
+    """Details count under summaryDTO only; fields of other bodies and missing ones are null."""
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 3
+    nested = F.to_json(F.struct(F.struct(F.col("value").alias("recoveryHeartRate"), F.when(F.col("event_id") % 6 == 0, F.col("value") / 4).alias("minHR")).alias("summaryDTO"), F.lit(9.0).alias("minHR")))
+    body = F.when(k == 0, nested).when(k == 1, F.lit('{"recoveryHeartRate": 50.0, "minHR": 40.0}')).otherwise(F.lit("[1"))
+    return dual_format(e.select("event_id", body.alias("body")), "body", "recoveryHeartRate double, minHR double", nested_only=True).drop("body")
+
+
 # ---- sessions ---------------------------------------------------------------------------------------------------------
 
 SHARES = r6("100 * sum(z1) / sum(z1 + z2 + z3) AS z1_pct", "100 * sum(z2) / sum(z1 + z2 + z3) AS z2_pct", "100 * sum(z3) / sum(z1 + z2 + z3) AS z3_pct")
@@ -887,5 +913,44 @@ def workout_file_name(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", expr.ascii_name(F.concat(title, F.upper("event_type"), F.lit(".json"))).alias("file"))
 
 
+def _panel_sql(ctes: str, series: str) -> str:
+    return f"""WITH {ctes}, e AS (SELECT athlete_id, min(date) AS lo, max(date) AS hi FROM {series} GROUP BY 1), w AS (SELECT athlete_id, date_trunc('week', date)::DATE AS week, sum(distance_m) / 1000 AS km FROM r GROUP BY 1, 2)
+    SELECT athlete_id, week, {r6('km')} FROM w JOIN e USING (athlete_id) WHERE week BETWEEN lo AND hi"""
+
+
+@query(_panel_sql(HRE, "o"))
+def hre_panel(spark, sf_dir):
+    return reports.series_panel(metrics.heart_rate_efficiency(_a(spark, sf_dir)), _a(spark, sf_dir))
+
+
+@query(_panel_sql(REC, "o"))
+def recovery_panel(spark, sf_dir):
+    return reports.series_panel(metrics.recovery(_a(spark, sf_dir)), _a(spark, sf_dir))
+
+
+@query(_panel_sql(DC_SERIES, "pr"))
+def decoupling_panel(spark, sf_dir):
+    return reports.series_panel(sessions.decoupling_series(_a(spark, sf_dir), t.samples(spark, sf_dir), smooth_s=SMOOTH), _a(spark, sf_dir))
+
+
+@query(f"WITH {MONO} SELECT * FROM o WHERE date >= DATE '2001-08-01' - 365")
+def monotony_panel(spark, sf_dir):
+    return reports.year_of(metrics.monotony(_a(spark, sf_dir), AS_OF), AS_OF)
+
+
+@query(f"WITH RECURSIVE {PMC} SELECT athlete_id, date, {PMC_OUT} FROM pmc WHERE date >= DATE '2001-08-01' - 365")
+def pmc_panel(spark, sf_dir):
+    return reports.year_of(_pmc(spark, sf_dir), AS_OF)
+
+
+@query(f"""WITH {H}, {A}, v AS (SELECT athlete_id, date, 20 + value / 4 AS value, 'health' AS origin FROM h WHERE metric = 'heart_rate_variability' QUALIFY row_number() OVER (PARTITION BY athlete_id, date ORDER BY seq) = 1
+UNION ALL SELECT athlete_id, date, avg_hr / 3, 'device' FROM r WHERE avg_hr > 0)
+SELECT athlete_id, date, {r6('value')}, origin FROM v QUALIFY row_number() OVER (PARTITION BY athlete_id, date ORDER BY origin DESC, value DESC) = 1""")
+def vo2max_union(spark, sf_dir):
+    daily = ts.keep_first(t.health(spark, sf_dir).where("metric = 'heart_rate_variability'"), ["athlete_id", "date"], ["seq"])
+    daily = daily.select("athlete_id", "date", F.lit("vo2_max").alias("metric"), (20 + F.col("value") / 4).alias("value"))
+    return metrics.vo2max(daily, _a(spark, sf_dir).withColumn("vo2_max", F.col("avg_hr") / 3))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["readiness"](spark, sf_dir)

@@ -146,11 +146,7 @@ class Engine:
 
     def get_vo2max(self, n: int = 30, after: str | None = None, before: str | None = None) -> DataFrame:
         """From health values first, then what activities report, where they have it."""
-        own = self.daily.where(F.col("metric") == "vo2_max").select(*ts.KEYS, "date", "value", F.lit("health").alias("origin"))
-        if "vo2_max" in self.activities.columns:
-            other = metrics.runs(self.activities).where(F.col("vo2_max") > 0).select(*ts.KEYS, "date", F.col("vo2_max").alias("value"), F.lit("device").alias("origin"))
-            own = ts.keep_first(own.unionByName(other), [*ts.KEYS, "date"], [F.col("origin").desc(), F.col("value").desc()])
-        return reports.tail_or_range(own, n, self._span(after, before))
+        return reports.tail_or_range(metrics.vo2max(self.daily, self.activities), n, self._span(after, before))
 
     def get_health_metric(self, metric: str, n: int = 30, after: str | None = None, before: str | None = None, known: list[str] = ()) -> DataFrame:
         return reports.metric(self.daily, resolve_metric(metric, list(known)), n, self._span(after, before))

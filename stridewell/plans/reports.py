@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,11 +160,14 @@ def readiness(series: DataFrame, n: int = 14, span: RANGE = ALL) -> DataFrame:
     return tail_or_range(series, n, span)
 
 
+def year_of(series: DataFrame, as_of: date) -> DataFrame:
+    """The days of a series in the year before a day, for a panel."""
+    return series.where(within(F.col("date"), as_of - timedelta(days=365), None))
+
+
 def acwr_panel(activities: DataFrame, as_of: date) -> DataFrame:
     """A year of daily ratios."""
-    from datetime import timedelta
-
-    return metrics.acwr(activities, as_of).where(within(F.col("date"), as_of - timedelta(days=365), None))
+    return year_of(metrics.acwr(activities, as_of), as_of)
 
 
 def series_panel(series: DataFrame, activities: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from stridewell import schemas
 from stridewell.operators import health as h
+from stridewell.operators import sleep
 
 #: Event time at the start of a device file's name, before the first underscore. Hadoop can't open local names with
 #: colons, so hyphens may stand for them.
@@ -58,25 +59,40 @@ def device_metrics(spark: SparkSession, path: str) -> DataFrame:
     return summary.join(part("details", schemas.DEVICE_DETAILS, True).drop("name"), "prefix", "left")
 
 
-def health_pushes(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of pushed files: athlete_id (0), date, metric, value, source, seq."""
-    raw = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).withColumnRenamed("value", "body")
-    rows = h.parse_push(raw)
-    return rows.select(F.lit(0).cast("long").alias("athlete_id"), "date", "metric", "value", "source", F.xxhash64("date", "metric", "value", "source").alias("seq"))
+def _measures(samples: DataFrame) -> DataFrame:
+    """athlete_id, date, metric, value, source and seq of samples (athlete_id, name, units, sample): quantities and nights."""
+    rows = h.quantities(samples).select("athlete_id", "date", "metric", "value", "source").unionByName(sleep.from_samples(samples))
+    return rows.where("date is not null").withColumn("seq", F.xxhash64("date", "metric", "value", "source"))
 
 
-def canonical(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of per-metric, per-day files, summed up to days by the metric's rule."""
+def health_pushes(spark: SparkSession, path: str, athlete_id: int = 0) -> DataFrame:
+    """Measures of pushed files: athlete_id, date, metric, value, source, seq; nights from either format of sleep samples."""
+    raw = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
+    return _measures(h.push_samples(raw.select(F.lit(athlete_id).cast("long").alias("athlete_id"), F.col("value").alias("body"))))
+
+
+def canonical_samples(raw: DataFrame) -> DataFrame:
+    """name, units and sample of per-metric, per-day records, besides their other columns."""
+    keep = [c for c in raw.columns if c not in ("metric", "date", "units", "samples")]
+    return raw.select(*keep, F.col("metric").alias("name"), "units", F.explode("samples").alias("sample"))
+
+
+def canonical_measures(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Measures of JSON bodies (athlete_id, body) of per-metric, per-day files."""
+    parsed = raw.select("athlete_id", F.from_json(body, _struct(schemas.CANONICAL)).alias("j")).select("athlete_id", "j.*")
+    return _measures(canonical_samples(parsed))
+
+
+def canonical(spark: SparkSession, path: str, athlete_id: int = 0) -> DataFrame:
+    """Measures of per-metric, per-day files, neither cleaned nor summed up; an empty file gives no row."""
     raw = spark.read.schema(_struct(schemas.CANONICAL)).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
-    s = raw.select("metric", "date", F.posexplode("samples").alias("seq", "s"))
-    rows = s.select(F.lit(0).cast("long").alias("athlete_id"), F.to_date("date").alias("date"), "metric", F.col("s.qty").alias("value"), F.col("s.source").alias("source"), F.col("seq").cast("long").alias("seq"))
-    return h.aggregate_daily(rows.where("value is not null"))
+    return _measures(canonical_samples(raw.withColumn("athlete_id", F.lit(athlete_id).cast("long"))))
 
 
-def resting_hr(spark: SparkSession, path: str) -> DataFrame:
+def resting_hr(spark: SparkSession, path: str, athlete_id: int = 0) -> DataFrame:
     """date, rhr and source of a CSV with a header, by position; a bad line is null and dropped."""
     df = spark.read.option("header", "true").option("mode", "PERMISSIVE").schema("date string, rhr double, source string").csv(path)
-    return df.select(F.lit(0).cast("long").alias("athlete_id"), F.expr("try_to_date(substring(date, 1, 10))").alias("date"), "rhr", "source").where("date is not null and rhr is not null")
+    return df.select(F.lit(athlete_id).cast("long").alias("athlete_id"), F.expr("try_to_date(substring(date, 1, 10))").alias("date"), "rhr", "source").where("date is not null and rhr is not null")
 
 
 def csv(spark: SparkSession, path: str, ddl: str, sep: str = ",") -> DataFrame:
@@ -95,7 +111,7 @@ def tcx_samples(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.xxhash64(F.col("_metadata.file_name")).alias("activity_id"), F.try_to_timestamp("Time").alias("ts"), F.col("Extensions.TPX.Speed").alias("speed"), F.col("HeartRateBpm.Value").alias("heart_rate"), F.col("DistanceMeters").alias("distance_m")).where("ts is not null")
 
 
-def weight_archive(spark: SparkSession, path: str) -> DataFrame:
+def weight_archive(spark: SparkSession, path: str, athlete_id: int = 0) -> DataFrame:
     """ts, weight, fat_mass and seq of zip archives that hold weight.csv; archives are read on executors."""
 
     def rows(batches):
@@ -111,4 +127,4 @@ def weight_archive(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"ts": pd.to_datetime(w.iloc[:, 0], utc=True, errors="coerce").dt.tz_localize(None), "weight": pd.to_numeric(w.iloc[:, 1], errors="coerce"), "fat_mass": pd.to_numeric(w.iloc[:, 2], errors="coerce"), "seq": range(len(w))})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    return files.mapInPandas(rows, "ts timestamp, weight double, fat_mass double, seq long").withColumn("athlete_id", F.lit(0).cast("long"))
+    return files.mapInPandas(rows, "ts timestamp, weight double, fat_mass double, seq long").withColumn("athlete_id", F.lit(athlete_id).cast("long"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from stridewell.operators import health as h
+from stridewell.operators import sleep
 from stridewell.operators.timeseries import keep_first
 
 SAMPLE_KEY = ("metric", "date", "value", "source")
+#: Partitions of a batch that are named one by one when the stored table is read.
+BOUND = 2000
 
 
 def new_samples(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
@@ -18,25 +24,57 @@ def new_samples(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
     return rows if existing is None else rows.join(existing.select(*SAMPLE_KEY), list(SAMPLE_KEY), "left_anti")
 
 
-def ingest_pushes(spark: SparkSession, inbox: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Takes what has arrived in a folder of pushed JSON files into a table partitioned by metric and date, and ends.
+def _stored(session: SparkSession, table: str, schema: T.StructType, batch: DataFrame, parts: tuple[str, ...]) -> DataFrame | None:
+    """What a partitioned table holds in the partitions of a batch, or None where there is no table yet.
 
-    Any lateness is accepted, and a repeated push or a replayed batch adds nothing: each batch is joined with the
-    stored samples of its own (metric, date) partitions, which the join's partition filter selects.
+    The batch's partitions come to the driver, at most `BOUND` of them, as a filter that prunes the scan; of more, only
+    the range of the last one, a date, does.
+    """
+    path = session._jvm.org.apache.hadoop.fs.Path(table)
+    if not path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path):
+        return None
+    stored = session.read.schema(schema).parquet(table)
+    own = batch.select(*parts).distinct().limit(BOUND + 1).collect()
+    if len(own) <= BOUND:
+        by_first: dict = {}
+        for *first, day in own:
+            by_first.setdefault(tuple(first), set()).add(day)
+        tests = [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(parts, first, strict=False)] + [F.col(parts[-1]).isin(*days)]) for first, days in by_first.items()]
+        return stored.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    low, high = batch.agg(F.min(parts[-1]), F.max(parts[-1])).first()
+    return stored.where(F.col(parts[-1]).between(low, high))
+
+
+def ingest_pushes(spark: SparkSession, inbox: str, table: str, checkpoint: str, sleep_table: str | None = None) -> StreamingQuery:
+    """Takes what has arrived in a folder of pushed JSON files into a table partitioned by metric and month, and ends.
+
+    Any lateness is accepted, and a repeated push or a replayed batch adds nothing: each batch is joined with what the
+    table holds of its own metrics and months. With sleep_table, sleep samples go there whole, by the month in which
+    they end, as a segment may span midnight; see `stored_nights`.
     """
     stream = spark.readStream.format("text").option("wholetext", "true").load(inbox).withColumnRenamed("value", "body")
 
     def take(batch: DataFrame, _: int) -> None:
-        rows = h.parse_push(batch).withColumn("date", F.col("date"))
         session = batch.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(table)
-        there = path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path)
-        existing = session.read.schema(rows.schema).parquet(table) if there else None
-        new_samples(rows, existing).write.mode("append").partitionBy("metric", "date").parquet(table)
+        samples = h.push_samples(batch).persist()
+        rows = h.quantities(samples).where("date is not null").withColumn("month", F.trunc("date", "month"))
+        fresh = new_samples(rows, _stored(session, table, rows.schema, rows, ("metric", "month")))
+        fresh.repartition("metric", "month").write.mode("append").partitionBy("metric", "month").parquet(table)
+        if sleep_table:
+            nights = samples.where(F.col("name") == h.SLEEP).select("sample.*").withColumn("month", F.trunc(F.expr("try_to_date(substring(coalesce(endDate, end, date), 1, 10))"), "month")).where("month is not null").distinct()
+            stored = _stored(session, sleep_table, nights.schema, nights, ("month",))
+            (nights if stored is None else nights.exceptAll(stored)).repartition("month").write.mode("append").partitionBy("month").parquet(sleep_table)
+        samples.unpersist()
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_nights(spark: SparkSession, sleep_table: str, athlete_id: int = 0) -> DataFrame:
+    """sleep_* rows of the sleep samples that `ingest_pushes` has stored."""
+    rows = spark.read.parquet(sleep_table).drop("month")
+    return sleep.from_samples(rows.select(F.lit(athlete_id).cast("long").alias("athlete_id"), F.lit(h.SLEEP).alias("name"), F.struct(*rows.columns).alias("sample")))
+
+
 def daily_load(events: DataFrame, late: str | None = None) -> DataFrame:
     """Count and sum of values by day and type, of a batch or, with a watermark, of a stream."""
     e = events.withWatermark("ts", late) if late else events
