@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import zipfile
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -199,3 +200,139 @@ def test_cached_results_are_worked_out_once(spark, tmp_path):
     run = lambda n, p: sorted(r["x"] for r in cached(spark.range(n).withColumnRenamed("id", "activity_id"), compute, path, {"p": p}).collect())
     assert run(4, 1) == [0, 20] and run(4, 1) == [0, 20] and run(6, 1) == [0, 20, 40] and run(2, 2) == [0]
     assert seen == [[0, 1, 2, 3], [4, 5], [0, 1]]
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_joins_on_time_against_brute_force(spark, keys):
+    """Ties in time and in distance, null times, several keys, a dense and a sparse stretch."""
+    rng = random.Random(len(keys))
+    t0 = datetime(2024, 1, 1)
+    moment = lambda: rng.choice([None, t0 + timedelta(seconds=rng.randrange(900)), t0 + timedelta(seconds=rng.randrange(60) * 0.5), t0 + timedelta(hours=rng.randrange(9))])
+    left = [(i, moment(), rng.randrange(2)) for i in range(250)]
+    right = [(rng.randrange(400), moment(), float(i), rng.randrange(2)) for i in range(250)]
+    right = list({r[0]: r for r in right}.values())
+    a, b = spark.createDataFrame(left, "a long, ta timestamp, k int"), spark.createDataFrame(right, "b long, tb timestamp, v double, k int")
+    if not keys:
+        b = b.drop("k")
+    same = lambda x, y: not keys or x[2] == y[3]
+    got = {r["a"]: (r["b"], r["v"]) for r in joins.nearest_join(a, b, "ta", "tb", "a", "b", keys=keys).collect()}
+    near = {r["a"] for r in joins.near_duplicates(a, b, "ta", "tb", keys=keys).collect()}
+    assert len(got) == len(left)
+    for x in left:
+        gaps = sorted((abs((x[1] - y[1]).total_seconds()), y[0], y[2]) for y in right if same(x, y) and x[1] and y[1])
+        assert got[x[0]] == ((gaps[0][1], gaps[0][2]) if gaps and gaps[0][0] <= 120 else (None, None)), x
+        assert (x[0] in near) == bool(gaps and gaps[0][0] < 2), x
+    plan = joins.nearest_join(a, b, "ta", "tb", "a", "b", keys=keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_ewma_of_span_one_is_the_value(spark):
+    df = series(spark, [None, 2.0, None, *map(float, range(200))])
+    assert values(ts.ewma(df, "x", {"a": 1, "b": 3}), "a") == [None, 2.0, 0.0, *map(float, range(200))]
+
+
+SLEEP = [
+    {"date": "2026-01-05 00:00:00 +0100", "totalSleep": 7.0, "core": 4.0, "deep": 1.2, "rem": 1.8, "awake": 0.3, "inBed": 0, "asleep": 0, "sleepStart": "2026-01-04 23:30:00 +0100", "sleepEnd": "2026-01-05 06:30:00 +0100", "inBedStart": "", "source": "watch"},
+    {"startDate": "2026-01-06 22:00:00 +0100", "endDate": "2026-01-07 01:00:00 +0100", "value": "K\u00e4rna", "qty": 3.0, "source": "watch"},
+    {"startDate": "2026-01-07 01:00:00 +0100", "endDate": "2026-01-07 02:30:00 +0100", "value": "Djup", "qty": 1.5, "source": "watch"},
+    {"startDate": "2026-01-07 01:00:00 +0100", "endDate": "2026-01-07 02:30:00 +0100", "value": "Djup", "qty": 1.5, "source": "watch"},
+    {"start": "2026-01-06 22:00:00 +0100", "end": "2026-01-07 07:00:00 +0100", "value": "I s\u00e4ngen", "qty": 9.0, "source": "phone"},
+    {"startDate": "2026-01-07 02:30:00 +0100", "endDate": "2026-01-07 03:00:00 +0100", "value": "no stage", "qty": 0.5, "source": "watch"},
+    {"date": "2026-01-07", "qty": 5.0},
+]
+NIGHTS = {
+    (date(2026, 1, 5), "sleep_totalSleep"): 7.0, (date(2026, 1, 5), "sleep_deep"): 1.2, (date(2026, 1, 5), "sleep_sleepStart"): 23.5, (date(2026, 1, 5), "sleep_sleepEnd"): 6.5,
+    (date(2026, 1, 7), "sleep_totalSleep"): 4.5, (date(2026, 1, 7), "sleep_core"): 3.0, (date(2026, 1, 7), "sleep_deep"): 1.5, (date(2026, 1, 7), "sleep_inBed"): 0.0, (date(2026, 1, 7), "sleep_sleepStart"): 22.0, (date(2026, 1, 7), "sleep_sleepEnd"): 2.5,
+}
+
+
+def test_sleep_in_files(spark, tmp_path):
+    """Both formats in one file, told apart sample by sample; repeated segments count once; unknown stages and other samples don't."""
+    heart = {"name": "heart_rate", "units": "bpm", "data": [{"date": "2026-01-05 10:00:00 +0100", "Min": 50, "Avg": 60, "Max": 90, "source": "watch"}]}
+    os.makedirs(tmp_path / "push")
+    with open(tmp_path / "push" / "a.json", "w") as f:
+        json.dump({"data": {"metrics": [{"name": "sleep_analysis", "units": "hr", "data": SLEEP}, heart]}}, f)
+    with open(tmp_path / "push" / "bad.json", "w") as f:
+        f.write("{bad")
+    os.makedirs(tmp_path / "canonical")
+    for name, metric in (("s", {"metric": "sleep_analysis", "samples": SLEEP}), ("h", {"metric": "heart_rate", "samples": heart["data"]}), ("e", {"metric": "step_count", "samples": []})):
+        with open(tmp_path / "canonical" / f"{name}.json", "w") as f:
+            json.dump({"date": "2026-01-05", "units": "u", **metric}, f)
+    for read, folder in ((readers.health_pushes, "push"), (readers.canonical, "canonical")):
+        rows = read(spark, str(tmp_path / folder), athlete_id=7).collect()
+        got = {(r["date"], r["metric"]): r["value"] for r in rows}
+        assert {r["athlete_id"] for r in rows} == {7} and len(got) == len(rows)
+        for key, value in NIGHTS.items():
+            assert got[key] == pytest.approx(value), key
+        assert {d for d, _ in got} == {date(2026, 1, 5), date(2026, 1, 7)} and (date(2026, 1, 5), "sleep_inBedStart") not in got
+        assert [got[(date(2026, 1, 5), f"heart_rate_{x}")] for x in ("min", "avg", "max")] == [50, 60, 90]
+        assert {r["source"] for r in rows if r["date"] == date(2026, 1, 7)} == {"watch"}
+
+
+def test_stream_ingest_of_sleep_and_pruning(spark, tmp_path):
+    """Sleep samples are stored whole and once; nights come from what is stored; a later batch reads only its own months."""
+    inbox, table, nights, check = (str(tmp_path / x) for x in ("inbox", "table", "nights", "check"))
+    os.makedirs(inbox)
+
+    def put(name, *samples):
+        with open(f"{inbox}/{name}.json", "w") as f:
+            json.dump({"data": {"metrics": [{"name": "sleep_analysis", "units": "hr", "data": list(samples)}, {"name": "steps", "units": "n", "data": [{"date": "2026-01-05", "qty": 3, "source": "w"}]}]}}, f)
+
+    put("a", *SLEEP[:3])
+    ingest.ingest_pushes(spark, inbox, table, check, nights).awaitTermination()
+    put("b", *SLEEP[1:])
+    put("c", {"startDate": "2026-02-02 23:00:00 +0100", "endDate": "2026-02-03 01:00:00 +0100", "value": "REM", "qty": 2.0, "source": "watch"})
+    ingest.ingest_pushes(spark, inbox, table, check, nights).awaitTermination()
+    got = {(r["date"], r["metric"]): r["value"] for r in ingest.stored_nights(spark, nights).collect()}
+    assert all(got[k] == pytest.approx(v) for k, v in NIGHTS.items()) and got[(date(2026, 2, 3), "sleep_rem")] == 2.0
+    assert spark.read.parquet(table).count() == 1
+    batch = spark.createDataFrame([("steps", date(2026, 1, 1))], "metric string, month date")
+    stored = ingest._stored(spark, table, spark.read.parquet(table).schema, batch, ("metric", "month"))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(" in plan.replace("PartitionFilters: [isnotnull", "PartitionFilters: [(isnotnull") and stored.count() == 1
+
+
+def test_windows_and_sessions_on_a_stream(spark, tmp_path):
+    """The streaming operators run on a stream with a watermark and give the batch's rows."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, i % 3, t0 + timedelta(minutes=17 * i), "a" if i % 2 else "b", float(i)) for i in range(150)]
+    ddl = "event_id long, user_id long, ts timestamp, event_type string, value double"
+    df = spark.createDataFrame(rows, ddl)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(999, 9, t0 + timedelta(days=99), "z", 0.0)], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # moves the watermark on
+    for name, op in (("daily", ingest.daily_load), ("sessions", ingest.sessions)):
+        stream = op(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), late="1 hour")
+        stream.writeStream.format("memory").queryName(f"{name}_out").outputMode("append").option("checkpointLocation", str(tmp_path / f"check_{name}")).trigger(availableNow=True).start().awaitTermination()
+        got, want = ({tuple(r) for r in x.collect()} for x in (spark.table(f"{name}_out"), op(df)))
+        assert got == want and want, name
+
+
+def test_readers_and_sinks_on_files(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("in/weight.csv", "Date,Weight (kg),Fat mass (kg)\n2024-01-01 07:00:00,80,16\n2024-01-01 07:00:00,81,17\nbad,1,1\n")
+        z.writestr("README.txt", "x")
+    with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
+        z.writestr("user.csv", "a")
+    w = readers.weight_archive(spark, str(tmp_path), athlete_id=3)
+    assert {(r["athlete_id"], r["weight"], r["fat_mass"], r["seq"]) for r in w.where("ts is not null").collect()} == {(3, 80.0, 16.0, 0), (3, 81.0, 17.0, 1)}
+    (r,) = h.body_composition(w.where("ts is not null")).collect()
+    assert (r["fat_pct"], r["lean_mass"]) == (20.0, 64.0)
+    with open(tmp_path / "t.csv", "w") as f:
+        f.write("a;b\n1;x\nz;y\n2\n")
+    assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "t.csv"), "a int, b string", ";").collect()] == [(1, "x"), (None, "y"), (2, None)]
+    acts = spark.createDataFrame([(1, i % 5, datetime(2020 + i % 3, 1, 1 + i % 5)) for i in range(40)], "athlete_id long, activity_id long, session_start timestamp")
+    sinks.save_activities(acts, str(tmp_path / "acts"))
+    saved = spark.read.parquet(str(tmp_path / "acts"))
+    assert saved.count() == 15 and {r["year"] for r in saved.collect()} == {2020, 2021, 2022} and saved.dropDuplicates(["athlete_id", "session_start"]).count() == 15
+    with pytest.raises(ValueError, match="xlsx"):
+        sinks.save_table(spark.range(sinks.XLSX_ROWS + 5), str(tmp_path / "big.xlsx"))
+
+
+def test_rollup_of_track_files(spark, tmp_path):
+    """Track files -> samples -> one row for each activity."""
+    point = "<Trackpoint><Time>2024-01-01T10:00:{:02d}Z</Time><HeartRateBpm><Value>{}</Value></HeartRateBpm><Extensions><TPX><Speed>{}</Speed></TPX></Extensions></Trackpoint>"
+    for name, n in (("a.tcx", 3), ("b.TCX", 5)):
+        with open(tmp_path / name, "w") as f:
+            f.write("<Track>" + "".join(point.format(i, 140 + i, 3.0) for i in range(n)) + "</Track>")
+    rows = sessions.rollup(readers.tcx_samples(spark, str(tmp_path))).collect()
+    assert sorted((r["n_samples"], r["max_hr"], r["avg_speed"]) for r in rows) == [(3, 142.0, 3.0), (5, 144.0, 3.0)]
