@@ -21,6 +21,8 @@ WINDOW, MINIMISER = 13, 4
 CHUNK, FLUSH = 1 << 19, 8 << 20
 #: Digests of whole texts that a task remembers.
 TEXTS = 1 << 17
+#: Super-k-mers of a bucket on average at most, of which a worker holds one at a time; and the slots that minimisers are counted by.
+PER_BUCKET, SLOTS = 400_000, 1 << 20
 #: A string with more places than this in what a task sends has them looked up by a join, not by its bucket.
 HEAVY = 64
 RADIX = 0x9E3779B97F4A7C15
@@ -142,9 +144,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
     docs: doc_id and key (both long, not null; together they name a row) and text. Spans may touch or overlap.
 
-    1. Super-k-mers are counted by slots of their minimiser, and each task reports those with more than a bucket's share
-    of its own. A slot whose reported counts are more than a bucket's share of all is hot, which any slot with twice that
-    share is; its windows go to buckets by their own hash instead. 2. Each task takes a text only once, with its least doc_id,
+    1. Super-k-mers are counted by slots of their minimiser, and each task reports those with more than a slot's share
+    of its own. Their number also says how many buckets there are, so that a bucket's size doesn't grow with the input.
+    A slot whose reported counts are more than a bucket's share of all is hot; its windows go to buckets by their own hash instead. 2. Each task takes a text only once, with its least doc_id,
     as its other copies go whole; it merges equal super-k-mers and packs those of a bucket, with the places where they
     stand, into one string. 3. A bucket sorts the hashes of its windows, compares neighbours
     word by word, and so has the least doc_id of each window. Places of strings that stand in more than HEAVY places of
@@ -153,8 +155,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     spark = docs.sparkSession
     tune(spark)
     n = partitions(spark)
-    buckets = 8 * n
-    slots = 1 << (16 * buckets - 1).bit_length()
+    least_buckets = 8 * n
+    slots = max(SLOTS, 1 << (16 * least_buckets - 1).bit_length())
     source = docs.where("doc_id is not null and text is not null").select("doc_id", "key", F.col("text").cast("string").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +168,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                 one = mix((words.sums[words.ends[last + window - 1]] - words.sums[words.starts[first]]) * words.down[words.starts[first]]) if len(first) else first
             _, at = np.unique(one, return_index=True)
             np.add.at(total, (low[at] & np.uint64(slots - 1)).astype(np.int64), 1)
-        there = np.flatnonzero(total > total.sum() / buckets)
+        there = np.flatnonzero(total > max(16, total.sum() / slots))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, there]), pa.array(np.r_[total.sum(), total[there]])], ["slot", "n"])
 
     sizes = source.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     sizes = written(sizes, "slots")
     everything = sizes.where("slot = -1").agg(F.sum("n")).first()[0] or 0
-    #: fewer numbers than there are buckets
-    hot = np.array(sorted(r["slot"] for r in sizes.where((F.col("slot") >= 0) & (F.col("n") > everything / buckets)).collect()), np.int64)
+    buckets = max(least_buckets, -(-everything // PER_BUCKET))
+    #: no more numbers than there are buckets
+    hot = np.array(sorted(r["slot"] for r in sizes.where((F.col("slot") >= 0) & (F.col("n") > max(everything / buckets, 16 * everything / slots))).collect()), np.int64)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, int] = {}
@@ -240,7 +243,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
             if not len(first):
                 continue
             slot = (low & np.uint64(slots - 1)).astype(np.int64)
-            bucket = slot % buckets
+            bucket = (low % np.uint64(buckets)).astype(np.int64)
             if len(hot) and (spread := np.isin(slot, hot)).any():
                 single = np.concatenate([np.arange(a, z + 1) for a, z in zip(first[spread], last[spread], strict=True)])
                 own = (mix(words.runs(window)[single]) % np.uint64(buckets)).astype(np.int64)

@@ -32,6 +32,14 @@ def test_against_brute_force(spark, documents, monkeypatch, heavy):
     assert got == brute([(r["doc_id"], r["text"]) for r in documents.collect()], 13)
 
 
+def test_buckets_follow_the_data(spark, documents, monkeypatch):
+    """With few super-k-mers a bucket there are hundreds of buckets, with slots to match; the rows are the same."""
+    monkeypatch.setattr(ss, "PER_BUCKET", 20)
+    monkeypatch.setattr(ss, "SLOTS", 64)
+    got = sorted((tuple(r) for r in ss.documents(documents).collect()), key=str)
+    assert got == brute([(r["doc_id"], r["text"]) for r in documents.collect()], 13)
+
+
 def test_hot_minimisers(spark):
     """Many documents with one passage between different words: its minimisers are hot, and its copies many."""
     rng = random.Random(1)
