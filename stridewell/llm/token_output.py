@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, tune
 from .tokens import encoder
 
+#: Shards have at least so many bytes, and there are about so many at most, if not told otherwise.
+SHARD_BYTES, SHARDS = 32 << 20, 50_000
 #: Ends each record of a shard, as Spark's text writer does.
 RECORD_END = 1
 
@@ -44,13 +46,13 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
-def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048, shard_bytes: int = 32 << 20, end_id: int = 50256, json_path: str | None = None, ranks_path: str | None = None) -> dict:
+def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048, shard_bytes: int | None = None, end_id: int = 50256, json_path: str | None = None, ranks_path: str | None = None) -> dict:
     """Tokenises every whole text, cuts the stream of ids into sequences of seq_len and writes them in training order.
 
     The stream holds the documents in the order of the input's partitions, each followed by end_id (a null or empty text:
     end_id alone); the last sequence is filled up with end_id. Sequence i goes to slot permuted(i). Shard k is the file
     part-k of `path` and holds slots k*per_shard and on, each a record of 2*seq_len bytes (ids as little-endian unsigned
-    16-bit) and one byte, so slot s starts at byte (s - k*per_shard) * stride. A reader resumes from a slot number alone.
+    16-bit; larger ids raise an error) and one byte, so slot s starts at byte (s - k*per_shard) * stride. A reader resumes from a slot number alone.
 
     The input's partitions must not change between two passes over it, as is so for a scan or a written table: the first
     pass counts each partition's ids (one number a partition comes to the driver, as in zipWithIndex), the second writes.
@@ -74,7 +76,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048,
         base[part], total = total, total + counted[part]
     n_seq = -(-total // seq_len)
     stride = 2 * seq_len + RECORD_END
-    per_shard = max(1, shard_bytes // stride)
+    per_shard = max(1, (shard_bytes or max(SHARD_BYTES, 2 * total // SHARDS)) // stride)
     n_shards = -(-n_seq // per_shard)
     said = {"n_tokens": total, "n_sequences": n_seq, "seq_len": seq_len, "stride": stride, "per_shard": per_shard, "n_shards": n_shards}
     if not total:
@@ -99,7 +101,10 @@ def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048,
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                ids = np.append(encode(t), np.uint32(end_id)).astype("<u2")
+                ids = np.append(encode(t), np.uint32(end_id))
+                if ids.max() > 65_535:
+                    raise ValueError("ids beyond 65,535 don't fit into unsigned 16-bit records; use a smaller vocabulary")
+                ids = ids.astype("<u2")
                 held.append(ids)
                 size += len(ids)
                 if size >= 256 * seq_len:

@@ -63,6 +63,11 @@ def test_round_trip(spark, documents):
     assert {r["slot"]: r["ids_crc32"] for r in rows} == {k: zlib.crc32(np.array(v, "<u2").tobytes()) for k, v in slots.items()}
 
 
+def test_ids_beyond_16_bits_raise(spark, documents):
+    with pytest.raises(Exception, match="65,535"):
+        to.write_shards(documents, tempfile.mkdtemp() + "/shards", end_id=70_000)
+
+
 def test_nothing(spark, nothing):
     path = tempfile.mkdtemp() + "/shards"
     said = to.write_shards(nothing, path)
