@@ -24,9 +24,7 @@ def runs(activities: DataFrame) -> DataFrame:
 
 def _rolled(per_run: DataFrame, value: str, rows: int, keys: Sequence[str]) -> DataFrame:
     """per_run with the mean over `rows` days of its daily means; runs keep their rows."""
-    daily = per_run.groupBy(*keys, "date").agg(F.avg(value).alias("__daily"))
-    rolling = ts.on_spine(daily, keys).select(*keys, "date", ts.rolling_mean(F.col("__daily"), rows, keys).alias(f"{value}_rolling{rows}"))
-    return per_run.join(rolling, [*keys, "date"], "left")
+    return ts.rolling_day_mean(per_run, value, f"{value}_rolling{rows}", rows, keys)
 
 
 def efficiency(activities: DataFrame, rows: int = 28, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -99,8 +97,8 @@ def trimp_daily(activities: DataFrame, hr_max_bpm: float | Column = 190.0, resti
     r = runs(activities).where((F.col("avg_hr") > 0) & (F.col("duration_min") > 10))
     rest: Column = F.lit(hr_rest)
     if resting is not None:
-        days = preceding_mean(r.select(*keys, "date").distinct(), resting, "rhr", "hr_rest", fallback=hr_rest, keys=keys)
-        r, rest = r.join(days, [*keys, "date"], "left"), F.col("hr_rest")
+        r = preceding_mean(r.select(*keys, "date", "duration_min", "avg_hr"), resting, "rhr", "hr_rest", fallback=hr_rest, keys=keys)
+        rest = F.col("hr_rest")
     highest = hr_max_bpm if isinstance(hr_max_bpm, Column) else F.lit(hr_max_bpm)
     return r.withColumn("trimp", trimp(F.col("duration_min"), F.col("avg_hr"), rest, highest)).groupBy(*keys, "date").agg(F.sum("trimp").alias("daily_trimp"))
 

@@ -137,6 +137,4 @@ def decoupling_series(activities: DataFrame, samples: DataFrame, rows: int = 28,
     r = activities.where(is_running() & (F.col("duration_min") > min_duration) & (F.col("avg_pace_min_km") > min_pace))
     r = r.select(*keys, "activity_id", F.to_date("session_start").alias("date"), (F.col("distance_m") / 1000).alias("distance_km"), "avg_pace_min_km", "avg_hr")
     per = r.join(decoupling(samples.join(r.select("activity_id"), "activity_id", "left_semi"), **settings), "activity_id")
-    daily = per.groupBy(*keys, "date").agg(F.avg("decoupling_pct").alias("__daily"))
-    rolling = ts.on_spine(daily, keys).select(*keys, "date", ts.rolling_mean(F.col("__daily"), rows, keys).alias(f"decoupling_rolling{rows}"))
-    return per.join(rolling, [*keys, "date"], "left")
+    return ts.rolling_day_mean(per, "decoupling_pct", f"decoupling_rolling{rows}", rows, keys)

@@ -19,8 +19,15 @@ def date_spine(df: DataFrame, keys: Sequence[str] = KEYS, day: str = "date", unt
 
 
 def on_spine(daily: DataFrame, keys: Sequence[str] = KEYS, day: str = "date", until: date | None = None) -> DataFrame:
-    """daily with a row for each day of its spine; the measures of added days are null."""
-    return date_spine(daily, keys, day, until).join(daily, [*keys, day], "left")
+    """daily with a row for each day of its spine; the measures of added days are null. Rows without a day are dropped.
+
+    Each row brings the days up to the next one, so that no join is needed and one deal by the keys serves this and later windows.
+    """
+    following = F.lead(day).over(W.partitionBy(*keys).orderBy(day))
+    last = F.col(day) if until is None else F.greatest(F.col(day), F.lit(until))
+    rows = daily.where(F.col(day).isNotNull()).withColumn("__last", F.greatest(F.col(day), F.coalesce(F.date_sub(following, 1), last)))
+    rows = rows.withColumn("__day", F.explode(F.sequence(day, "__last", F.expr("interval 1 day"))))
+    return rows.select(*[F.col("__day").alias(c) if c == day else F.col(c) if c in keys else F.when(F.col("__day") == F.col(day), F.col(c)).alias(c) for c in daily.columns])
 
 
 def window(rows: int | None = None, keys: Sequence[str] = KEYS, order: Sequence[str] = ("date",)):
@@ -41,6 +48,18 @@ def rolling_mean(x: Column, rows: int, keys: Sequence[str] = KEYS, order: Sequen
     return full(F.avg(x).over(window(rows, keys, order)), rows, keys, order)
 
 
+def rolling_day_mean(df: DataFrame, value: str, out: str, days: int, keys: Sequence[str] = KEYS, day: str = "date") -> DataFrame:
+    """Adds to each row the mean of the daily means of the last `days` days, its own included, once so many days have passed since the first.
+
+    A day may have several rows, or none. One range window over the days; neither a spine nor a join.
+    """
+    own, every = W.partitionBy(*keys, day), W.partitionBy(*keys)
+    daily = F.when(F.row_number().over(own.orderBy(F.lit(0))) == 1, F.avg(value).over(own))
+    rows = df.withColumn("__daily", daily).withColumn("__n", F.unix_date(day))
+    mean = F.avg("__daily").over(every.orderBy("__n").rangeBetween(1 - days, 0))
+    return rows.withColumn(out, F.when(F.col("__n") - F.min("__n").over(every) >= days - 1, mean)).drop("__daily", "__n")
+
+
 def rolling_sd(x: Column, rows: int, keys: Sequence[str] = KEYS, order: Sequence[str] = ("date",)) -> Column:
     return full(F.stddev_samp(x).over(window(rows, keys, order)), rows, keys, order)
 
