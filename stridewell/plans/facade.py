@@ -40,6 +40,20 @@ ALIASES = {
     "recovery": "cardio_recovery", "recovery_hr": "cardio_recovery", "återhämtning": "cardio_recovery",
 }
 
+#: Groups of health measures.
+GROUPS = {
+    "Body": ("weight_body_mass", "body_mass_index", "body_fat_percentage", "lean_body_mass", "height", "body_temperature"),
+    "Heart": ("heart_rate", "heart_rate_variability", "resting_heart_rate", "walking_heart_rate_average", "cardio_recovery"),
+    "Respiratory": ("respiratory_rate", "blood_oxygen_saturation"),
+    "Fitness": ("vo2_max", "six_minute_walking_test_distance"),
+    "Activity": ("active_energy", "basal_energy_burned", "step_count", "walking_running_distance", "flights_climbed", "apple_exercise_time", "apple_stand_hour", "apple_stand_time", "cycling_distance", "swimming_distance", "swimming_stroke_count", "physical_effort", "mindful_minutes"),
+    "Running": ("running_ground_contact_time", "running_power", "running_speed", "running_stride_length", "running_vertical_oscillation"),
+    "Sleep": ("apple_sleeping_wrist_temperature",),
+    "Walking": ("walking_speed", "walking_step_length", "walking_asymmetry_percentage", "walking_double_support_percentage", "stair_speed_up", "stair_speed_down"),
+    "Environment": ("environmental_audio_exposure", "headphone_audio_exposure", "time_in_daylight"),
+    "Other": ("handwashing", "number_of_times_fallen", "distance_downhill_snow_sports"),
+}
+
 #: What the training measures are and where their levels lie.
 METRICS = {
     "readiness": ("Readiness", "Composite of the day's HRV, sleep, resting heart rate, load and wrist temperature scores, 0 to 100.", {"green": "70 or more", "yellow": "40 to 70", "red": "under 40"}),
@@ -74,8 +88,27 @@ def explain_metric(name: str) -> dict:
 
 
 def resource_metrics(known: list[str] = ()) -> str:
+    """Training measures, then the known health measures by group; those of no group come last."""
     own = [f"## {title} ({key})\n{text}" for key, (title, text, _) in METRICS.items()]
-    return "\n\n".join([*own, "## Health measures", *[f"- {m}" for m in sorted(known)]])
+    grouped = {m for names in GROUPS.values() for m in names}
+    parts = {group: [m for m in names if m in known] for group, names in GROUPS.items()} | {"Ungrouped": sorted(set(known) - grouped)}
+    listed = [f"### {group}\n" + "\n".join(f"- {m}: {m.replace('apple_', '').replace('_', ' ')}" for m in names) for group, names in parts.items() if names]
+    return "\n\n".join([*own, "## Health measures, by get_health_metric", *listed])
+
+
+def prompt_daily_check() -> str:
+    """Steps for a look at today."""
+    return "Call get_readiness(n=7), get_sessions(n=5) and get_training_load('acwr', n=7). Say how ready the athlete is and where that is going, what the last session did, and whether today is for rest, an easy run or normal training. Point out a load ratio over 1.3; a readiness under 40 means rest."
+
+
+def prompt_weekly_review(weeks: int = 1) -> str:
+    """Steps for a look at the last weeks."""
+    return f"Call get_sessions(after='-{weeks}w'), get_training_load('pmc', after='-{weeks}w'), get_training_load('monotony', after='-{weeks}w'), get_training_load('acwr', after='-{weeks}w') and get_zones(after='-{max(4, 4 * weeks)}w'). Compare distance with the weeks before, look at the split of intensities, at monotony and at how the load changes, and suggest the coming week."
+
+
+def prompt_fitness_review(months: int = 3) -> str:
+    """Steps for a look at fitness over months."""
+    return f"Call get_efficiency('ef', after='-{months}m'), get_training_load('pmc', after='-{months}m'), get_zones(after='-{months}m') and get_decoupling(after='-{months}m'). Say whether efficiency and fitness (CTL) rise, hold or fall, whether training is polarized (an index over 2), whether decoupling stays under 5 percent, and what follows."
 
 
 def resource_thresholds() -> str:

@@ -16,16 +16,16 @@ from stridewell.operators.joins import changed_rows
 ALWAYS = ("vo2_max", "blood_oxygen_saturation", "cardio_recovery", "respiratory_rate", "apple_sleeping_wrist_temperature", "running_ground_contact_time", "running_power", "running_speed", "running_stride_length", "running_vertical_oscillation")
 THRESHOLDS = {"heart_rate_variability": 5.0, "resting_heart_rate": 4.0, "sleep_totalSleep": 0.5, "sleep_deep": 0.3}
 #: Measures that are never told.
-NEVER = tuple(
-    "step_count active_energy basal_energy_burned flights_climbed apple_exercise_time walking_running_distance heart_rate heart_rate_min heart_rate_avg heart_rate_max "
-    "environmental_audio_exposure headphone_audio_exposure physical_effort apple_stand_hour apple_stand_time stair_speed_up stair_speed_down time_in_daylight "
-    "walking_speed walking_step_length walking_asymmetry_percentage walking_double_support_percentage walking_heart_rate_average "
-    "dietary_energy dietary_sugar dietary_water protein carbohydrates total_fat fiber saturated_fat monounsaturated_fat polyunsaturated_fat sodium potassium "
-    "calcium iron zinc magnesium manganese copper phosphorus selenium iodine caffeine vitamin_a vitamin_b6 vitamin_c vitamin_e vitamin_k "
-    "folate niacin riboflavin thiamin pantothenic_acid body_fat_percentage body_mass_index lean_body_mass weight_body_mass height handwashing "
-    "mindful_minutes number_of_times_fallen cycling_distance swimming_distance swimming_stroke_count distance_downhill_snow_sports six_minute_walking_test_distance "
-    "sleep_rem sleep_core sleep_awake sleep_inBed sleep_asleep sleep_inBedStart sleep_inBedEnd sleep_sleepStart sleep_sleepEnd sleep_analysis basal_body_temperature".split()
-)
+NEVER = (
+    "step_count", "active_energy", "basal_energy_burned", "flights_climbed", "apple_exercise_time", "walking_running_distance", "heart_rate", "heart_rate_min", "heart_rate_avg",
+    "heart_rate_max", "environmental_audio_exposure", "headphone_audio_exposure", "physical_effort", "apple_stand_hour", "apple_stand_time", "stair_speed_up", "stair_speed_down",
+    "time_in_daylight", "walking_speed", "walking_step_length", "walking_asymmetry_percentage", "walking_double_support_percentage", "walking_heart_rate_average", "dietary_energy",
+    "dietary_sugar", "dietary_water", "protein", "carbohydrates", "total_fat", "fiber", "saturated_fat", "monounsaturated_fat", "polyunsaturated_fat", "sodium", "potassium", "calcium",
+    "iron", "zinc", "magnesium", "manganese", "copper", "phosphorus", "selenium", "iodine", "caffeine", "vitamin_a", "vitamin_b6", "vitamin_c", "vitamin_e", "vitamin_k", "folate", "niacin",
+    "riboflavin", "thiamin", "pantothenic_acid", "body_fat_percentage", "body_mass_index", "lean_body_mass", "weight_body_mass", "height", "handwashing", "mindful_minutes",
+    "number_of_times_fallen", "cycling_distance", "swimming_distance", "swimming_stroke_count", "distance_downhill_snow_sports", "six_minute_walking_test_distance", "sleep_rem",
+    "sleep_core", "sleep_awake", "sleep_inBed", "sleep_asleep", "sleep_inBedStart", "sleep_inBedEnd", "sleep_sleepStart", "sleep_sleepEnd", "sleep_analysis", "basal_body_temperature",
+)
 SHORT_NIGHT = 5.5
 
 

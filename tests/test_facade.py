@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -21,6 +22,17 @@ def test_explanations():
     assert "Monotony" in facade.resource_metrics(["vo2_max"]) and "over 1.5" in facade.resource_thresholds()
 
 
+def test_measures_are_grouped():
+    text = facade.resource_metrics(["vo2_max", "step_count", "own_thing"])
+    assert text.index("### Fitness\n- vo2_max") < text.index("### Activity\n- step_count: step count") < text.index("### Ungrouped\n- own_thing") and "### Body" not in text
+
+
+def test_prompts_name_tools_that_exist():
+    for text in (facade.prompt_daily_check(), facade.prompt_weekly_review(2), facade.prompt_fitness_review()):
+        names = re.findall(r"get_\w+", text)
+        assert len(names) >= 3 and all(hasattr(facade.Engine, n) for n in names)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_tools(spark):
     health = t.health(spark, SF)
