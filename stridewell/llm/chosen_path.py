@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -23,6 +23,8 @@ LEAF = 256
 BLOCK, SET_BLOCK = 1024, 2048
 #: Minhashes of a sketch, and the number of equal ones from which a pair is compared in full: a pair at the similarity falls short once in about 30,000.
 SKETCH, ALIKE = 64, 38
+#: Sets of a large group that are compared with all others first, where only classes are asked for.
+PIVOTS = 64
 SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -228,8 +230,42 @@ def verified(similarity: float):
     return run
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """The rows' doc_id, mark and key of their set; and for each set its key, set_id and mark (of its least document), class_id, first (whether it is its class's) and n_links."""
+def compared(pairs: DataFrame, similarity: float) -> DataFrame:
+    """What `verified` finds in rows (group, node, block, other, tokens), written."""
+    n = partitions(pairs.sparkSession)
+    return written(pairs.select("group", "node", "block", "other", "tokens").repartition(n, "group").sortWithinPartitions("group", "node").mapInArrow(verified(similarity), "what long, a long, b long"), "checked")
+
+
+def linked(with_sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the sets of each class, without their number, of groups of sets (node, root, n, tokens).
+
+    A group of more than SET_BLOCK sets is cut into blocks, each of which also gets the group's PIVOTS. What these
+    comparisons join most is the group's main part; its sets need no comparison with each other any more, and only the
+    rest is compared with all blocks. So a family of near copies, however large, is passed twice.
+    """
+    with_sets = written(with_sets, "grouped")
+    blocks = F.ceil(F.col("n") / SET_BLOCK).cast("int")
+    one = with_sets.withColumn("block", F.pmod(F.xxhash64("node", "root"), blocks).cast("int"))
+    order = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    pivots = with_sets.where(F.col("n") > SET_BLOCK).withColumn("place", order).where(F.col("place") <= PIVOTS).drop("place")
+    pivots = pivots.withColumn("own", F.pmod(F.xxhash64("node", "root"), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).where(F.col("own") != F.col("block")).drop("own")
+    first = compared(one.unionByName(pivots).withColumn("other", F.col("block")).withColumn("group", F.xxhash64("root", "block")), similarity).where("what = 1").select("a", "b")
+    part = components(first).withColumnRenamed("root", "part")
+    large = one.where(F.col("n") > SET_BLOCK).drop("tokens").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    most = large.groupBy("root", "part").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
+    rest = written(large.join(most, "root").where(F.col("part") != F.col("main")).select("node", "root", "n"), "rest")
+    if rest.isEmpty():
+        return first
+    count = rest.groupBy("root").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("parts"))
+    at = F.pmod(F.xxhash64("node", "root", F.lit(2)), F.col("parts")).cast("int")
+    a = with_sets.join(rest.select("node"), "node", "left_semi").join(count, "root").select("root", "node", "tokens", at.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(0).alias("block"), F.lit(1).alias("other"))
+    b = one.join(count, "root").select("root", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("block"), F.lit(0).alias("other"))
+    second = compared(a.unionByName(b).withColumn("group", F.xxhash64("root", "i", "j")), similarity)
+    return first.unionByName(second.where("what = 1").select("a", "b"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH, depth: int = DEPTH, links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id, mark and key of their set; and for each set its key, set_id and mark (of its least document), class_id, first (whether it is its class's) and n_links (0 unless links)."""
     spark = docs.sparkSession
     tune(spark)
     n = partitions(spark)
@@ -267,13 +303,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.binary())], ["node", "root", "n", "tokens"])
 
     with_sets = texts.mapInArrow(sets_of, "node long, root long, n long, tokens binary")
-    pairs = blocked(with_sets, "root", "node", SET_BLOCK).select("group", "node", "block", "other", "tokens")
-    checked = written(pairs.repartition(n, "group").sortWithinPartitions("group", "node").mapInArrow(verified(similarity), "what long, a long, b long"), "checked")
-
-    links = checked.where("what = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("n_links"))
-    member = components(checked.where("what = 1").select("a", "b"))
+    if links:
+        checked = compared(blocked(with_sets, "root", "node", SET_BLOCK), similarity)
+        found, number = checked.where("what = 1").select("a", "b"), checked.where("what = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("n_links"))
+    else:
+        found, number = linked(with_sets, similarity), spark.createDataFrame([], "set long, n_links long")
+    member = components(found)
     ids = sets.select("set", "key", "mark", F.col("id").alias("set_id"))
-    whole = ids.join(member.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    whole = ids.join(member.withColumnRenamed("node", "set"), "set", "left").join(number, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = whole.groupBy("root").agg(F.min(F.struct("set_id", "key")).alias("least"))
     whole = whole.join(least, "root").select("key", "mark", "set_id", F.col("least.set_id").alias("class_id"), (F.col("key") == F.col("least.key")).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return all_sets.select("doc_id", "mark", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), whole
@@ -311,7 +348,7 @@ def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     rows with the doc_id and text that stay, one with the least hash of all columns stays. Rows without words or
     without a doc_id all stay; an empty table gives an empty result.
     """
-    rows, whole = classes(docs, **settings)
+    rows, whole = classes(docs, links=False, **settings)
     titles, places = docs.columns, by_place(docs)
     place = {c: F.col(f"c{titles.index(c)}") for c in ("doc_id", "text")}
     text = place["text"].cast("string")

@@ -98,6 +98,21 @@ def test_repeated_rows_and_ids(spark):
     assert cp.deduplicated(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_classes_of_large_groups_without_counting(spark, monkeypatch, seed):
+    """Groups of several blocks: a family around one text, a chain, and families that only sketches glue, against brute force."""
+    monkeypatch.setattr(cp, "SET_BLOCK", 16)
+    monkeypatch.setattr(cp, "PIVOTS", 3)
+    monkeypatch.setattr(cp, "ALIKE", 12)  # groups hold unlike sets too
+    chain = [f"c{k}" for k in range(300)]
+    rows = families(seed, n_families=3, copies=60, changes=4) + [(5000 + k, " ".join(chain[4 * k : 4 * k + 60])) for k in range(50)]
+    want = {i: c for i, _, c, _ in brute(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, whole = cp.classes(docs, links=False)
+    assert {r["set_id"]: r["class_id"] for r in whole.collect()} == {i: want[i] for i, s, *_ in brute(rows) if i == s}
+    assert sorted(r["doc_id"] for r in cp.deduplicated(docs).collect()) == sorted(set(want.values()))
+
+
 def test_a_large_family_and_a_chain(spark):
     """3,000 near copies, more than a block, and a chain whose ends are unlike: class and links of every set."""
     rng = random.Random(9)
