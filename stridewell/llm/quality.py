@@ -234,9 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0)
     repeated labels and documents count as often as they occur.
     """
     picked = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(sample)
-    stats = word_stats(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where(~_base_failed(F.col("stats")))
-    named = stats.select("quality", F.array(*[_feature(F.col("stats"), f) for f in FEATURES]).alias("x"))
-    rows = named.orderBy(F.xxhash64("x", "quality"), "x", "quality").limit(sample).collect()
+    stats = word_stats(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    named = stats.select("quality", _base_failed(F.col("stats")).alias("failed"), F.array(*[_feature(F.col("stats"), f) for f in FEATURES]).alias("x"))
+    # a filter on the statistics would have them worked out twice
+    rows = [r for r in named.orderBy(F.xxhash64("x", "quality"), "x", "quality").limit(sample).collect() if not r["failed"]]
     if not rows:
         return []
     return learn_rules(np.array([r["x"] for r in rows]), np.array([r["quality"] == 0 for r in rows]), seed)
