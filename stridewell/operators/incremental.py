@@ -26,7 +26,8 @@ def cached(activities: DataFrame, compute: Callable[[DataFrame], DataFrame], pat
     """compute's rows (with activity_id) for all activities; those seen before with the same params come from `path`.
 
     compute gets the new activities alone. Activities without a result are remembered too, so that they aren't tried
-    again; other params start anew. Results are written before the list of what they cover: a run that is cut off
+    again; other params start anew. The call itself runs the work and appends to `path`, so one caller at a time must use
+    a path; only the rows that it returns are lazy. Results are written before the list of what they cover: a run that is cut off
     between the two is repeated, and its rows are told apart by activity_id when they are read.
     """
     spark = activities.sparkSession
