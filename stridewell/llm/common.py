@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes as well as by rows, so that long texts can't fill a worker."""
+    """Arrow batches are bounded by bytes as well as by rows, so that long texts can't fill a worker.
+
+    These are settings of the session, which hold for later queries too: they are read when a lazy result is worked out.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
@@ -31,30 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables in the shared folder that nobody has removed yet, in the order of writing.
-_TABLES: list[str] = []
+_OWN = threading.local()
+
+
+def _tables() -> list[str]:
+    """Tables in the shared folder that this thread has written and nobody has removed yet, in the order of writing."""
+    return _OWN.__dict__.setdefault("paths", [])
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, which outlives executors; `removed` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    _tables().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tables() -> list[str]:
-    """Paths of the tables that `written` has made and nobody has removed. Results that are still to be read need theirs."""
-    return list(_TABLES)
+    """Paths of the tables that `written` has made in this thread and nobody has removed. Results that are still to be read need theirs."""
+    return list(_tables())
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables of `written` that no result needs any more."""
     for path in paths:
-        if path in _TABLES:
+        if path in _tables():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            _TABLES.remove(path)
+            _tables().remove(path)
 
 
 def partitions(spark: SparkSession) -> int:
