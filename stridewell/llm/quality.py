@@ -37,20 +37,24 @@ def _count_covered(starts: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words in 3-word windows that the array of words holds twice or more.
 
-    Windows are sorted by the upper bits of a 64-bit hash and their place, and equal neighbours are compared word by
-    word. If unequal windows share those bits, or a text is too long for the place's bits, the windows themselves are sorted.
+    Where the upper bits of a 64-bit hash tell all windows apart there are none. Else windows are sorted by these bits
+    and their place, and equal neighbours are compared word by word. If unequal windows share those bits, or a text is too long for the place's bits, the windows themselves are sorted.
     """
     low = F.lit((1 << PLACE) - 1).cast("long")
 
     def by_hash(w: Column) -> Column:
-        coded = F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+        upper = F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)))
 
         def twice(s: Column) -> Column:
             """Each sorted code that shares its upper bits with a neighbour, with whether the windows are the same."""
             up = F.filter(s, lambda x, i: ((F.get(s, i + 1).bitwiseXOR(x) <= low) & (F.get(s, i + 1).bitwiseXOR(x) >= 0)) | ((F.get(s, i - 1).bitwiseXOR(x) <= low) & (F.get(s, i - 1).bitwiseXOR(x) >= 0)))
             return up
 
-        return let(F.sort_array(coded), twice)
+        def shared(h: Column) -> Column:
+            coded = F.transform(h, lambda x, i: x.bitwiseOR(i.cast("long")))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.array().cast("array<bigint>")).otherwise(let(F.sort_array(coded), twice))
+
+        return let(upper, shared)
 
     def same(w: Column, a: Column, b: Column) -> Column:
         return reduce(lambda x, y: x & y, [F.get(w, a + k) == F.get(w, b + k) for k in range(3)])
