@@ -9,15 +9,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tune
+from .common import removed, shared_dir, tables, tune, written
 from .tokens import encoder
 
 #: Shards have at least so many bytes, and there are about so many at most, if not told otherwise.
 SHARD_BYTES, SHARDS = 32 << 20, 50_000
+#: Ids of a chunk of the table between the passes.
+CHUNK = 1 << 19
 #: Ends each record of a shard, as Spark's text writer does.
 RECORD_END = 1
 
@@ -54,23 +57,43 @@ def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048,
     part-k of `path` and holds slots k*per_shard and on, each a record of 2*seq_len bytes (ids as little-endian unsigned
     16-bit; larger ids raise an error) and one byte, so slot s starts at byte (s - k*per_shard) * stride. A reader resumes from a slot number alone.
 
-    The input's partitions must not change between two passes over it, as is so for a scan or a written table: the first
-    pass counts each partition's ids (one number a partition comes to the driver, as in zipWithIndex), the second writes.
-    Both are plain map stages, so a lost executor costs its own tasks only. Returns n_tokens, n_sequences, seq_len,
-    stride, per_shard and n_shards. An empty input writes no shard. Repeated rows and null doc_ids are documents of
-    their own; other columns are ignored.
+    Each text is tokenised once: the ids of each partition go to a table in the shared folder, in chunks that know their
+    place in it, and one number a partition comes to the driver, as in zipWithIndex. From the table the sequences are
+    dealt by their slots and written; then it is removed. Both passes are plain map stages, so a lost executor costs its
+    own tasks only. Returns n_tokens, n_sequences, seq_len, stride, per_shard and n_shards. An empty input writes no
+    shard. Repeated rows and null doc_ids are documents of their own; other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = encoder(json_path, ranks_path), 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of a partition in order: compressed chunks with their place."""
+        small = zstandard.ZstdCompressor(level=6)
+        encode, part = encoder(json_path, ranks_path), TaskContext.get().partitionId()
+        at, held, size = 0, [], 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal at, held, size
+            out = pa.RecordBatch.from_pydict({"part": [part], "at": [at], "n": [size], "ids": pa.array([small.compress(np.concatenate(held).tobytes())], pa.binary())})
+            at, held, size = at + size, [], 0
+            return out
+
         for b in batches:
-            n += sum(len(encode(t)) + 1 for t in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
+            for t in b.column(0).to_pylist():
+                ids = np.append(encode(t), np.uint32(end_id))
+                if ids.max() > 65_535:
+                    raise ValueError("ids beyond 65,535 don't fit into unsigned 16-bit records; use a smaller vocabulary")
+                held.append(ids.astype("<u2"))
+                size += len(ids)
+                if size >= CHUNK:
+                    yield chunk()
+        if size:
+            yield chunk()
 
-    counted = {r["part"]: r["n"] for r in texts.mapInArrow(lengths, "part long, n long").collect()}
+    before = tables()
+    stored = written(texts.mapInArrow(encoded, "part long, at long, n long, ids binary"), "ids")
+    counted = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     base, total = {}, 0
     for part in sorted(counted):
         base[part], total = total, total + counted[part]
@@ -80,47 +103,30 @@ def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048,
     n_shards = -(-n_seq // per_shard)
     said = {"n_tokens": total, "n_sequences": n_seq, "seq_len": seq_len, "stride": stride, "per_shard": per_shard, "n_shards": n_shards}
     if not total:
+        removed(spark, [t for t in tables() if t not in before])
         return said
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """slot, at (first token in the sequence) and the ids of the part of a sequence that this partition holds."""
-        encode = encoder(json_path, ranks_path)
-        part = TaskContext.get().partitionId()
-        at, held, size = base[part], [], 0
-
-        def emit(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal at, held, size
-            ids = np.concatenate(held) if held else np.empty(0, "<u2")
-            bounds = [0, *range(seq_len - at % seq_len, len(ids), seq_len)]
-            if last or (at + len(ids)) % seq_len == 0:
-                bounds.append(len(ids))
-            if len(bounds) > 1:
-                starts = at + np.array(bounds[:-1])
-                yield pa.RecordBatch.from_pydict({"slot": permuted(starts // seq_len, n_seq, key), "at": starts % seq_len, "ids": pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
-            at, held, size = at + bounds[-1], [ids[bounds[-1] :]], len(ids) - bounds[-1]
-
+        """slot, at (first token in the sequence) and the ids, compressed, of the parts of sequences that each chunk holds."""
+        small, large = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = np.append(encode(t), np.uint32(end_id))
-                if ids.max() > 65_535:
-                    raise ValueError("ids beyond 65,535 don't fit into unsigned 16-bit records; use a smaller vocabulary")
-                ids = ids.astype("<u2")
-                held.append(ids)
-                size += len(ids)
-                if size >= 256 * seq_len:
-                    yield from emit(False)
-        if size:
-            yield from emit(True)
-        if part == max(base) and at % seq_len:
-            yield pa.RecordBatch.from_pydict({"slot": permuted(np.array([at // seq_len]), n_seq, key), "at": [at % seq_len], "ids": pa.array([np.full(seq_len - at % seq_len, end_id, "<u2").tobytes()], pa.binary())})
+            for part, at, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, first = np.frombuffer(large.decompress(raw), "<u2"), base[part] + at
+                if first + n == total:
+                    ids = np.append(ids, np.full(n_seq * seq_len - total, end_id, "<u2"))
+                bounds = np.unique(np.r_[0, np.arange(seq_len - first % seq_len, len(ids), seq_len), len(ids)])
+                starts = first + bounds[:-1]
+                pieces = [small.compress(ids[x:y].tobytes()) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"slot": permuted(starts // seq_len, n_seq, key), "at": starts % seq_len, "ids": pa.array(pieces, pa.binary())})
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Parts of a slot arrive together and in order."""
+        large = zstandard.ZstdDecompressor()
         held: list[bytes] = []
         size = 0
         for b in batches:
             out = []
-            for ids in b.column(2).to_pylist():
+            for ids in map(large.decompress, b.column(2).to_pylist()):
                 held.append(ids)
                 size += len(ids)
                 if size == 2 * seq_len:
@@ -128,11 +134,12 @@ def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048,
                     held, size = [], 0
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
         if held:
-            raise ValueError("the input's partitions changed between the two passes")
+            raise ValueError("a sequence lacks a part")
 
-    parts = texts.mapInArrow(cut, "slot long, at long, ids binary")
+    parts = stored.mapInArrow(cut, "slot long, at long, ids binary")
     ranged = parts.repartitionById(n_shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot", "at")
     ranged.mapInArrow(whole, "value binary").select(F.col("value").cast("string")).write.text(path, lineSep="\n")
+    removed(spark, [t for t in tables() if t not in before])
     return said
 
 

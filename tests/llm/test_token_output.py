@@ -41,7 +41,10 @@ def stored(path, said):
     return out
 
 
-def test_round_trip(spark, documents):
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 19])
+def test_round_trip(spark, documents, monkeypatch, chunk):
+    """Chunks of one document, of some sequences, and of a whole partition."""
+    monkeypatch.setattr(to, "CHUNK", chunk)
     path = tempfile.mkdtemp() + "/shards"
     said = to.write_shards(documents, path, key=5, seq_len=SEQ, shard_bytes=40 * (2 * SEQ + 1))
     slots = stored(path, said)
