@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,9 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder in local mode, as in tests; on a cluster an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="stridewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder that driver and executors share: spark.checkpoint.dir. A ValueError where it is unset, in any mode, as it can't be set later."""
+    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        raise ValueError("start the session with spark.checkpoint.dir, a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -43,10 +40,10 @@ def _tables() -> list[str]:
     return _OWN.__dict__.setdefault("paths", [])
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which outlives executors; `removed` deletes it."""
+def written(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder, which outlives executors; `removed` deletes it, or `scratch`."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     _tables().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,6 +62,16 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
             _tables().remove(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what `written` has made within it. Results that are still to be read must be read, or written elsewhere, before it ends."""
+    before = tables()
+    try:
+        yield
+    finally:
+        removed(spark, [t for t in tables() if t not in before])
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

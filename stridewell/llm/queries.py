@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, html, mixing, packing, pieces, pii, quality, substrings, token_output, topk, toxicity
+from . import chosen_path, html, lexical, mixing, packing, pieces, pii, quality, substrings, token_output, topk, toxicity
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_quantised_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(read(spark, sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_threshold_search": op8_threshold_search,
     "op9_decision_list": op9_decision_list,
     "op10_vector_packing": op10_vector_packing,
+    "op11_quantised_index": op11_quantised_index,
     "op12_prefix_tokens": op12_prefix_tokens,
 }
-ORACLES: dict[str, str] = {"op8_threshold_search": topk.ORACLE}
+ORACLES: dict[str, str] = {"op8_threshold_search": topk.ORACLE, "op11_quantised_index": lexical.ORACLE}
