@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, html, lexical, mixing, packing, pieces, pii, quality, substrings, token_output, topk, toxicity
+from . import chosen_path, html, lexical, mixing, packing, pieces, pii, quality, repair, substrings, token_output, topk, toxicity
 from .common import read
 
 
@@ -59,6 +59,10 @@ def op12_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(read(spark, sf_dir, "documents")))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
     "op2_super_k_mers": op2_super_k_mers,
@@ -72,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vector_packing": op10_vector_packing,
     "op11_quantised_index": op11_quantised_index,
     "op12_prefix_tokens": op12_prefix_tokens,
+    "op13_turn_repair": op13_turn_repair,
 }
-ORACLES: dict[str, str] = {"op8_threshold_search": topk.ORACLE, "op11_quantised_index": lexical.ORACLE}
+ORACLES: dict[str, str] = {"op8_threshold_search": topk.ORACLE, "op11_quantised_index": lexical.ORACLE, "op13_turn_repair": repair.ORACLE}
