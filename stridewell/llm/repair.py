@@ -122,7 +122,7 @@ def repaired(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows holds conv_id, turn, role and text (no nulls in the last two). A turn's first fault counts: blank, duplicate (role
     and text seen earlier in the conversation), truncated. Edits are Keep, Rerole, Delete (the only one for blank and
     duplicate turns) and Insert; what is left must be nothing, or user and assistant in turn, an assistant last, after a
-    system turn or none. Of edits of one cost those whose initials are ASCII-least are taken.
+    system turn or none. An empty role has no initial and can't stay. Of edits of one cost those whose initials are ASCII-least are taken.
 
     First result: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit. Second: conv_id, block (from 0) and
     turns (role and text, in order) of each block of about BLOCK turns; blocks without turns left are there as well.

@@ -32,7 +32,7 @@ def cheapest(turns):
         nonlocal best
         if cost > min(2 * len(turns), best[0]):
             return
-        if i == len(turns) and FORM.fullmatch("".join(r[:1] for r, _ in left)):
+        if i == len(turns) and FORM.fullmatch("".join(r[:1] or "?" for r, _ in left)):
             best = min(best, (cost, audit, left))
         for role in ("user", "assistant"):
             go(i, cost + 5, audit + "I", [*left, (role, "")])
