@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,34 +32,39 @@ def rank(source: Column, priority: Sequence[str] = PRIORITY, last: int = 99) ->
     return out
 
 
-def push_samples(raw: DataFrame, body: str = "body", schema: str | None = None) -> DataFrame:
-    """name, units and sample (a struct) of each sample of pushed JSON bodies, besides their other columns.
+def push_samples(raw: DataFrame, body: str = "body", schema: str | None = None, seen: Observation | None = None) -> DataFrame:
+    """name, units, place and sample (a struct) of each sample of pushed JSON bodies, besides their other columns.
 
-    Metrics are under data.metrics, else under metrics. A body that can't be read gives no row.
+    Metrics are under data.metrics, else under metrics. A body that can't be read gives no row; seen counts `bodies` and
+    `unreadable` in the same pass. place orders the samples of a body.
     """
     from stridewell.schemas import PUSH
 
     parsed = raw.withColumn("__j", F.from_json(F.col(body), schema or PUSH))
     keep = [c for c in raw.columns if c != body]
-    m = parsed.select(*keep, F.explode(F.coalesce("__j.data.metrics", "__j.metrics")).alias("__m"))
-    return m.select(*keep, F.col("__m.name").alias("name"), F.col("__m.units").alias("units"), F.explode("__m.data").alias("sample"))
+    parsed = parsed.select(*keep, F.coalesce("__j.data.metrics", "__j.metrics").alias("__m"))
+    if seen is not None:
+        parsed = parsed.observe(seen, F.count("*").alias("bodies"), F.count_if(F.col("__m").isNull()).alias("unreadable"))
+    m = parsed.select(*keep, F.posexplode("__m").alias("__i", "__m"))
+    return m.select(*keep, F.col("__m.name").alias("name"), F.col("__m.units").alias("units"), "__i", F.posexplode("__m.data").alias("__k", "sample")).select(*keep, "name", "units", F.struct("__i", "__k").alias("place"), "sample")
 
 
 def quantities(samples: DataFrame) -> DataFrame:
-    """metric, units, date, value and source of samples (name, units, sample) that aren't sleep, besides their other columns.
+    """metric, units, at (the full time as it was sent), date, value and source of samples (name, units, sample) that aren't sleep, besides their other columns.
 
     A heart_rate sample with Min, Avg and Max becomes three rows; one that holds no value becomes none.
     """
     keep = [c for c in samples.columns if c not in ("name", "units", "sample")]
     three = F.array(*[F.struct(F.concat(F.col("name"), F.lit(f"_{k.lower()}")).alias("metric"), F.col(f"sample.{k}").alias("value")) for k in ("Min", "Avg", "Max")])
     one = F.array(F.struct(F.col("name").alias("metric"), F.col("sample.qty").alias("value")))
-    rows = samples.where(F.col("name") != SLEEP).select(*keep, "units", F.col("sample.date").alias("at"), F.col("sample.source").alias("source"), F.explode(F.when(F.col("sample.Avg").isNotNull(), three).otherwise(one)).alias("__v"))
-    return rows.select(*keep, F.col("__v.metric").alias("metric"), "units", F.expr("try_to_date(substring(at, 1, 10))").alias("date"), F.col("__v.value").alias("value"), "source").where("value is not null")
+    at = F.coalesce("sample.date", "sample.startDate", F.lit(""))
+    rows = samples.where(F.col("name") != SLEEP).select(*keep, "units", at.alias("at"), F.col("sample.source").alias("source"), F.explode(F.when(F.col("sample.Avg").isNotNull(), three).otherwise(one)).alias("__v"))
+    return rows.select(*keep, F.col("__v.metric").alias("metric"), "units", "at", F.expr("try_to_date(substring(at, 1, 10))").alias("date"), F.col("__v.value").alias("value"), "source").where("value is not null")
 
 
 def parse_push(raw: DataFrame, body: str = "body", schema: str | None = None) -> DataFrame:
-    """The quantities of pushed JSON bodies; their nights are in `sleep.from_samples`."""
-    return quantities(push_samples(raw, body, schema))
+    """The quantities of pushed JSON bodies; `measures.measures` has their nights as well."""
+    return quantities(push_samples(raw, body, schema).drop("place")).drop("at")
 
 
 def clean_sources(df: DataFrame, keys: Sequence[str] = ("athlete_id",)) -> DataFrame:

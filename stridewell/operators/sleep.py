@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,32 +39,41 @@ def best_source(rows: DataFrame, keys: Sequence[str] = ("athlete_id",), priority
     return staged.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*keys, "date", "source", "has_staging")
 
 
+def summed(suffix: str, hours: str, over: Callable[[Column], Column] = lambda c: c) -> dict[str, Column]:
+    """Aggregates (or, with over, windows) of a night's segments by field: hours of each stage (0 if there are none), and when sleep and bed began and ended."""
+    of = lambda s: F.when(F.col(suffix) == s, F.col(hours))
+    bed = F.col(suffix) == "inBed"
+    stages = {s: F.coalesce(over((F.max if s in ("asleep", "inBed") else F.sum)(of(s))), F.lit(0.0)) for s in SUFFIXES}
+    starts, ends = F.col("start_ts"), F.col("end_ts")
+    times = {"sleepStart": F.min(F.when(~bed, starts)), "sleepEnd": F.max(F.when(~bed, ends)), "inBedStart": F.min(F.when(bed, starts)), "inBedEnd": F.max(F.when(bed, ends))}
+    return stages | {f: over(c) for f, c in times.items()}
+
+
 def nights(raw: DataFrame, keys: Sequence[str] = ("athlete_id",), priority: Sequence[str] = PRIORITY) -> DataFrame:
-    """Hours of each stage, total sleep, and when sleep and bed began and ended (text), of the best source of each night."""
-    rows = segments(raw, keys)
-    rows = rows.join(best_source(rows, keys, priority).select(*keys, "date", "source"), [*keys, "date", "source"])
-    of = lambda s, c: F.when(F.col("suffix") == s, F.col(c))
-    hours = [(F.max if s in ("asleep", "inBed") else F.sum)(of(s, "hours")) for s in SUFFIXES]
-    bed = F.col("suffix") == "inBed"
-    out = rows.groupBy(*keys, "date", "source").agg(
-        *[F.coalesce(h, F.lit(0.0)).alias(s) for s, h in zip(SUFFIXES, hours, strict=True)],
-        F.min(F.when(~bed, F.col("start_ts"))).alias("sleepStart"), F.max(F.when(~bed, F.col("end_ts"))).alias("sleepEnd"),
-        F.min(F.when(bed, F.col("start_ts"))).alias("inBedStart"), F.max(F.when(bed, F.col("end_ts"))).alias("inBedEnd"),
-    )
+    """Hours of each stage, total sleep, and when sleep and bed began and ended (text), of the best source of each night.
+
+    The best source is the first of those with sleep stages, by priority, then by name. One exchange, by key and night.
+    """
+    names = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
+    rows = raw.withColumn("suffix", F.try_element_at(names, F.col("stage"))).where("suffix is not null").withColumn("source", plain_spaces(F.col("source")))
+    rows = rows.withColumn("date", night(F.col("start_ts"), F.col("end_ts")))
+    rows = rows.withColumn("__staged", F.max(F.col("suffix").isin("core", "deep", "rem")).over(W.partitionBy(*keys, "date", "source")))
+    first = W.partitionBy(*keys, "date").orderBy(F.col("__staged").desc(), rank(F.col("source"), priority), "source")
+    rows = rows.withColumn("__best", F.first(F.struct("source")).over(first)).where(F.col("source").eqNullSafe(F.col("__best.source")))
+    rows = rows.groupBy(*keys, "date", "source", "stage", "hours", "start_ts", "end_ts", "suffix").agg(F.lit(1))
+    out = rows.groupBy(*keys, "date", "source").agg(*[c.alias(f) for f, c in summed("suffix", "hours").items()])
     staged = F.col("core") + F.col("deep") + F.col("rem")
     return out.withColumn("totalSleep", F.when(staged > 0, staged).when(F.col("asleep") > 0, F.col("asleep")).when(F.col("inBed") > 0, F.col("inBed")).otherwise(0.0))
 
 
 def long_rows(nightly: DataFrame, keys: Sequence[str] = ("athlete_id",), zone: str = "Europe/Stockholm") -> DataFrame:
-    """sleep_* rows (date, metric, value, source): hours, and times as hours of the day; times that can't be read are dropped."""
-    numbers = nightly.unpivot([*keys, "date", "source"], ["totalSleep", *SUFFIXES], "field", "value")
-    times = nightly.unpivot([*keys, "date", "source"], list(TIMES), "field", "ts").withColumn("value", hour_fraction(F.col("ts"), zone)).where("value is not null").drop("ts")
-    return numbers.unionByName(times).select(*keys, "date", F.concat(F.lit("sleep_"), "field").alias("metric"), "value", "source")
+    """sleep_* rows (date, metric, value, source): hours, and times as hours of the day; what is missing or can't be read gives no row."""
+    one = lambda f, v: F.struct(F.lit(f"sleep_{f}").alias("metric"), v.cast("double").alias("value"))
+    rows = F.array(*[one(f, F.col(f)) for f in ("totalSleep", *SUFFIXES)], *[one(f, hour_fraction(F.col(f), zone)) for f in TIMES])
+    return nightly.select(*keys, "date", "source", F.explode(rows).alias("r")).where("r.value is not null").select(*keys, "date", "r.metric", "r.value", "source")
 
 
-def aggregated_rows(df: DataFrame, keys: Sequence[str] = ("athlete_id",), zone: str = "Europe/Stockholm") -> DataFrame:
-    """The same rows from nights that a device has already summed up; values that are missing give no row."""
-    return long_rows(df, keys, zone).where("value is not null")
+aggregated_rows = long_rows
 
 
 def from_samples(samples: DataFrame, keys: Sequence[str] = ("athlete_id",), zone: str = "Europe/Stockholm", priority: Sequence[str] = PRIORITY) -> DataFrame:
@@ -73,16 +82,9 @@ def from_samples(samples: DataFrame, keys: Sequence[str] = ("athlete_id",), zone
     A sample with totalSleep is a night that the device has summed up; another with a stage in value is a segment,
     from which nights are made. Other samples, and segments of stages that no one knows, give no row.
     """
-    rows = samples.where(F.col("name") == SLEEP).select(*keys, "sample.*")
-    whole = rows.where("totalSleep is not null").select(*keys, F.expr("try_to_date(substring(date, 1, 10))").alias("date"), "source", "totalSleep", *SUFFIXES, *TIMES)
-    return aggregated_rows(whole, keys, zone).unionByName(long_rows(nights(raw_segments(samples, keys), keys, priority), keys, zone))
-
+    from .measures import measures
 
-def raw_segments(samples: DataFrame, keys: Sequence[str] = ("athlete_id",)) -> DataFrame:
-    """start_ts, end_ts (text), stage, hours and source of sleep samples that are segments; hours that are missing count 0."""
-    rows = samples.where(F.col("name") == SLEEP).select(*keys, "sample.*").where("totalSleep is null and value is not null")
-    first = lambda *names: F.coalesce(*[F.col(n) for n in names], F.lit(""))
-    return rows.select(*keys, first("startDate", "start", "date").alias("start_ts"), first("endDate", "end", "date").alias("end_ts"), F.col("value").alias("stage"), F.coalesce("qty", F.lit(0.0)).alias("hours"), "source")
+    return measures(samples.where(F.col("name") == SLEEP), keys, zone, priority)
 
 
 def stage_trend(nightly: DataFrame, unit: str, keys: Sequence[str] = ("athlete_id",)) -> DataFrame:

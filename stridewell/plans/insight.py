@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from stridewell.functions.expr import is_running, pace_mmss
 from stridewell.operators import timeseries as ts
-from stridewell.operators.joins import changed_rows
 
 #: Measures that are always told, and by how much others must differ from their week to be told.
 ALWAYS = ("vo2_max", "blood_oxygen_saturation", "cardio_recovery", "respiratory_rate", "apple_sleeping_wrist_temperature", "running_ground_contact_time", "running_power", "running_speed", "running_stride_length", "running_vertical_oscillation")
@@ -48,15 +47,20 @@ def run_insight(activities: DataFrame, keys: Sequence[str] = ts.KEYS) -> DataFra
 def health_changes(after: DataFrame, before: DataFrame, keys: Sequence[str] = ts.KEYS) -> DataFrame:
     """Changed measures of the latest changed day that are worth telling, with their difference from the 7 days before.
 
-    Measures with a threshold are told if they differ by it from at least two earlier values, or if there are fewer;
-    a short night always; others always, but for those that never are.
+    after and before hold one value for each (key, date, metric). Measures with a threshold are told if they differ by it
+    from at least two earlier values, or if there are fewer; a short night always; others always, but for those that never
+    are. Both states are put side by side in one aggregation; the latest changed day is a window over that.
     """
-    new = changed_rows(after, before, (*keys, "date", "metric"))
-    focus = new.groupBy(*keys).agg(F.max("date").alias("focus"))
-    new = new.join(focus, list(keys)).where(F.col("date") == F.col("focus")).where(~F.col("metric").isin(*NEVER))
-    past = before.select(*keys, F.col("date").alias("__d"), "metric", F.col("value").alias("__v")).join(focus, list(keys))
-    week = past.where((F.col("__d") >= F.date_sub("focus", 7)) & (F.col("__d") < F.col("focus"))).groupBy(*keys, "metric").agg(F.count("*").alias("n_week"), F.avg("__v").alias("avg_week"))
-    d = new.join(week, [*keys, "metric"], "left").withColumn("avg_week", F.when(F.col("n_week") >= 2, F.col("avg_week"))).withColumn("delta", F.col("value") - F.col("avg_week"))
+    rows = after.select(*keys, "date", "metric", F.struct("value").alias("a"), F.lit(None).cast("struct<value:double>").alias("b"))
+    rows = rows.unionByName(before.select(*keys, "date", "metric", F.lit(None).cast("struct<value:double>").alias("a"), F.struct("value").alias("b")))
+    rows = rows.groupBy(*keys, "date", "metric").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    changed = F.col("a").isNotNull() & ~F.col("a").eqNullSafe(F.col("b"))
+    rows = rows.withColumn("changed", changed).withColumn("focus", F.max(F.when(F.col("changed"), F.col("date"))).over(W.partitionBy(*keys)))
+    rows = rows.where(~F.col("metric").isin(*NEVER) & F.col("date").between(F.date_sub("focus", 7), F.col("focus")))
+    earlier = F.when(F.col("date") < F.col("focus"), F.col("b"))
+    own = F.when((F.col("date") == F.col("focus")) & F.col("changed"), F.col("a"))
+    d = rows.groupBy(*keys, F.col("focus").alias("date"), "metric").agg(F.max(own).alias("own"), F.count(earlier).alias("n_week"), F.avg(earlier["value"]).alias("avg_week")).where("own is not null")
+    d = d.withColumn("value", F.col("own.value")).withColumn("avg_week", F.when(F.col("n_week") >= 2, F.col("avg_week"))).withColumn("delta", F.col("value") - F.col("avg_week"))
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv]), F.col("metric"))
     short = (F.col("metric") == "sleep_totalSleep") & (F.col("value") < SHORT_NIGHT)
     told = limit.isNull() | short | F.col("avg_week").isNull() | (F.abs("delta") >= limit)

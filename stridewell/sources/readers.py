@@ -5,13 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridewell import schemas
 from stridewell.operators import health as h
-from stridewell.operators import sleep
+from stridewell.operators.measures import measures
 
 #: Event time at the start of a device file's name, before the first underscore. Hadoop can't open local names with
 #: colons, so hyphens may stand for them.
@@ -59,16 +59,29 @@ def device_metrics(spark: SparkSession, path: str) -> DataFrame:
     return summary.join(part("details", schemas.DEVICE_DETAILS, True).drop("name"), "prefix", "left")
 
 
-def _measures(samples: DataFrame) -> DataFrame:
-    """athlete_id, date, metric, value, source and seq of samples (athlete_id, name, units, sample): quantities and nights."""
-    rows = h.quantities(samples).select("athlete_id", "date", "metric", "value", "source").unionByName(sleep.from_samples(samples))
-    return rows.where("date is not null").withColumn("seq", F.xxhash64("date", "metric", "value", "source"))
+class Counted:
+    """What a reader has met, known once its result has been read: bodies, unreadable ones, samples, and those that gave no row."""
 
+    def __init__(self) -> None:
+        self.bodies, self.samples = Observation(), Observation()
 
-def health_pushes(spark: SparkSession, path: str, athlete_id: int = 0) -> DataFrame:
-    """Measures of pushed files: athlete_id, date, metric, value, source, seq; nights from either format of sleep samples."""
+    def get(self) -> dict[str, int]:
+        return self.bodies.get | self.samples.get
+
+
+def _measures(samples: DataFrame, counted: Counted | None) -> DataFrame:
+    """athlete_id, date, metric, value, source and seq of samples (athlete_id, name, sample): quantities and nights."""
+    return measures(samples, seen=counted and counted.samples).withColumn("seq", F.xxhash64("date", "metric", "value", "source"))
+
+
+def health_pushes(spark: SparkSession, path: str, athlete_id: int = 0, counted: Counted | None = None) -> DataFrame:
+    """Measures of pushed files: athlete_id, date, metric, value, source, seq; nights from either format of sleep samples.
+
+    Files are read, and their bodies parsed, once.
+    """
     raw = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
-    return _measures(h.push_samples(raw.select(F.lit(athlete_id).cast("long").alias("athlete_id"), F.col("value").alias("body"))))
+    bodies = raw.select(F.lit(athlete_id).cast("long").alias("athlete_id"), F.col("value").alias("body"))
+    return _measures(h.push_samples(bodies, seen=counted and counted.bodies), counted)
 
 
 def canonical_samples(raw: DataFrame) -> DataFrame:
@@ -77,16 +90,24 @@ def canonical_samples(raw: DataFrame) -> DataFrame:
     return raw.select(*keep, F.col("metric").alias("name"), "units", F.explode("samples").alias("sample"))
 
 
-def canonical_measures(raw: DataFrame, body: str = "body") -> DataFrame:
+def canonical_bodies(raw: DataFrame, body: str = "body", counted: Counted | None = None) -> DataFrame:
+    """metric, date, units and samples of JSON bodies of per-metric, per-day files, besides their other columns."""
+    keep = [c for c in raw.columns if c != body]
+    parsed = raw.select(*keep, F.from_json(body, _struct(schemas.CANONICAL)).alias("j"))
+    if counted:
+        parsed = parsed.observe(counted.bodies, F.count("*").alias("bodies"), F.count_if(F.col("j.metric").isNull()).alias("unreadable"))
+    return parsed.select(*keep, "j.*")
+
+
+def canonical_measures(raw: DataFrame, body: str = "body", counted: Counted | None = None) -> DataFrame:
     """Measures of JSON bodies (athlete_id, body) of per-metric, per-day files."""
-    parsed = raw.select("athlete_id", F.from_json(body, _struct(schemas.CANONICAL)).alias("j")).select("athlete_id", "j.*")
-    return _measures(canonical_samples(parsed))
+    return _measures(canonical_samples(canonical_bodies(raw.select("athlete_id", body), body, counted)), counted)
 
 
-def canonical(spark: SparkSession, path: str, athlete_id: int = 0) -> DataFrame:
+def canonical(spark: SparkSession, path: str, athlete_id: int = 0, counted: Counted | None = None) -> DataFrame:
     """Measures of per-metric, per-day files, neither cleaned nor summed up; an empty file gives no row."""
-    raw = spark.read.schema(_struct(schemas.CANONICAL)).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
-    return _measures(canonical_samples(raw.withColumn("athlete_id", F.lit(athlete_id).cast("long"))))
+    raw = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    return canonical_measures(raw.select(F.lit(athlete_id).cast("long").alias("athlete_id"), F.col("value").alias("body")), counted=counted)
 
 
 def resting_hr(spark: SparkSession, path: str, athlete_id: int = 0) -> DataFrame:
