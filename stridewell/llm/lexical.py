@@ -81,8 +81,18 @@ def index(docs: DataFrame) -> Index:
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    n = F.regexp_count("text", F.lit(TERM))
-    n_docs, n_terms = docs.agg(F.count_if(n > 0), F.coalesce(F.sum(n), F.lit(0)).cast("long")).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with_terms = total = 0
+        for b in batches:
+            for text in b.column(0).cast(pa.binary()):
+                signs = np.frombuffer((text.as_py() or b"").translate(_SIGNS), np.uint8) != 32
+                n = int(np.count_nonzero(signs[1:] & ~signs[:-1])) + int(signs[:1].sum())
+                with_terms, total = with_terms + (n > 0), total + n
+        yield pa.RecordBatch.from_pydict({"docs": [with_terms], "terms": [total]})
+
+    sums = docs.select("text").mapInArrow(counted, "docs long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "terms")])
+    n_docs, n_terms = sums.first()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot = int(TaskContext.get().partitionId() % LOTS > 0)
