@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -135,3 +136,14 @@ def ascii_name(text: Column) -> Column:
     """A file name of ASCII letters, digits, dots and hyphens: accents are dropped, other runs of characters become one underscore."""
     folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
     return F.regexp_replace(folded, "[^a-z0-9.-]+", "_")
+
+
+def workout_file(name: Column, start: Column) -> Column:
+    """The file of a workout: its name in ASCII, spaces and slashes as underscores, and the digits of its start (text).
+
+    Accents are dropped as far as a letter decomposes into one ASCII letter and marks; other characters beyond ASCII are left out.
+    """
+    plain = {c: n[0] for c in map(chr, range(0xC0, 0x250)) if len(n := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1}
+    folded = F.translate(name, "".join(plain) + "/ \u00a0", "".join(plain.values()) + "___")
+    time = F.translate(F.substring(start, 1, 19), " -:", "_")
+    return F.concat(F.regexp_replace(folded, r"[^\x00-\x7F]", ""), F.lit("-"), time, F.lit(".json"))

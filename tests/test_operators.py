@@ -128,24 +128,6 @@ def push(day, qty):
     return {"data": {"metrics": [{"name": "step_count", "units": "count", "data": [{"date": f"{day} 10:00:00 +0100", "qty": qty, "source": "watch"}]}]}}
 
 
-def test_stream_ingest_is_idempotent(spark, tmp_path):
-    inbox, table, check = (str(tmp_path / x) for x in ("inbox", "table", "check"))
-    os.makedirs(inbox)
-    for i, (day, qty) in enumerate([("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-01", 1)]):
-        with open(f"{inbox}/{i}.json", "w") as f:
-            json.dump(push(day, qty), f)
-    ingest.ingest_pushes(spark, inbox, table, check).awaitTermination()
-    with open(f"{inbox}/late.json", "w") as f:
-        json.dump(push("2023-12-01", 7), f)
-    with open(f"{inbox}/again.json", "w") as f:
-        json.dump(push("2024-01-02", 2), f)
-    ingest.ingest_pushes(spark, inbox, table, check).awaitTermination()
-    got = spark.read.parquet(table)
-    assert sorted(r["value"] for r in got.collect()) == [1.0, 2.0, 7.0]
-    before = sinks.manifest(spark, inbox)
-    assert sinks.changed_files(before, before).count() == 0
-
-
 def test_readers(spark, tmp_path):
     with open(tmp_path / "2024-05-01T10-00-00+00_7_summary.json", "w") as f:
         json.dump({"summaryDTO": {"maxHR": 180.0}, "maxHR": 1.0}, f)
@@ -269,29 +251,6 @@ def test_sleep_in_files(spark, tmp_path):
         assert {r["source"] for r in rows if r["date"] == date(2026, 1, 7)} == {"watch"}
 
 
-def test_stream_ingest_of_sleep_and_pruning(spark, tmp_path):
-    """Sleep samples are stored whole and once; nights come from what is stored; a later batch reads only its own months."""
-    inbox, table, nights, check = (str(tmp_path / x) for x in ("inbox", "table", "nights", "check"))
-    os.makedirs(inbox)
-
-    def put(name, *samples):
-        with open(f"{inbox}/{name}.json", "w") as f:
-            json.dump({"data": {"metrics": [{"name": "sleep_analysis", "units": "hr", "data": list(samples)}, {"name": "steps", "units": "n", "data": [{"date": "2026-01-05", "qty": 3, "source": "w"}]}]}}, f)
-
-    put("a", *SLEEP[:3])
-    ingest.ingest_pushes(spark, inbox, table, check, nights).awaitTermination()
-    put("b", *SLEEP[1:])
-    put("c", {"startDate": "2026-02-02 23:00:00 +0100", "endDate": "2026-02-03 01:00:00 +0100", "value": "REM", "qty": 2.0, "source": "watch"})
-    ingest.ingest_pushes(spark, inbox, table, check, nights).awaitTermination()
-    got = {(r["date"], r["metric"]): r["value"] for r in ingest.stored_nights(spark, nights).collect()}
-    assert all(got[k] == pytest.approx(v) for k, v in NIGHTS.items()) and got[(date(2026, 2, 3), "sleep_rem")] == 2.0
-    assert spark.read.parquet(table).count() == 1
-    batch = spark.createDataFrame([("steps", date(2026, 1, 1))], "metric string, month date")
-    stored = ingest._stored(spark, table, spark.read.parquet(table).schema, batch, ("metric", "month"))
-    plan = stored._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [(" in plan.replace("PartitionFilters: [isnotnull", "PartitionFilters: [(isnotnull") and stored.count() == 1
-
-
 def test_windows_and_sessions_on_a_stream(spark, tmp_path):
     """The streaming operators run on a stream with a watermark and give the batch's rows."""
     t0 = datetime(2024, 1, 1)
