@@ -104,18 +104,20 @@ class _Blocks(HTMLParser):
             self.blocks[-1][1] += len(data.strip())
 
 
-def main_text(html: str | None, short: int = 70, long: int = 200, link_density: float = 0.2, stop_low: float = 0.12, stop_high: float = 0.25, between: str = "\n\n") -> str:
-    """The blocks of a page that belong to its article, joined by `between`.
-
-    First pass: a block is bad if its markup says so (navigation, footer, form, advert and the like) or its link density
-    is high; short blocks are undecided, or bad if they hold links; longer ones are good if stop words are frequent, near if less so,
-    bad otherwise. Where there are <article> or <main> elements, the outermost one with the most text is taken, the
-    first of equals, and inside it only markup and links make a block bad. Second pass: undecided and near blocks take the label of the nearest decided block, the
-    earlier of two at the same distance; headings look only ahead. In an article, blocks outside it and those that are bad
-    by markup are no neighbours, and without decided blocks all are good. A null or empty page gives an empty text.
+def decided(html: str, short: int = 70, long: int = 200, link_density: float = 0.2, stop_low: float = 0.05, stop_high: float = 0.15) -> list[tuple[str, bool, str]]:
+    """text, whether it belongs to the article, and the rule that says so, of each block of a page.
+
+    First pass, the same for all blocks: `markup` (bad: the element says navigation, footer, form, advert and the like),
+    `outside` (bad: there are <article> or <main> elements, and this stands outside the outermost one with the most text, the first of
+    equals), `links` (bad: link density is high, or a short block holds links), `stop words` (good: a block longer than `long`
+    in which they are frequent; bad: a block longer than `short` with hardly any). Standing in an article is one vote: such a block may hold
+    more links, and one with hardly any stop words is undecided. What is left is undecided: short blocks, headings, and those of middling
+    length or frequency.
+
+    Second pass, `neighbour`: undecided blocks take the label of the nearest block that its text has decided, the earlier of two at the same
+    distance; headings look ahead first. Markup says nothing about neighbours. Where no text has decided, `alone`: blocks longer than `short`
+    with some stop words are good, and if there are none, all undecided ones in an article, or those with some stop words.
     """
-    if not html:
-        return ""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
@@ -123,52 +125,52 @@ def main_text(html: str | None, short: int = 70, long: int = 200, link_density:
     for pieces, linked, boiler, article, heading in parser.blocks:
         text = SPACE.sub(" ", "".join(pieces)).strip()
         if text:
-            found.append((text, linked / max(1, len(text)), boiler, article, heading))
+            words = [w.strip(".,;:!?\"'()[]%*#&$|").lower() for w in text.split()]
+            found.append((text, linked / len(text), sum(w in STOP for w in words) / len(words), boiler, article, heading))
     sizes = Counter()
-    for text, _, boiler, article, _ in found:
+    for text, _, _, boiler, article, _ in found:
         sizes[article] += len(text) if article and not boiler else 0
     chosen = max(sizes, key=lambda k: (sizes[k], -k), default=0)
     inside = sizes[chosen] > 0
-    found = [(*x[:3], inside and x[3] == chosen, x[4]) for x in found]
-    labels: list[str] = []
-    for text, links, boiler, article, heading in found:
-        words = [w.strip(".,;:!?\"'()[]%*#&$|").lower() for w in text.split()]
-        stop = sum(w in STOP for w in words) / max(1, len(words))
-        if boiler or (inside and not article):
-            label = "bad"
-        elif links > (0.9 if inside and len(text) >= short else link_density if not inside else 0.5):
-            label = "bad"
-        elif heading or len(text) < short:
-            label = "bad" if links and not inside else "short"
-        elif inside:
-            label = "good"
-        elif stop >= stop_high:
-            label = "good" if len(text) > long else "near"
-        elif stop >= stop_low:
-            label = "near"
-        else:
-            label = "bad"
-        labels.append(label)
-    decided = [i for i, x in enumerate(labels) if x in ("good", "bad") and not (inside and (found[i][2] or not found[i][3]))]
-    kept = []
-    k = 0
-    for i, (text, _, _, article, heading) in enumerate(found):
-        while k < len(decided) and decided[k] < i:
+
+    def first(text: str, links: float, stop: float, boiler: bool, article: int, heading: bool) -> tuple[str, str]:
+        size, vote = len(text), inside and article == chosen
+        if boiler:
+            return "bad", "markup"
+        if inside and not vote:
+            return "bad", "outside"
+        if links > (0.9 if vote and size >= short else 0.5 if vote else link_density) or (links and size < short and not vote):
+            return "bad", "links"
+        if heading or size < short:
+            return "", ""
+        if stop >= stop_high and size > long:
+            return "good", "stop words"
+        return ("bad", "stop words") if stop < stop_low and not vote else ("", "")
+
+    labels = [first(*x) for x in found]
+    known = [i for i, (_, why) in enumerate(labels) if why in ("links", "stop words")]
+    if not any(labels[i][0] == "good" for i in known):
+        open_ = [i for i, (label, _) in enumerate(labels) if not label]
+        most = [i for i in open_ if len(found[i][0]) >= short and not found[i][5] and found[i][2] >= stop_low]
+        for i in most or [i for i in open_ if inside or (found[i][2] >= stop_low and not known)]:
+            labels[i] = ("good", "alone")
+        known = [i for i, (_, why) in enumerate(labels) if why in ("links", "stop words", "alone")]
+    out, k = [], 0
+    for i, (label, why) in enumerate(labels):
+        while k < len(known) and known[k] < i:
             k += 1
-        label = labels[i]
-        if label in ("short", "near"):
-            before, after = (decided[k - 1] if k else None), (decided[k] if k < len(decided) else None)
-            if heading:
-                label = labels[after] if after is not None else labels[before] if before is not None else "good"
-            elif before is None and after is None:
-                label = "good" if inside or label == "near" else "bad"
-            elif after is None or (before is not None and i - before <= after - i):
-                label = labels[before]
-            else:
-                label = labels[after]
-        if label == "good":
-            kept.append(text)
-    return between.join(kept)
+        if not label:
+            before, after = known[k - 1] if k else None, known[k] if k < len(known) else None
+            ahead = after is not None and (before is None or found[i][5] or after - i < i - before)
+            near = after if ahead else before
+            label, why = "bad" if near is None else labels[near][0], "neighbour"
+        out.append((found[i][0], label == "good", why))
+    return out
+
+
+def main_text(html: str | None, between: str = "\n\n", **rules) -> str:
+    """The blocks of a page that belong to its article, by the rules of `decided`, joined by `between`. A null or empty page gives an empty text."""
+    return between.join(text for text, good, _ in decided(html, **rules) if good) if html else ""
 
 
 def extract(pages: DataFrame, **rules) -> DataFrame:

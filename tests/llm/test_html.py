@@ -1,9 +1,12 @@
+import os
 import random
+import re
 import time
+from collections import Counter
 
 import pytest
 
-from stridewell.llm.html import BOILERPLATE, NAMES, STOP, extract, main_text
+from stridewell.llm.html import BOILERPLATE, NAMES, STOP, decided, extract, main_text
 
 PROSE = "The model of the house is in a street that was built by one of the people who had been there, and it is not far from the river that they all know."
 
@@ -111,30 +114,34 @@ def walked(node):
     size = {k: sum(len(r[0]) for r in rows if r[3] == k and not r[2]) for k in range(1, articles[0] + 1)}
     top = max(size, key=lambda k: (size[k], -k)) if any(size.values()) else 0
 
+    def stop(r):
+        words = [w.strip(".,;:!?\"'()[]%*#&$|").lower() for w in r[0].split()]
+        return sum(w in STOP for w in words) / len(words)
+
     def first(r):
         text, linked, bad, article, heading = r
-        inside, share = top and article == top, linked / len(text)
-        if bad or (top and not inside) or share > (0.2 if not top else 0.9 if len(text) >= 70 else 0.5):
+        mine, share = top and article == top, linked / len(text)
+        if bad or (top and not mine):
+            return "no"
+        if share > ((0.9 if len(text) >= 70 else 0.5) if mine else 0.2) or (linked and len(text) < 70 and not mine):
             return "bad"
-        if heading or len(text) < 70:
-            return "bad" if linked and not top else "short"
-        words = [w.strip(".,;:!?\"'()[]%*#&$|").lower() for w in text.split()]
-        stop = sum(w in STOP for w in words) / len(words)
-        return "good" if inside else "good" if stop >= 0.25 and len(text) > 200 else "near" if stop >= 0.12 else "bad"
+        if heading or len(text) < 70 or (stop(r) >= 0.05 or mine) and not (stop(r) >= 0.15 and len(text) > 200):
+            return ""
+        return "good" if stop(r) >= 0.15 else "bad"
 
     label = [first(r) for r in rows]
-    known = [i for i, x in enumerate(label) if x in ("good", "bad") and not (top and (rows[i][2] or rows[i][3] != top))]
+    if "good" not in label:
+        some = [i for i, r in enumerate(rows) if not label[i] and len(r[0]) >= 70 and not r[4] and stop(r) >= 0.05]
+        rest = [i for i, r in enumerate(rows) if not label[i] and (top or (stop(r) >= 0.05 and "bad" not in label))]
+        for i in some or rest:
+            label[i] = "good"
+    known = [i for i, x in enumerate(label) if x in ("good", "bad")]
     out = []
     for i, r in enumerate(rows):
         mine = label[i]
-        if mine in ("short", "near"):
-            after, before = [k for k in known if k > i], [k for k in known if k < i]
-            if r[4]:
-                mine = label[after[0]] if after else label[before[-1]] if before else "good"
-            elif not known:
-                mine = "good" if top or mine == "near" else "bad"
-            else:
-                mine = label[min(known, key=lambda k: (abs(k - i), k))]
+        if not mine:
+            near = sorted(known, key=lambda k: (k < i if r[4] else False, abs(k - i), k))
+            mine = label[near[0]] if near else "bad"
         if mine == "good":
             out.append(r[0])
     return "\n\n".join(out)
@@ -149,3 +156,46 @@ def test_against_a_walk_over_generated_trees():
         full += bool(want)
         assert main_text(written(page)) == want, written(page)
     assert full > 500
+
+
+def site(rng, kind):
+    """A page and its article's blocks. kind 0 marks the article up, 1 doesn't, 2 is made of plain divs alone."""
+    frequent, rare = sorted(STOP), ["mirro", "vast", "tande", "lore", "esker", "olund", "brine", "cathode", "gravel", "north"]
+    say = lambda n, share: " ".join(rng.choice(frequent) if rng.random() < share else rng.choice(rare) for _ in range(n))
+    tag = lambda t, x, more="": f"<{t if kind < 2 else 'div'}{more if kind < 2 else ''}>{x}</{t if kind < 2 else 'div'}>"
+    links = lambda n: "".join(f"<li><a href=/{i}>{say(rng.randrange(1, 4), 0.2)}</a></li>" for i in range(n))
+    blocks = [say(rng.randrange(3, 9), 0.3)] + [say(rng.choice([4, 9, 18, 40, 90, 150]), rng.choice([0.02] + [0.25, 0.3, 0.35, 0.4] * 5)) for _ in range(rng.randrange(4, 12))]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{x}</p>" for x in blocks[1:])
+    before = tag("nav", f"<ul>{links(6)}</ul>") + tag("div", say(7, 0.3), " class=ad") + tag("aside", f"<ul>{links(5)}</ul>")
+    after = tag("footer", f"&copy; {say(5, 0)} <a href=/x>{say(2, 0)}</a>") + tag("div", "".join(f"<p><a href=/u>{say(2, 0)}</a> {say(6, 0.3)}</p>" for _ in range(4)), " class=comments") + tag("form", f"<p>{say(3, 0.1)}</p><input>")
+    return f"<html><body>{before}{'<article>' + body + '</article>' if not kind else '<div>' + body + '</div>'}{after}</body></html>", blocks
+
+
+@pytest.mark.parametrize(("kind", "precision", "recall"), [(0, 1, 1), (1, 0.95, 0.95), (2, 0.9, 0.9)])
+def test_words_of_labelled_pages(kind, precision, recall):
+    """The rules find the article where nothing marks it up, and where nothing at all is."""
+    rng = random.Random(4)
+    right = given = wanted = 0
+    for _ in range(400):
+        page, blocks = site(rng, kind)
+        got, want = Counter(main_text(page).split()), Counter(" ".join(blocks).split())
+        right, given, wanted = right + (got & want).total(), given + got.total(), wanted + want.total()
+    assert right >= precision * given and right >= recall * wanted, (right / given, right / wanted)
+
+
+def test_words_of_given_pages(spark):
+    """The pages of the test data with their article tags taken out."""
+    where = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(where):
+        pytest.skip("no test data")
+    right = given = wanted = 0
+    for (page,) in spark.read.parquet(where).select("html").collect():
+        bare = re.sub("</?(article|main)[^>]*>", "", page)
+        got, want = (Counter(main_text(x).split()) for x in (bare, page))
+        right, given, wanted = right + (got & want).total(), given + got.total(), wanted + want.total()
+    assert right >= 0.95 * given and right >= 0.95 * wanted
+
+
+def test_rules_that_decide():
+    page = f"<nav><a href=x>Home</a></nav><h1>Head</h1><p>{PROSE} {PROSE}</p><p>Yes.</p><p>{'lore ' * 60}</p><ul><li><a href=x>more</a></li></ul>"
+    assert [(good, why) for _, good, why in decided(page)] == [(False, "markup"), (True, "neighbour"), (True, "stop words"), (True, "neighbour"), (False, "stop words"), (False, "links")]
