@@ -49,11 +49,19 @@ def dual_format(df: DataFrame, body: str, fields: str, nested_only: bool = False
     return out.select(*df.columns, *[F.when(old, F.col(f"__j.summaryDTO.{n}")).otherwise(F.lit(None) if nested_only else F.col(f"__j.{n}")).alias(n) for n in names])
 
 
-def device_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of PREFIX_summary.json and PREFIX_details.json files: all fields of the first, those of the second where it is there."""
+def device_prefix(name: Column) -> Column:
+    """What the two files of an activity have in common."""
+    return F.regexp_replace(name, r"_(summary|details)\.json$", "")
+
+
+def device_metrics(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """Pairs of PREFIX_summary.json and PREFIX_details.json files: all fields of the first, those of the second where it is there.
+
+    only is a filter on _metadata, by which files are left out before any is read.
+    """
     files = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.col("_metadata.file_name").alias("file_name"), "value")
-    prefix = F.regexp_replace("file_name", r"_(summary|details)\.json$", "")
+    files = (files if only is None else files.where(only)).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    prefix = device_prefix(F.col("file_name"))
     part = lambda kind, fields, nested: dual_format(files.where(F.col("file_name").endswith(f"_{kind}.json")), "value", fields, nested).withColumn("prefix", prefix).withColumn("name", F.col("file_name")).drop("value", "file_name")
     summary = part("summary", schemas.DEVICE_SUMMARY, False).withColumn("device_ts", filename_time(F.col("name"))).drop("name")
     return summary.join(part("details", schemas.DEVICE_DETAILS, True).drop("name"), "prefix", "left")
