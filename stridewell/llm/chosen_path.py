@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -19,8 +19,10 @@ WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Levels of paths: a bucket of more than LEAF sets is split further, down to this many shared shingles.
 DEPTH = 3
 LEAF = 256
-#: Sets of a block of a larger bucket or component; a task holds two blocks at most.
-BLOCK, SET_BLOCK = 1024, 2048
+#: Sets of a block of a larger bucket or component, and bytes of the sets of a block of a component; a task holds two blocks at most.
+BLOCK, SET_BLOCK, SET_BYTES = 1024, 2048, 24 << 20
+#: Sets and shingles that are laid side by side at a time when two blocks are compared.
+SLICE, CELLS = 512, 1 << 19
 #: Minhashes of a sketch, and the number of equal ones from which a pair is compared in full: a pair at the similarity falls short once in about 30,000.
 SKETCH, ALIKE = 64, 38
 #: Sets of a large group that are compared with all others first, where only classes are asked for.
@@ -84,7 +86,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, runs: int, depth: int, overlap: float, width: int) -> DataFrame:
-    """doc_id, mark (of the text), key (of the shingle set; null without words), sketch and the paths of each level."""
+    """doc_id, mark (of the text), key (of the shingle set; null without words), size (of the set), sketch and the paths of each level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -97,6 +99,7 @@ def described(docs: DataFrame, runs: int, depth: int, overlap: float, width: int
                 place[full] = np.arange(len(full))
                 flat = np.concatenate([sets[i] for i in full]) if full else np.empty(0, np.uint64)
                 marks = sketches(flat, sizes) if full else []
+                columns["size"] = pa.array([len(s) for s in sets], pa.int64())
                 columns["sketch"] = pa.array([marks[p].tobytes() if p >= 0 else None for p in place], pa.binary())
                 levels = paths(flat, sizes, runs, depth, overlap) if full else [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))] * depth
                 for k, (owner, path, up) in enumerate(levels):
@@ -107,13 +110,13 @@ def described(docs: DataFrame, runs: int, depth: int, overlap: float, width: int
                         columns[name] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x[order].view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id long, mark binary, key binary, sketch binary, " + ", ".join(f"path{k} array<long>, up{k} array<long>" for k in range(depth))
+    schema = "doc_id long, mark binary, key binary, size long, sketch binary, " + ", ".join(f"path{k} array<long>, up{k} array<long>" for k in range(depth))
     return texts_of(docs).mapInArrow(run, schema)
 
 
-def blocked(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
-    """Adds group, block and other: rows of a key with more than `block` members (column n) go to each pair of the key's blocks that theirs is of."""
-    n = F.ceil(F.col("n") / block).cast("int")
+def blocked(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """Adds group, block and other: rows of a key with several blocks (column blocks) go to each pair of these that theirs is of."""
+    n = F.col("blocks").cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64(member, key), n).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.withColumn("group", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other")))
@@ -171,6 +174,17 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def slices(sizes: np.ndarray, low: int, high: int) -> list[slice]:
+    """Runs of sets low..high-1, each of SLICE sets and CELLS shingles at most, or one larger set."""
+    out, at, held = [], low, 0
+    for i in range(low, high):
+        if i > at and (i - at >= SLICE or held + sizes[i] > CELLS):
+            out.append(slice(at, i))
+            at, held = i, 0
+        held += int(sizes[i])
+    return [*out, slice(at, high)] if high > at else out
+
+
 def shared(sets: list[np.ndarray], rows: slice, columns: slice) -> np.ndarray:
     """Sizes of the intersections of sets[rows] with sets[columns], by products of 0/1 matrices."""
     parts = [sets[i] for s in (rows, columns) for i in range(s.start, s.stop)]
@@ -193,31 +207,32 @@ def shared(sets: list[np.ndarray], rows: slice, columns: slice) -> np.ndarray:
 
 
 def verified(similarity: float):
-    """what, a, b: 0, member and its links; or 1 and links that join the members of a component."""
+    """what, a, b: 0, member and its links; or 1 and links that join the members of a component.
+
+    Rows of a group either are of one block (block = other), or of two, which are compared with each other. Of rows whose
+    `other` is negative the links aren't counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches):
             rows.sort(key=lambda r: (r[2], r[1]))
-            across = rows[0][2] != rows[-1][2]
-            crossed = [r for r in rows if r[2] != r[3]]
-            rows = crossed if across else rows
-            ids = np.array([r[1] for r in rows])
+            across = rows[0][2] != rows[0][3]
+            ids, counts = np.array([r[1] for r in rows]), np.array([r[3] >= 0 for r in rows])
             sets = [np.frombuffer(r[4], np.uint64) for r in rows]
             sizes = np.array([len(s) for s in sets])
             cut = sum(r[2] == rows[0][2] for r in rows) if across else len(rows)
             count = np.zeros(len(rows), np.int64)
-            left, right = [], []
-            lows, highs = (0, cut), ((cut, len(rows)) if across else (0, len(rows)))
-            for i in range(*lows, 512):
-                for j in range(*highs, 512):
-                    if not across and j < i:
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for x in slices(sizes, 0, cut):
+                for y in slices(sizes, cut, len(rows)) if across else slices(sizes, 0, len(rows)):
+                    if not across and y.start < x.start:
                         continue
-                    x, y = slice(i, min(i + 512, lows[1])), slice(j, min(j + 512, highs[1]))
                     common = shared(sets, x, y)
                     p, q = np.nonzero(common >= similarity * (sizes[x, None] + sizes[None, y] - common) - 1e-4)
-                    p, q = p + i, q + j
-                    p, q = p[p < q], q[p < q]
-                    count += np.bincount(p, minlength=len(rows)) + np.bincount(q, minlength=len(rows))
+                    p, q = p + x.start, q + y.start
+                    new = (p < q) & (ids[p] != ids[q])
+                    p, q = p[new], q[new]
+                    count += np.bincount(p, minlength=len(rows)) + np.bincount(q, minlength=len(rows)) * counts
                     left.append(p)
                     right.append(q)
             by_id = np.argsort(ids, kind="stable")
@@ -236,27 +251,33 @@ def compared(pairs: DataFrame, similarity: float) -> DataFrame:
     return written(pairs.select("group", "node", "block", "other", "tokens").repartition(n, "group").sortWithinPartitions("group", "node").mapInArrow(verified(similarity), "what long, a long, b long"), "checked")
 
 
+def blocks_of(n: Column, size: Column) -> Column:
+    """Blocks of a group of n sets of so many bytes."""
+    return F.greatest(F.ceil(n / SET_BLOCK), F.ceil(size / SET_BYTES))
+
+
 def linked(with_sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join the sets of each class, without their number, of groups of sets (node, root, n, tokens).
+    """Links (a, b) that join the sets of each class, without their number, of groups of sets (node, root, n, blocks, tokens).
 
-    A group of more than SET_BLOCK sets is cut into blocks, each of which also gets the group's PIVOTS. What these
+    A group of several blocks is compared block by block, each of which also gets the group's PIVOTS (no more than a block's sets). What these
     comparisons join most is the group's main part; its sets need no comparison with each other any more, and only the
     rest is compared with all blocks. So a family of near copies, however large, is passed twice.
     """
     with_sets = written(with_sets, "grouped")
-    blocks = F.ceil(F.col("n") / SET_BLOCK).cast("int")
+    blocks = F.col("blocks").cast("int")
     one = with_sets.withColumn("block", F.pmod(F.xxhash64("node", "root"), blocks).cast("int"))
     order = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1)), "node"))
-    pivots = with_sets.where(F.col("n") > SET_BLOCK).withColumn("place", order).where(F.col("place") <= PIVOTS).drop("place")
+    few = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / blocks))
+    pivots = with_sets.where(blocks > 1).withColumn("place", order).where(F.col("place") <= few).drop("place")
     pivots = pivots.withColumn("own", F.pmod(F.xxhash64("node", "root"), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).where(F.col("own") != F.col("block")).drop("own")
     first = compared(one.unionByName(pivots).withColumn("other", F.col("block")).withColumn("group", F.xxhash64("root", "block")), similarity).where("what = 1").select("a", "b")
     part = components(first).withColumnRenamed("root", "part")
-    large = one.where(F.col("n") > SET_BLOCK).drop("tokens").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    large = one.where(blocks > 1).withColumn("bytes", F.octet_length("tokens")).drop("tokens").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     most = large.groupBy("root", "part").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
-    rest = written(large.join(most, "root").where(F.col("part") != F.col("main")).select("node", "root", "n"), "rest")
+    rest = written(large.join(most, "root").where(F.col("part") != F.col("main")).select("node", "root", "bytes"), "rest")
     if rest.isEmpty():
         return first
-    count = rest.groupBy("root").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("parts"))
+    count = rest.groupBy("root").agg(blocks_of(F.count("*"), F.sum("bytes")).cast("int").alias("parts"))
     at = F.pmod(F.xxhash64("node", "root", F.lit(2)), F.col("parts")).cast("int")
     a = with_sets.join(rest.select("node"), "node", "left_semi").join(count, "root").select("root", "node", "tokens", at.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(0).alias("block"), F.lit(1).alias("other"))
     b = one.join(count, "root").select("root", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("block"), F.lit(0).alias("other"))
@@ -273,7 +294,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     runs = runs_for(similarity, recall, depth)
     all_sets = written(described(docs, runs, depth, overlap, width), "sets")
     named = all_sets.where("doc_id is not null and key is not null")
-    rest = F.struct("sketch", *[f"{x}{k}" for k in range(depth) for x in ("path", "up")])
+    rest = F.struct("size", "sketch", *[f"{x}{k}" for k in range(depth) for x in ("path", "up")])
     sets = named.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("who"), F.first(rest).alias("x")).select("who.*", "key", "x.*")
     # the same doc_id may stand for several texts; sets go by a number of their own
     sets = written(sets.withColumnRenamed("doc_id", "id").withColumn("set", F.xxhash64("key")), "distinct")
@@ -287,24 +308,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         large = counts.where(F.col("n") > LEAF)
         here = rows.select("set", "sketch", "path").join(counts if k == depth - 1 else counts.where(F.col("n") <= LEAF), "path")
         leaves = here if leaves is None else leaves.unionByName(here)
-    buckets = blocked(leaves, "path", "set", BLOCK).select("group", "set", "sketch")
+    buckets = blocked(leaves.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "path", "set").select("group", "set", "sketch")
     candidates = buckets.repartition(n, "group").sortWithinPartitions("group").mapInArrow(alike, "a long, b long")
     near = components(candidates)
 
-    size = near.groupBy("root").agg(F.count("*").alias("n"))
-    chosen = near.join(size, "root").join(sets.select(F.col("set").alias("node"), "id", "mark"), "node")
+    chosen = near.join(sets.select(F.col("set").alias("node"), "id", "mark", "size"), "node")
+    size = chosen.groupBy("root").agg(F.count("*").alias("n"), blocks_of(F.count("*"), 8 * F.sum("size")).alias("blocks"))
+    chosen = chosen.join(size, "root")
     # equal rows bring a set once
-    texts = texts_of(docs).withColumnRenamed("doc_id", "id").join(chosen, ["id", "mark"]).select("text", "node", "root", "n").dropDuplicates(["node"])
+    texts = texts_of(docs).withColumnRenamed("doc_id", "id").join(chosen, ["id", "mark"]).select("text", "node", "root", "n", "blocks").dropDuplicates(["node"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
                 x = [shingle_set(t, width).tobytes() for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.binary())], ["node", "root", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.binary())], ["node", "root", "n", "blocks", "tokens"])
 
-    with_sets = texts.mapInArrow(sets_of, "node long, root long, n long, tokens binary")
+    with_sets = texts.mapInArrow(sets_of, "node long, root long, n long, blocks long, tokens binary")
     if links:
-        checked = compared(blocked(with_sets, "root", "node", SET_BLOCK), similarity)
+        checked = compared(blocked(with_sets, "root", "node"), similarity)
         found, number = checked.where("what = 1").select("a", "b"), checked.where("what = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("n_links"))
     else:
         found, number = linked(with_sets, similarity), spark.createDataFrame([], "set long, n_links long")
@@ -332,8 +354,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     counted; buckets of more than LEAF sets are split by the next level of paths, whose rows are worked out once and
     written. In a bucket, sets with like sketches are joined by one link each; larger buckets at the last level are taken
     by pairs of blocks. 3. Components of these links are the groups whose sets are compared in full, again by pairs of
-    blocks if there are many: a set is copied once for each SET_BLOCK sets of its group, which only groups of more than
-    that feel. 4. Components of the links that hold.
+    blocks if there are many: a set is copied once for each block (SET_BLOCK sets, or SET_BYTES bytes) of its group, which only larger groups
+    feel, and a task holds two blocks, however long the texts are. 4. Components of the links that hold.
     """
     rows, whole = classes(docs, similarity, recall, width, depth)
     out = rows.select("doc_id", "key").join(whole, "key", "left")
