@@ -285,6 +285,43 @@ def linked(with_sets: DataFrame, similarity: float) -> DataFrame:
     return first.unionByName(second.where("what = 1").select("a", "b"))
 
 
+def counted(with_sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join the sets of each class, and the number of links of each set (set, n_links), of groups as `linked` takes them.
+
+    All pairs of a group of one block are compared. In a larger one, a set in the midst (of some pivots the one with most others
+    close by) has a ball around it: the sets whose distance to it is half of what a link allows, all of which are links of each other by the triangle inequality.
+    Where the ball is most of the group, only the rest is compared, with all; otherwise all pairs of blocks are.
+    """
+    with_sets = written(with_sets, "grouped")
+    blocks, tight = F.col("blocks").cast("int"), (1 + similarity) / 2
+    large = with_sets.where(blocks > 1).withColumn("block", F.pmod(F.xxhash64("node", "root"), blocks).cast("int"))
+    order = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    few = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / blocks))
+    pivots = large.withColumn("place", order).where(F.col("place") <= few)
+    same = pivots.withColumn("group", F.col("root")).withColumn("block", F.lit(0)).withColumn("other", F.lit(0))
+    close = compared(same, tight).where("what = 0").select(F.col("a").alias("node"), F.col("b").alias("close"))
+    centre = written(pivots.join(close, "node").groupBy("root").agg(F.max_by(F.struct("node", "n", "blocks", "tokens"), F.struct("close", "node")).alias("c")).select("root", "c.*"), "centres")
+    ends = lambda block, other: [F.lit(block).alias("block"), F.lit(other).alias("other")]
+    midst = centre.withColumn("at", F.explode(F.sequence(F.lit(0), blocks - 1))).select("root", "node", "tokens", "at", *ends(0, 1))
+    others = large.join(centre.select("root"), "root", "left_semi").select("root", "node", "tokens", F.col("block").alias("at"), *ends(1, 0))
+    inside = compared(midst.unionByName(others).withColumn("group", F.xxhash64("root", "at", F.lit(7))), tight).where("what = 0").select(F.col("a").alias("node")).distinct()
+    ball = inside.join(large.select("node", "root", "n"), "node")
+    most = ball.groupBy("root").agg(F.count("*").alias("size"), F.first("n").alias("of")).where(2 * F.col("size") > F.col("of")).select("root", "size")
+    ball = written(ball.join(most, "root").join(centre.select("root", F.col("node").alias("centre")), "root").select("node", "root", "size", "centre"), "balls")
+    rest = large.join(ball.select("root").distinct(), "root", "left_semi").join(ball.select("node"), "node", "left_anti").select("node", "root", "blocks", "block", "tokens")
+    parts = rest.groupBy("root").agg(blocks_of(F.count("*"), F.sum(F.octet_length("tokens"))).cast("int").alias("parts"))
+    at = F.pmod(F.xxhash64("node", "root", F.lit(2)), F.col("parts")).cast("int")
+    a = rest.join(parts, "root").select("root", "node", "tokens", at.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), *ends(0, 1))
+    counts = F.when(F.col("size").isNull(), -1).otherwise(0)
+    b = large.join(parts, "root").join(ball.select("node", "size"), "node", "left").select("root", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("block"), counts.alias("other"))
+    whole = with_sets.join(ball.select("root").distinct(), "root", "left_anti")
+    pairs = a.unionByName(b).withColumn("group", F.xxhash64("root", "i", "j", F.lit(3))).select("group", "node", "block", "other", "tokens").unionByName(blocked(whole, "root", "node").select("group", "node", "block", "other", "tokens"))
+    checked = compared(pairs, similarity)
+    links = checked.where("what = 1").select("a", "b").unionByName(ball.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    number = checked.where("what = 0").select("a", "b").unionByName(ball.select(F.col("node").alias("a"), (F.col("size") - 1).alias("b")))
+    return links, number.groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("n_links"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH, depth: int = DEPTH, links: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows' doc_id, mark and key of their set; and for each set its key, set_id and mark (of its least document), class_id, first (whether it is its class's) and n_links (0 unless links)."""
     spark = docs.sparkSession
@@ -326,8 +363,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 
     with_sets = texts.mapInArrow(sets_of, "node long, root long, n long, blocks long, tokens binary")
     if links:
-        checked = compared(blocked(with_sets, "root", "node"), similarity)
-        found, number = checked.where("what = 1").select("a", "b"), checked.where("what = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("n_links"))
+        found, number = counted(with_sets, similarity)
     else:
         found, number = linked(with_sets, similarity), spark.createDataFrame([], "set long, n_links long")
     member = components(found)
@@ -355,7 +391,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     written. In a bucket, sets with like sketches are joined by one link each; larger buckets at the last level are taken
     by pairs of blocks. 3. Components of these links are the groups whose sets are compared in full, again by pairs of
     blocks if there are many: a set is copied once for each block (SET_BLOCK sets, or SET_BYTES bytes) of its group, which only larger groups
-    feel, and a task holds two blocks, however long the texts are. 4. Components of the links that hold.
+    feel, and a task holds two blocks, however long the texts are. Of a large family of close copies only what isn't close to its midst is compared. 4. Components of the links that hold.
     """
     rows, whole = classes(docs, similarity, recall, width, depth)
     out = rows.select("doc_id", "key").join(whole, "key", "left")

@@ -173,3 +173,35 @@ def test_components(spark, seed):
     got = {(r["node"], r["root"]) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(x, top(x)) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_a_family_are_counted_by_its_midst(spark, monkeypatch):
+    """A family of close copies, some further away, and a stranger that only some of them link to: counts as all pairs give them."""
+    monkeypatch.setattr(cp, "SET_BLOCK", 12)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(1 if i < 60 else rng.randrange(6, 12)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(rng.choice(base) for _ in range(400)) for _ in range(10)]
+    compared = []
+    real = cp.compared
+    monkeypatch.setattr(cp, "compared", lambda pairs, s: compared.append(pairs.count()) or real(pairs, s))
+    rows = cp.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    want = [sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert [r["n_links"] for r in sorted(rows, key=lambda r: r["doc_id"])] == want and len(set(want)) > 5
+    assert compared[-1] < 90 * 8  # all pairs of blocks would take 90 * 8 rows
+
+
+def test_very_long_near_copies(spark, monkeypatch):
+    """Texts of 200,000 words, whose sets are blocks of their own."""
+    monkeypatch.setattr(cp, "SET_BYTES", 2 << 20)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    texts = [" ".join([*base[: 1000 * i], "new", *base[1000 * i :]]) for i in range(5)] + [" ".join(rng.choice(base) for _ in range(200_000)), "short text"]
+    rows = {r["doc_id"]: (r["set_id"], r["class_id"], r["n_links"]) for r in cp.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert rows == {**{i: (i, 0, 4) for i in range(5)}, 5: (5, 5, 0), 6: (6, 6, 0)}
