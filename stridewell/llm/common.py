@@ -40,11 +40,16 @@ def _tables() -> list[str]:
     return _OWN.__dict__.setdefault("paths", [])
 
 
+def own(path: str) -> str:
+    """Notes a folder in the shared one that `removed` or `scratch` shall delete."""
+    _tables().append(path)
+    return path
+
+
 def written(df: DataFrame, tag: str, **options) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, which outlives executors; `removed` deletes it, or `scratch`."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    _tables().append(path)
+    df.write.options(compression="zstd", **options).parquet(own(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -11,16 +12,18 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, shared_dir, tables, tune, written
+from .common import own, removed, shared_dir, tables, tune, written
 from .tokens import encoder
 
 #: Shards have at least so many bytes, and there are about so many at most, if not told otherwise.
 SHARD_BYTES, SHARDS = 32 << 20, 50_000
 #: Ids of a chunk of the table between the passes.
 CHUNK = 1 << 19
+#: Bytes of a shard that a task reads.
+READ_BYTES = 32 << 20
 #: Ends each record of a shard, as Spark's text writer does.
 RECORD_END = 1
 
@@ -55,7 +58,7 @@ def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048,
     The stream holds the documents in the order of the input's partitions, each followed by end_id (a null or empty text:
     end_id alone); the last sequence is filled up with end_id. Sequence i goes to slot permuted(i). Shard k is the file
     part-k of `path` and holds slots k*per_shard and on, each a record of 2*seq_len bytes (ids as little-endian unsigned
-    16-bit; larger ids raise an error) and one byte, so slot s starts at byte (s - k*per_shard) * stride. A reader resumes from a slot number alone.
+    16-bit; larger ids raise an error) and one byte, so slot s starts at byte (s - k*per_shard) * stride. `read_shards` resumes from a slot number alone.
 
     Each text is tokenised once: the ids of each partition go to a table in the shared folder, in chunks that know their
     place in it, and one number a partition comes to the driver, as in zipWithIndex. From the table the sequences are
@@ -143,26 +146,34 @@ def write_shards(docs: DataFrame, path: str, key: int = 0, seq_len: int = 2048,
     return said
 
 
-def read_shards(spark, path: str, layout: dict) -> DataFrame:
-    """slot, shard, ids_crc32 (of the ids as unsigned 16-bit) and n_end (ids equal to end_id's) of each record of each shard."""
+def read_shards(spark: SparkSession, path: str, layout: dict, start: int = 0, read_bytes: int = READ_BYTES) -> DataFrame:
+    """slot, shard, seq_len and ids_crc32 (of the ids as unsigned 16-bit) of each record from slot `start` on.
+
+    layout is what `write_shards` has returned. Shards are read record by record, in splits of about read_bytes that begin at
+    a multiple of the stride, so that a task's memory doesn't depend on a shard's size; to resume, shards before that of
+    `start` aren't opened. Without records there are no rows.
+    """
     seq_len, stride, per_shard = layout["seq_len"], layout["stride"], layout["per_shard"]
     schema = "slot long, shard long, seq_len long, ids_crc32 long"
-    if not layout["n_sequences"]:
+    if start >= layout["n_sequences"]:
         return spark.createDataFrame([], schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                crcs = [zlib.crc32(data[i : i + 2 * seq_len]) for i in range(0, len(data), stride)]
-                n = len(crcs)
-                yield pa.RecordBatch.from_pydict({"slot": np.arange(n) + shard * per_shard, "shard": np.full(n, shard), "seq_len": np.full(n, seq_len), "ids_crc32": crcs})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    names = [n for n in names if (m := re.match(r"part-(\d+)", n)) and int(m[1]) >= start // per_shard]
+    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(stride), "mapreduce.input.fileinputformat.split.maxsize": str(read_bytes)}
+    kinds = ("org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
+    records = spark.sparkContext.newAPIHadoopFile(",".join(f"{path}/{n}" for n in names), *kinds, conf=conf)
+    rows = records.map(lambda r: (r[0], zlib.crc32(r[1][: 2 * seq_len])))
+    df = spark.createDataFrame(rows, "at long, ids_crc32 long", verifySchema=False)
+    shard = F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).cast("long")  # a task reads one file
+    df = df.select(shard.alias("shard"), "at", "ids_crc32")
+    return df.select((F.col("shard") * per_shard + F.col("at")).alias("slot"), "shard", F.lit(seq_len).cast("long").alias("seq_len"), "ids_crc32").where(F.col("slot") >= start)
 
 
 def documents_in_order(docs: DataFrame, key: int = 0, **settings) -> DataFrame:
-    """Writes documents as shards to a new folder in the shared one and returns what the shards then hold."""
-    path = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    """Writes documents as shards to a new folder in the shared one and returns what the shards then hold; see `write_shards` for nulls, repeats and empty tables.
+
+    The folder stays until `common.removed`, or the `common.scratch` around the call, deletes it.
+    """
+    path = own(f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}")
     return read_shards(docs.sparkSession, path, write_shards(docs, path, key, **settings))

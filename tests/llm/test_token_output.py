@@ -1,4 +1,5 @@
 import glob
+import os
 import tempfile
 import zlib
 from collections import Counter
@@ -75,3 +76,23 @@ def test_nothing(spark, nothing):
     path = tempfile.mkdtemp() + "/shards"
     said = to.write_shards(nothing, path)
     assert said["n_sequences"] == 0 and to.read_shards(spark, path, said).count() == 0
+
+
+def test_shards_are_read_from_a_slot_in_bounded_pieces(spark, documents, tmp_path):
+    """Shards of many read buffers, from any slot on, and what was written is removed."""
+    from stridewell.llm.common import scratch, tables
+
+    path = str(tmp_path / "shards")
+    layout = to.write_shards(documents, path, key=3, seq_len=16, shard_bytes=4000)
+    assert layout["n_shards"] > 5 and layout["per_shard"] > 100
+    whole = {r["slot"]: tuple(r) for r in to.read_shards(spark, path, layout).collect()}
+    assert sorted(whole) == list(range(layout["n_sequences"])) and all(r[1] == s // layout["per_shard"] for s, r in whole.items())
+    for start in (0, 1, layout["per_shard"] - 1, layout["per_shard"], 2 * layout["per_shard"] + 7, layout["n_sequences"] - 1, layout["n_sequences"]):
+        rows = to.read_shards(spark, path, layout, start, read_bytes=200)
+        assert sorted(map(tuple, rows.collect())) == [whole[s] for s in range(start, layout["n_sequences"])]
+    before = tables()
+    with scratch(spark):
+        assert to.documents_in_order(documents).count() > 0
+        left = [t for t in tables() if t not in before]
+        assert len(left) == 1 and os.path.isdir(left[0].removeprefix("file:"))
+    assert tables() == before and not os.path.exists(left[0].removeprefix("file:"))
