@@ -13,6 +13,7 @@ from stridewell.functions.dates import monday_week, within
 from stridewell.operators import health as h
 from stridewell.operators import joins, metrics, sessions, sleep
 from stridewell.operators import timeseries as ts
+from stridewell.operators.smoothing import local_regression
 from stridewell.plans import insight, reports
 from stridewell.plans.readiness import readiness as readiness_plan
 from stridewell.sources import driver_tables as t
@@ -511,6 +512,18 @@ def rhr_annual(spark, sf_dir):
     return r.groupBy("athlete_id", F.year("date").alias("year")).agg(F.avg("rhr").alias("rhr_mean"), F.date_from_unix_date(F.floor(F.avg(F.unix_date("date"))).cast("int")).alias("mid_date"))
 
 
+@query(f"""WITH {R}, e AS (SELECT athlete_id, count(*) AS n, min(date - DATE '1970-01-01') AS lo, max(date - DATE '1970-01-01') AS hi FROM rhr GROUP BY 1),
+g AS (SELECT athlete_id, n, k, lo + (hi - lo) * k / 79.0::DOUBLE AS at_day FROM e, (SELECT unnest(range(80)) AS k) WHERE hi > lo OR k = 0),
+d AS (SELECT athlete_id, k, at_day, rhr AS y, (date - DATE '1970-01-01') - at_day AS d, row_number() OVER (PARTITION BY athlete_id, k ORDER BY abs((date - DATE '1970-01-01') - at_day)) AS nth, greatest(1, floor(n * 0.75::DOUBLE + 0.00001)) AS take FROM g JOIN rhr USING (athlete_id)),
+w AS (SELECT *, max(abs(d)) FILTER (nth = take) OVER (PARTITION BY athlete_id, k) AS reach FROM d),
+v AS (SELECT *, CASE WHEN reach = 0 THEN (d = 0)::INT WHEN abs(d) < reach THEN (1 - (abs(d) / reach) ** 3) ** 3 ELSE 0 END AS w FROM w),
+f AS (SELECT athlete_id, at_day, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1, count(DISTINCT d) FILTER (w > 0) AS many FROM v GROUP BY ALL)
+SELECT athlete_id, {r6('at_day', 'CASE WHEN many > 1 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END AS fitted')} FROM f""")
+def rhr_smooth(spark, sf_dir):
+    """The curve through each athlete's resting heart rates: local lines over three quarters of the days."""
+    return local_regression(h.resting_hr(t.health(spark, sf_dir)), "date", "rhr", span=0.75, degree=1).withColumnRenamed("date", "at_day")
+
+
 @query(f"WITH {H} SELECT athlete_id, count(*) AS n_rows, count(DISTINCT metric) AS n_metrics, min(date) AS first_date, max(date) AS last_date FROM h GROUP BY 1")
 def health_stats(spark, sf_dir):
     return h.stats(t.health(spark, sf_dir))
