@@ -30,12 +30,13 @@ REPORTING = frozenset("said says say wrote writes called calls quote quoted quot
 
 @dataclass
 class Lexicon:
-    """Terms (text, whether words that begin with it count), the share of toxic texts among those with (term, edits), and
-    among those whose only exact hit is one of the term."""
+    """Terms (text, whether words that begin with it count), the share of toxic texts among those with (term, edits),
+    among those whose only exact hit is one of the term, and among those with a form that isn't quite the term."""
 
     terms: list[tuple[str, bool]]
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
     alone: dict[int, float] = field(default_factory=dict)
+    forms: dict[tuple[str, int], float] = field(default_factory=dict)
 
 
 def allowed_edits(term: str, prefix: bool) -> int:
@@ -124,7 +125,7 @@ class Automaton:
 
 
 class Matcher:
-    """Hits of a text: (place, term, edits, quoted)."""
+    """Hits of a text: (place, term, edits, quoted, the word as it was matched)."""
 
     def __init__(self, terms: list[tuple[str, bool]], window: int = WINDOW, memory: int = 400_000):
         self.automaton, self.window, self.memory = Automaton(terms), window, memory
@@ -137,7 +138,7 @@ class Matcher:
             hits = [(t, max(e, 1)) for t, e in self.automaton.find(other)]
         return hits
 
-    def hits(self, text: str | None) -> list[tuple[int, int, int, bool]]:
+    def hits(self, text: str | None) -> list[tuple[int, int, int, bool, str]]:
         if not text:
             return []
         words = text.lower().split()
@@ -151,7 +152,7 @@ class Matcher:
         marked = {w for w in set(words) if known[w]}
         if not marked:
             return []
-        return [(i, t, e, self.quoted(words, i)) for i, w in enumerate(words) if w in marked for t, e in known[w]]
+        return [(i, t, e, self.quoted(words, i), w.strip(MARKS)) for i, w in enumerate(words) if w in marked for t, e in known[w]]
 
     def quoted(self, words: list[str], i: int) -> bool:
         """Within quotation marks, and speech is reported within the window."""
@@ -161,12 +162,17 @@ class Matcher:
         return opened and closed and any(w.strip(MARKS) in REPORTING for w in [*before, *after])
 
 
-def score(hits: list[tuple[int, int, int, bool]], lexicon: Lexicon, quoted_share: float = 0.3, base: float = 0.02) -> float:
-    """1 less the product of what every distinct term leaves open; a term that is only quoted counts for quoted_share of its weight."""
+def score(hits: list[tuple[int, int, int, bool, str]], lexicon: Lexicon, quoted_share: float = 0.3, base: float = 0.02) -> float:
+    """1 less the product of what every distinct term leaves open; a term that is only quoted counts for quoted_share of its weight.
+
+    A misspelt term weighs what its very form does, where labelled texts hold that; so an ordinary word that is an edit away from a term doesn't count.
+    """
     best: dict[int, float] = {}
-    single = sum(e == 0 for _, _, e, _ in hits) == 1
-    for _, t, e, quoted in hits:
+    single = sum(h[2] == 0 for h in hits) == 1
+    for _, t, e, quoted, form in hits:
         weight = lexicon.alone.get(t, 0.0) if single and e == 0 else lexicon.weights.get((t, e), 0.0)
+        if e:
+            weight = lexicon.forms.get((form, t), weight)
         best[t] = max(best.get(t, 0.0), weight * (quoted_share if quoted else 1.0))
     left = 1.0 - base
     for w in best.values():
@@ -186,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     word) of toxic texts, and `precision` of all its contexts are in toxic texts; copies of a text bring no new contexts.
     Of beginnings that qualify, only the shortest stay, and words only if none of these begins them. Each (term, edits)
     weighs as the smoothed share of toxic texts among the sample's texts that have it, for edits only among texts without
-    any exact hit; edits that no text has, a little less than the term itself. Rows with null doc_id or label, and null texts, take no part. No rows: an empty lexicon.
+    any exact hit; edits that no text has, a little less than the term itself. Each form with edits that those texts hold weighs by its own share,
+    smoothed by that of its (term, edits) as if by two texts. Rows with null doc_id or label, and null texts, take no part. No rows: an empty lexicon.
     """
     tune(docs.sparkSession)
     picked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -219,16 +226,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             out = []
             for x, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 hits = find.hits(text)
-                exact = [t for _, t, e, _ in hits if e == 0]
-                out += [(x, t, e, int(len(exact) == 1)) for t, e in ({(t, 0) for t in exact} or {(t, e) for _, t, e, _ in hits})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["toxic", "term", "edits", "alone"])
+                exact = [h[1] for h in hits if h[2] == 0]
+                out += [(x, t, e, int(len(exact) == 1), form) for t, e, form in ({(t, 0, "") for t in exact} or {(h[1], h[2], h[4]) for h in hits})]
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in out], pa.int64()) for k in range(4)], pa.array([r[4] for r in out], pa.string())], ["toxic", "term", "edits", "alone", "form"])
 
     n, toxic, alone = F.count("*").alias("n"), F.sum("toxic").alias("t"), F.col("alone")
-    seen = texts.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, term long, edits long, alone long").groupBy("term", "edits").agg(n, toxic, F.sum(alone).alias("n1"), F.sum(alone * F.col("toxic")).alias("t1")).collect()
+    seen = texts.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, term long, edits long, alone long, form string").groupBy("term", "edits", "form").agg(n, toxic, F.sum(alone).alias("n1"), F.sum(alone * F.col("toxic")).alias("t1")).collect()
+    sums: dict[tuple[int, int], tuple[int, int]] = {}
+    for r in seen:
+        t, n = sums.get((r["term"], r["edits"]), (0, 0))
+        sums[r["term"], r["edits"]] = t + r["t"], n + r["n"]
+    for key, (t, n) in sums.items():
+        lexicon.weights[key] = (t + 0.1) / (n + 0.2)
     for r in seen:
-        lexicon.weights[r["term"], r["edits"]] = share = (r["t"] + 0.1) / (r["n"] + 0.2)
+        share = lexicon.weights[r["term"], r["edits"]]
         if r["edits"] == 0:
             lexicon.alone[r["term"]] = (r["t1"] + share) / (r["n1"] + 1)
+        else:
+            lexicon.forms[r["form"], r["term"]] = (r["t"] + 2 * share) / (r["n"] + 2)
     for i, (term, prefix) in enumerate(listed):
         for e in range(1, allowed_edits(term, prefix) + 1):
             lexicon.weights.setdefault((i, e), lexicon.weights.get((i, 0), 0.9) * 0.8)
@@ -258,7 +273,7 @@ def judge(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, windo
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_hits of each document."""
+    """doc_id, held_out, score, predicted and n_hits of each document; see `fit` and `judge` for nulls, repeats, other columns and empty tables."""
     out = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fit(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
 

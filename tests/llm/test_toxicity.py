@@ -113,16 +113,17 @@ def plain_score(text, lexicon):
         opens, shuts = (lambda x: x[0] in tx.QUOTES), (lambda x: x.rstrip(".,;:!?")[-1:] in tx.QUOTES)
         inside = any(opens(x) for x in [*around[0], raw]) and not any(shuts(x) and x[0] not in tx.QUOTES for x in around[0]) and any(shuts(x) for x in [raw, *around[1]])
         speech = any(x.strip(tx.MARKS) in tx.REPORTING for x in [*around[0], *around[1]])
-        hits += [(t, e, inside and speech) for t, e in found.items()]
-    one = sum(e == 0 for _, e, _ in hits) == 1
+        hits += [(t, e, inside and speech, w) for t, e in found.items()]
+    one = sum(e == 0 for _, e, *_ in hits) == 1
     clean = 0.98
+    weigh = lambda t, e, form: lexicon.alone.get(t, 0) if one and e == 0 else lexicon.forms[form, t] if e and (form, t) in lexicon.forms else lexicon.weights.get((t, e), 0)
     for t in {t for t, *_ in hits}:
-        clean *= 1 - max((lexicon.alone.get(t, 0) if one and e == 0 else lexicon.weights.get((t, e), 0)) * (0.3 if q else 1) for x, e, q in hits if x == t)
+        clean *= 1 - max(weigh(t, e, form) * (0.3 if q else 1) for x, e, q, form in hits if x == t)
     return 1 - clean
 
 
 def test_whole_scores_against_a_plain_version(spark):
-    lexicon = tx.Lexicon([("moronic", False), ("scum", False), ("worthless", False), ("lowei", True), ("wort", True)], {(0, 0): 0.9, (0, 1): 0.7, (1, 0): 0.95, (2, 0): 0.8, (2, 1): 0.5, (2, 2): 0.3, (3, 0): 0.6, (4, 0): 0.2}, {0: 0.75, 1: 0.5, 2: 0.9, 3: 0.4, 4: 0.1})
+    lexicon = tx.Lexicon([("moronic", False), ("scum", False), ("worthless", False), ("lowei", True), ("wort", True)], {(0, 0): 0.9, (0, 1): 0.7, (1, 0): 0.95, (2, 0): 0.8, (2, 1): 0.5, (2, 2): 0.3, (3, 0): 0.6, (4, 0): 0.2}, {0: 0.75, 1: 0.5, 2: 0.9, 3: 0.4, 4: 0.1}, {("moronc", 0): 0.05, ("worthles", 2): 0.95})
     rng = random.Random(8)
     some = ["moronic", "moronc", "m0ronic!", "scum", "scums", "worthless", "worthles,", "w0rthl3ss", "loweified", "wort", "worthy", '"you', 'are"', "said", "sagte:", '"worthless"', "the", "of", "reed.", "«scum»", "$cum"]
     texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(400)] + ["", None, " \n"]
@@ -130,3 +131,35 @@ def test_whole_scores_against_a_plain_version(spark):
     for r in out:
         assert r["score"] == pytest.approx(plain_score(texts[r["i"]], lexicon)), texts[r["i"]]
     assert 50 < sum(r["predicted"] for r in out) < 390
+
+
+def misspelt(rng, word):
+    k = rng.randrange(1, len(word) - 1)
+    return rng.choice([word[:k] + word[k + 1 :], word[:k] + word[k] + word[k:], word[:k] + rng.choice("aeiou") + word[k + 1 :]])
+
+
+def test_effect_of_edits_and_quotes(labelled):
+    """Texts made up from held-out clean ones: terms misspelt (toxic), quoted in reported speech (clean), and an ordinary word one edit from a term (clean)."""
+    docs, labels = labelled
+    rng = random.Random(6)
+    clean = [r["text"] for r in docs.where("doc_id < 900 and doc_id % 3 != 0").where(tx.held_out(F.col("doc_id"))).collect()]
+    usual = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" moroni of "), F.col("doc_id").cast("string"))).otherwise(F.col("text")))
+    lexicon = tx.fit(usual, labels)
+    assert {t for t, _ in lexicon.terms} >= set(BAD)
+
+    def put(text, *more):
+        words = text.split()
+        at = rng.randrange(len(words))
+        return " ".join([*words[:at], *more, *words[at:]])
+
+    made = {
+        "misspelt": [put(t, misspelt(rng, "worthless"), "the", misspelt(rng, "worthless")) for t in clean],
+        "plain": [put(t, rng.choice(BAD)) for t in clean],
+        "quoted": [put(t, "he", "said", '"you', rng.choice(BAD), 'thing"') for t in clean],
+        "ordinary": [put(t, "moroni") for t in clean],
+    }
+    find = tx.Matcher(lexicon.terms)
+    flagged = {k: sum(tx.score(find.hits(t), lexicon) >= 0.7 for t in texts) / len(texts) for k, texts in made.items()}
+    assert flagged["misspelt"] > 0.9 and flagged["plain"] > 0.95 and flagged["quoted"] < 0.05 and flagged["ordinary"] < 0.05, flagged
+    lexicon.forms.clear()
+    assert sum(tx.score(find.hits(t), lexicon) >= 0.7 for t in made["misspelt"]) / len(clean) > 0.9
