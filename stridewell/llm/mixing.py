@@ -90,7 +90,10 @@ def _mixed(sized: DataFrame, weights: tuple[float, ...], epochs: int, buckets: i
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each document; texts don't travel."""
+    """doc_id, size, source_size, target and taken of each document; texts don't travel.
+
+    A null text has size 0, a null source is a source; repeated rows are documents of their own; other columns are ignored; an empty table gives an empty result.
+    """
     slim = docs.select("doc_id", "source", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), word_count(F.col("text")).alias("size"))
     return mix(slim, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 

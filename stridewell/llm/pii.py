@@ -511,4 +511,9 @@ def find(docs: DataFrame, field: Field, certain: float = 0.9, redact: bool = Fal
 
 
 def documents(docs: DataFrame) -> DataFrame:
+    """What `find` tells of every document, by a field that `fit` trains on some of them.
+
+    A null or empty text has no spans; a null doc_id stays null; repeated rows are found alike; other columns are ignored; an empty table gives
+    an empty result. Tokens without a digit or an @-like sign are never looked at ("ann dot b at x dot org" stays).
+    """
     return find(docs, fit(docs))

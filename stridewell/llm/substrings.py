@@ -407,4 +407,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
 
 def documents(docs: DataFrame) -> DataFrame:
+    """n_words, n_removed and the digest of the words that `remove_repeats` keeps of every document; nulls, repeated rows, other columns and empty tables are as there."""
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -54,3 +54,14 @@ def test_few_rows_are_scored_where_few_dimensions_matter(spark):
 def test_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert topk.every_hundredth(df).count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(0, 300, 10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    from pyspark.sql import functions as F
+
+    more = df.withColumns({"query_id": F.lit("x"), "rank": F.lit(1), "score": F.lit(2), "q": F.lit(3), "list": F.lit(0), "label": F.lit(None).cast("int"), "a.b": F.lit(0), "a`c": F.lit(0)})
+    got = sorted(tuple(r) for r in topk.every_hundredth(more).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute(rows)
