@@ -36,15 +36,17 @@ def activities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_struct(schemas.ACTIVITIES)).parquet(path)
 
 
-def dual_format(df: DataFrame, body: str, fields: str, nested_only: bool = False) -> DataFrame:
+def dual_format(df: DataFrame, body: str, fields: str, nested_only: bool = False, seen: Observation | None = None) -> DataFrame:
     """Adds the fields of JSON bodies that hold them under summaryDTO (old format) or at the top (new format).
 
     The format is chosen for a whole body, not field by field; nested_only leaves the fields of new bodies null. A body
-    that can't be read has null fields.
+    that can't be read has null fields; seen counts `bodies` and `unreadable` in the same pass.
     """
     names = [f.name for f in _struct(fields).fields]
-    j = F.from_json(F.col(body), f"struct<summaryDTO: struct<{fields.replace(' double', ': double')}>, {fields.replace(' double', ': double')}>")
+    j = F.from_json(F.col(body), f"struct<summaryDTO: struct<{fields.replace(' double', ': double')}>, {fields.replace(' double', ': double')}, _corrupt_record: string>")
     out = df.withColumn("__j", j)
+    if seen is not None:
+        out = out.observe(seen, F.count("*").alias("bodies"), F.count_if(F.col("__j._corrupt_record").isNotNull()).alias("unreadable"))
     old = F.col("__j.summaryDTO").isNotNull()
     return out.select(*df.columns, *[F.when(old, F.col(f"__j.summaryDTO.{n}")).otherwise(F.lit(None) if nested_only else F.col(f"__j.{n}")).alias(n) for n in names])
 
@@ -54,17 +56,18 @@ def device_prefix(name: Column) -> Column:
     return F.regexp_replace(name, r"_(summary|details)\.json$", "")
 
 
-def device_metrics(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+def device_metrics(spark: SparkSession, path: str, only: Column | None = None, summaries: Observation | None = None, details: Observation | None = None) -> DataFrame:
     """Pairs of PREFIX_summary.json and PREFIX_details.json files: all fields of the first, those of the second where it is there.
 
-    only is a filter on _metadata, by which files are left out before any is read.
+    only is a filter on _metadata, by which files are left out before any is read. A summary that can't be read gives a row of nulls;
+    summaries and details count `bodies` and `unreadable` of either kind while the result is read.
     """
     files = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
     files = (files if only is None else files.where(only)).select(F.col("_metadata.file_name").alias("file_name"), "value")
     prefix = device_prefix(F.col("file_name"))
-    part = lambda kind, fields, nested: dual_format(files.where(F.col("file_name").endswith(f"_{kind}.json")), "value", fields, nested).withColumn("prefix", prefix).withColumn("name", F.col("file_name")).drop("value", "file_name")
-    summary = part("summary", schemas.DEVICE_SUMMARY, False).withColumn("device_ts", filename_time(F.col("name"))).drop("name")
-    return summary.join(part("details", schemas.DEVICE_DETAILS, True).drop("name"), "prefix", "left")
+    part = lambda kind, fields, nested, seen: dual_format(files.where(F.col("file_name").endswith(f"_{kind}.json")), "value", fields, nested, seen).withColumn("prefix", prefix).withColumn("name", F.col("file_name")).drop("value", "file_name")
+    summary = part("summary", schemas.DEVICE_SUMMARY, False, summaries).withColumn("device_ts", filename_time(F.col("name"))).drop("name")
+    return summary.join(part("details", schemas.DEVICE_DETAILS, True, details).drop("name"), "prefix", "left")
 
 
 class Counted:

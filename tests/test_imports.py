@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Observation
 
 from stridewell.sources import imports, readers
 
@@ -130,3 +131,14 @@ def test_counts_come_with_the_result(spark, tmp_path):
     counted = readers.Counted()
     assert readers.canonical(spark, str(tmp_path / "canonical"), counted=counted).count() == 1
     assert counted.get() == {"bodies": 3, "unreadable": 1, "samples": 1, "dropped": 0}
+
+
+def test_unreadable_device_files_are_counted(spark, tmp_path):
+    for i, (summary, details) in enumerate([({"maxHR": 1.0}, "{bad"), ("{bad", {"summaryDTO": {"minHR": 2.0}}), ({"summaryDTO": {"maxHR": 3.0}}, None), ({}, {})]):
+        write(f"{tmp_path}/in/{i}_summary.json", summary)
+        if details is not None:
+            write(f"{tmp_path}/in/{i}_details.json", details)
+    summaries, details = Observation(), Observation()
+    rows = readers.device_metrics(spark, f"{tmp_path}/in", summaries=summaries, details=details).collect()
+    assert {r["prefix"]: (r["maxHR"], r["minHR"]) for r in rows} == {"0": (1.0, None), "1": (None, 2.0), "2": (3.0, None), "3": (None, None)}
+    assert (summaries.get, details.get) == ({"bodies": 4, "unreadable": 1}, {"bodies": 3, "unreadable": 1})
