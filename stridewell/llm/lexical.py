@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import tune, written
 
-#: Terms are runs of ASCII letters and digits and of all characters beyond ASCII; of letters only A to Z are lowered.
+#: Terms, as a pattern: runs of ASCII letters and digits and of all characters beyond ASCII; of letters only A to Z are lowered.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SIGNS = bytes(c + 32 * (65 <= c <= 90) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Terms of a segment of the index, and bytes of a text that are split at a time.
@@ -75,7 +75,7 @@ def index(docs: DataFrame) -> Index:
 
     The first level of a segment is, for each term, the documents that hold it (`places`) and a byte each that bounds
     the impact from above (`impacts`); the second is how often they hold it (`counts`) and how long they are (`lengths`).
-    Two passes: lengths are summed first, as impacts need their mean; nothing is shuffled. A null or empty text, or one without
+    Two passes: lengths are summed first, as impacts need their mean (from bytes; a pattern in the JVM takes ten times as long); nothing is shuffled. A null or empty text, or one without
     terms, is in no segment; repeated rows and null doc_ids are documents of their own; doc_id must be a whole number;
     other columns are ignored. The table is in the shared folder.
     """
