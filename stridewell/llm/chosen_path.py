@@ -294,9 +294,6 @@ def counted(with_sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFra
     """
     with_sets = written(with_sets, "grouped")
     blocks, tight = F.col("blocks").cast("int"), (1 + similarity) / 2
-    if with_sets.where(blocks > 1).isEmpty():
-        checked = compared(blocked(with_sets, "root", "node"), similarity)
-        return checked.where("what = 1").select("a", "b"), checked.where("what = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("n_links"))
     large = with_sets.where(blocks > 1).withColumn("block", F.pmod(F.xxhash64("node", "root"), blocks).cast("int"))
     order = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1)), "node"))
     few = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / blocks))
