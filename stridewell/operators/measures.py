@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stridewell.functions.expr import hour_fraction, plain_spaces
 
 from .health import PRIORITY, SLEEP, rank
-from .sleep import STAGES, SUFFIXES, TIMES, night, summed
+from .sleep import STAGES, SUFFIXES, TIMES, night, summed, total_sleep
 
+#: Parts of a source's day that are dealt to tasks of their own.
+SLICES = 64
 ROW = "struct<metric:string,value:double,date:date,source:string,start_ts:string,end_ts:string,stage:string>"
 
 
@@ -41,24 +42,32 @@ def measures(samples: DataFrame, keys: Sequence[str] = ("athlete_id",), zone: st
     """keys, date, metric, value and source of samples (name, sample): quantities as they are, and sleep_* rows of nights.
 
     Nights come from samples that a device has summed up, and from the segments of each night's best source; see
-    `sleep.nights`. The samples are read once and dealt once, by key and night: all windows share that exchange. seen counts `samples` and
-    `dropped` (those that give no row) in the same pass.
+    `sleep.nights`. The samples are read and parsed once, and dealt twice. First by SLICES of each source's day, in which repeated segments meet and
+    are summed up; then by day, but each quantity by itself. So no task gets a day or a night whole, and each sorts its rows once: what
+    is grouped later goes by the first columns of that order. seen counts `samples` and `dropped` (those that give no row) in the same pass.
     """
     rows = samples.select(*keys, rows_of(F.col("name"), F.col("sample"), zone).alias("__rows"))
     if seen is not None:
         rows = rows.observe(seen, F.count("*").alias("samples"), F.count_if(F.size("__rows") == 0).alias("dropped"))
-    rows = rows.select(*keys, F.explode("__rows").alias("r")).select(*keys, "r.*", F.col("r.start_ts").isNotNull().alias("part"))
-    part, by_source = F.col("part"), [*keys, "date", "part", "source"]
-    order = [F.col("staged").desc(), rank(F.col("source"), priority), "source"]
-    staged = F.max(part & F.col("metric").isin("core", "deep", "rem")).over(W.partitionBy(*by_source))
-    best = F.first(F.struct("source")).over(W.partitionBy(*keys, "date", "part").orderBy(*order))
-    rows = rows.withColumn("staged", staged).withColumn("best", best).where(~part | F.col("source").eqNullSafe(F.col("best.source")))
-    again = F.row_number().over(W.partitionBy(*by_source, "stage", "value", "start_ts", "end_ts").orderBy("staged"))
-    rows = rows.withColumn("again", F.when(part, again).otherwise(1)).where("again = 1")
-    night_of = W.partitionBy(*by_source)
-    rows = rows.select("*", *[c.alias(f"n_{f}") for f, c in summed("metric", "value", lambda c: c.over(night_of)).items()], F.row_number().over(night_of.orderBy("metric")).alias("nth")).where(~part | (F.col("nth") == 1))
-    total = F.when(F.col("n_core") + F.col("n_deep") + F.col("n_rem") > 0, F.col("n_core") + F.col("n_deep") + F.col("n_rem")).when(F.col("n_asleep") > 0, F.col("n_asleep")).when(F.col("n_inBed") > 0, F.col("n_inBed")).otherwise(0.0)
+    rows = rows.select(*keys, F.explode("__rows").alias("r")).select(*keys, "r.*")
+    # values are grouped by as text, since Spark sorts anew wherever it groups by doubles; quantity is null of a segment
+    rows = rows.withColumn("number", F.col("value").cast("string"))
+    rows = rows.withColumn("quantity", F.when(F.col("start_ts").isNull(), F.struct("metric", "number", "source")))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("metric", "number", "stage", "start_ts", "end_ts"), F.lit(SLICES))).repartition(*keys, "date", "source", "slice")
+    group = [*keys, "date", "source", "slice", "quantity"]
+    once = rows.groupBy(*group, "stage", "number", "start_ts", "end_ts").agg(F.first("metric").alias("metric"), F.first("value").alias("value"), F.count("*").alias("times"))
+    staged = F.max(F.col("metric").isin("core", "deep", "rem"))
+    parts = once.groupBy(*group).agg(staged.alias("staged"), F.first("value").alias("value"), F.max("times").alias("times"), *[c.alias(f) for f, c in summed("metric", "value").items()])
+
+    parts = parts.withColumn("place", F.when(F.col("quantity").isNotNull(), F.xxhash64("quantity"))).repartition(*keys, "date", "place")
+    most = ("staged", "value", "times", "inBed", "asleep", "sleepEnd", "inBedEnd")
+    whole = {f: (F.max if f in most else F.min if f in TIMES else F.sum)(f) for f in ("staged", "value", "times", *SUFFIXES, *TIMES)}
+    sources = parts.groupBy(*keys, "date", "place", "quantity", "source").agg(*[c.alias(f) for f, c in whole.items()])
+    order = F.struct(~F.col("staged"), rank(F.col("source"), priority), "source")
+    best = sources.groupBy(*keys, "date", "place", "quantity").agg(F.min_by(F.struct("source", "value", "times", *SUFFIXES, *TIMES), order).alias("n")).select(*keys, "date", "quantity", "n.*")
     one = lambda f, v: F.struct(F.lit(f"sleep_{f}").alias("metric"), v.alias("value"))
-    nightly = F.array(one("totalSleep", total), *[one(f, F.col(f"n_{f}")) for f in SUFFIXES], *[one(f, hour_fraction(F.col(f"n_{f}"), zone)) for f in TIMES])
-    out = F.when(part, nightly).otherwise(F.array(F.struct("metric", "value")))
-    return rows.select(*keys, "date", "source", F.explode(out).alias("r")).where("r.value is not null").select(*keys, "date", "r.metric", "r.value", "source")
+    night_rows = F.array(one("totalSleep", total_sleep()), *[one(f, F.col(f)) for f in SUFFIXES], *[one(f, hour_fraction(F.col(f), zone)) for f in TIMES])
+    quantity = F.struct(F.col("quantity.metric").alias("metric"), "value")
+    out = best.select(*keys, "date", "source", F.when(F.col("quantity").isNull(), night_rows).alias("night"), quantity.alias("quantity"), F.col("times").cast("int").alias("times"))
+    out = out.select(*keys, "date", "source", F.explode(F.coalesce("night", F.array_repeat("quantity", F.col("times")))).alias("r"))
+    return out.where("r.value is not null").select(*keys, "date", "r.metric", "r.value", "source")

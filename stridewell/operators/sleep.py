@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,31 +39,32 @@ def best_source(rows: DataFrame, keys: Sequence[str] = ("athlete_id",), priority
     return staged.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*keys, "date", "source", "has_staging")
 
 
-def summed(suffix: str, hours: str, over: Callable[[Column], Column] = lambda c: c) -> dict[str, Column]:
-    """Aggregates (or, with over, windows) of a night's segments by field: hours of each stage (0 if there are none), and when sleep and bed began and ended."""
+def summed(suffix: str, hours: str) -> dict[str, Column]:
+    """Aggregates of a night's segments by field: hours of each stage (0 if there are none), and when sleep and bed began and ended."""
     of = lambda s: F.when(F.col(suffix) == s, F.col(hours))
     bed = F.col(suffix) == "inBed"
-    stages = {s: F.coalesce(over((F.max if s in ("asleep", "inBed") else F.sum)(of(s))), F.lit(0.0)) for s in SUFFIXES}
+    stages = {s: F.coalesce((F.max if s in ("asleep", "inBed") else F.sum)(of(s)), F.lit(0.0)) for s in SUFFIXES}
     starts, ends = F.col("start_ts"), F.col("end_ts")
     times = {"sleepStart": F.min(F.when(~bed, starts)), "sleepEnd": F.max(F.when(~bed, ends)), "inBedStart": F.min(F.when(bed, starts)), "inBedEnd": F.max(F.when(bed, ends))}
-    return stages | {f: over(c) for f, c in times.items()}
+    return stages | times
+
+
+def total_sleep() -> Column:
+    """Hours asleep of a night by its hours of each stage."""
+    stages = F.col("core") + F.col("deep") + F.col("rem")
+    return F.when(stages > 0, stages).when(F.col("asleep") > 0, F.col("asleep")).when(F.col("inBed") > 0, F.col("inBed")).otherwise(0.0)
 
 
 def nights(raw: DataFrame, keys: Sequence[str] = ("athlete_id",), priority: Sequence[str] = PRIORITY) -> DataFrame:
     """Hours of each stage, total sleep, and when sleep and bed began and ended (text), of the best source of each night.
 
-    The best source is the first of those with sleep stages, by priority, then by name. One exchange, by key and night.
+    The best source is the first of those with sleep stages, by priority, then by name. Each source's night is summed up where its
+    segments are, so that only sums are dealt by night, and no task holds the segments of a night however many they are.
     """
-    names = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
-    rows = raw.withColumn("suffix", F.try_element_at(names, F.col("stage"))).where("suffix is not null").withColumn("source", plain_spaces(F.col("source")))
-    rows = rows.withColumn("date", night(F.col("start_ts"), F.col("end_ts")))
-    rows = rows.withColumn("__staged", F.max(F.col("suffix").isin("core", "deep", "rem")).over(W.partitionBy(*keys, "date", "source")))
+    staged = F.max(F.col("suffix").isin("core", "deep", "rem")).alias("__staged")
+    nightly = segments(raw, keys).groupBy(*keys, "date", "source").agg(staged, *[c.alias(f) for f, c in summed("suffix", "hours").items()])
     first = W.partitionBy(*keys, "date").orderBy(F.col("__staged").desc(), rank(F.col("source"), priority), "source")
-    rows = rows.withColumn("__best", F.first(F.struct("source")).over(first)).where(F.col("source").eqNullSafe(F.col("__best.source")))
-    rows = rows.groupBy(*keys, "date", "source", "stage", "hours", "start_ts", "end_ts", "suffix").agg(F.lit(1))
-    out = rows.groupBy(*keys, "date", "source").agg(*[c.alias(f) for f, c in summed("suffix", "hours").items()])
-    staged = F.col("core") + F.col("deep") + F.col("rem")
-    return out.withColumn("totalSleep", F.when(staged > 0, staged).when(F.col("asleep") > 0, F.col("asleep")).when(F.col("inBed") > 0, F.col("inBed")).otherwise(0.0))
+    return nightly.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__staged", "__nth").withColumn("totalSleep", total_sleep())
 
 
 def long_rows(nightly: DataFrame, keys: Sequence[str] = ("athlete_id",), zone: str = "Europe/Stockholm") -> DataFrame:

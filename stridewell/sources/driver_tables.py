@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = date(2001, 8, 1)
+#: Numbers of events of which the samples of a metric's day stand in one file.
+FILE = 100_000
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,31 +64,31 @@ def pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), (F.col("user_id") % 8).alias("athlete_id"), body.alias("body"))
 
 
-def sleep_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments as text times with an offset; every fifth is repeated, and some have a stage that no one knows."""
+def sleep_segments(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Segments as text times with an offset; every fifth is repeated, and some have a stage that no one knows. keep: further columns of events."""
     e = _events(spark, sf_dir)
     stage = F.element_at(F.array(*map(F.lit, ("Core", "Deep", "REM", "Awake", "In Bed", "Asleep", "Unknown"))), (F.col("event_id") % 7 + 1).cast("int"))
     hours = F.round(F.col("value") % 4, 2)
     end = F.timestamp_add("MINUTE", (F.col("event_id") % 240).cast("int"), F.col("ts"))
     form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss +0000")
     source = F.element_at(F.array(*map(F.lit, ("watch", "ring", "phone", "bed"))), (F.floor(F.col("event_id") / 3) % 4 + 1).cast("int"))
-    rows = e.select((F.col("user_id") % 8).alias("athlete_id"), form(F.col("ts")).alias("start_ts"), form(end).alias("end_ts"), stage.alias("stage"), hours.alias("hours"), source.alias("source"), "event_id")
-    return rows.drop("event_id").unionByName(rows.where("event_id % 5 = 0").drop("event_id"))
+    rows = e.select((F.col("user_id") % 8).alias("athlete_id"), form(F.col("ts")).alias("start_ts"), form(end).alias("end_ts"), stage.alias("stage"), hours.alias("hours"), source.alias("source"), F.col("event_id").alias("__k"), *keep)
+    return rows.drop("__k").unionByName(rows.where("__k % 5 = 0").drop("__k"))
 
 
 def _sleep_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """athlete_id, day (text), and a JSON sample of sleep: segments under two pairs of names with Swedish stages, nights that a device
+    """athlete_id, event_id, day (text), and a JSON sample of sleep: segments under two pairs of names with Swedish stages, nights that a device
     has summed up (of athletes from 100 on), and quantities without either, which no one can read."""
     e = _events(spark, sf_dir)
     stages = F.create_map(*[F.lit(x) for kv in (("Core", "Kärna"), ("Deep", "Djup"), ("REM", "REM"), ("Awake", "Vaken"), ("In Bed", "I sängen"), ("Asleep", "Sova"), ("Unknown", "Okänd")) for x in kv])
-    s = sleep_segments(spark, sf_dir).withColumn("value", stages[F.col("stage")])
+    s = sleep_segments(spark, sf_dir, ("event_id",)).withColumn("value", stages[F.col("stage")])
     named = [F.to_json(F.struct(F.col("start_ts").alias(a), F.col("end_ts").alias(z), "value", F.col("hours").alias("qty"), "source")) for a, z in (("startDate", "endDate"), ("start", "end"))]
-    segments = s.select("athlete_id", F.left("end_ts", F.lit(10)).alias("day"), F.when(F.col("source") == "ring", named[1]).otherwise(named[0]).alias("sample"))
+    segments = s.select("athlete_id", "event_id", F.left("end_ts", F.lit(10)).alias("day"), F.when(F.col("source") == "ring", named[1]).otherwise(named[0]).alias("sample"))
     form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss +0000")
     v, k = F.col("value"), F.col("event_id")
     night = F.struct(form("ts").alias("date"), F.round(v % 8, 2).alias("totalSleep"), F.round(v % 3, 2).alias("core"), F.when(k % 2 == 0, F.round(v % 2, 2)).alias("deep"), form("ts").alias("sleepStart"), F.lit("").alias("inBedStart"), F.lit("watch").alias("source"), F.lit("REM").alias("value"))
-    whole = e.where("event_type = 'purchase'").select((100 + F.col("user_id") % 8).alias("athlete_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.to_json(night).alias("sample"))
-    other = e.where("event_type = 'click'").select((F.col("user_id") % 8).alias("athlete_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.to_json(F.struct(form("ts").alias("date"), v.alias("qty"))).alias("sample"))
+    whole = e.where("event_type = 'purchase'").select((100 + F.col("user_id") % 8).alias("athlete_id"), "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.to_json(night).alias("sample"))
+    other = e.where("event_type = 'click'").select((F.col("user_id") % 8).alias("athlete_id"), "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.to_json(F.struct(form("ts").alias("date"), v.alias("qty"))).alias("sample"))
     return segments.unionByName(whole).unionByName(other)
 
 
@@ -96,16 +98,19 @@ def sleep_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON of a metric's day: the sleep samples, and from each event a quantity or the three figures of a heart rate."""
+    """JSON of a metric's day: the sleep samples, and from each event a quantity or the three figures of a heart rate.
+
+    A day of many samples comes in several files, one for each FILE events, as no device sends a file without end.
+    """
     e = _events(spark, sf_dir)
     v, day = F.col("value"), F.date_format("ts", "yyyy-MM-dd")
     one = F.to_json(F.struct(day.alias("date"), v.alias("qty"), F.lit("watch").alias("source")))
     three = F.to_json(F.struct(day.alias("date"), v.alias("Min"), (v + 5).alias("Avg"), (v + 9).alias("Max"), F.lit("ring").alias("source")))
     metric = F.when(F.col("event_type") == "click", "heart_rate").otherwise(F.col("event_type"))
-    rows = e.select((F.col("user_id") % 8).alias("athlete_id"), day.alias("day"), metric.alias("metric"), F.when(F.col("event_type") == "click", three).otherwise(one).alias("sample"))
+    rows = e.select((F.col("user_id") % 8).alias("athlete_id"), "event_id", day.alias("day"), metric.alias("metric"), F.when(F.col("event_type") == "click", three).otherwise(one).alias("sample"))
     rows = rows.unionByName(_sleep_samples(spark, sf_dir).withColumn("metric", F.lit("sleep_analysis")))
     body = F.concat(F.lit('{"metric":"'), "metric", F.lit('","date":"'), "day", F.lit('","units":"u","samples":['), F.array_join(F.collect_list("sample"), ","), F.lit("]}"))
-    return rows.groupBy("athlete_id", "metric", "day").agg(body.alias("body")).select("athlete_id", "body")
+    return rows.groupBy("athlete_id", "metric", "day", F.floor(F.col("event_id") / FILE).alias("file")).agg(body.alias("body")).select("athlete_id", "body")
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:

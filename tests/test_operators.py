@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stridewell import schemas
 from stridewell.operators import health as h
 from stridewell.operators import joins, sessions
 from stridewell.operators import timeseries as ts
-from stridewell.sources import readers, sinks
+from stridewell.operators.measures import measures
+from stridewell.sources import driver_tables, readers, sinks
 from stridewell.streaming import ingest
 
 D0 = date(2024, 1, 1)
@@ -251,6 +253,36 @@ def test_sleep_in_files(spark, tmp_path):
         assert {r["source"] for r in rows if r["date"] == date(2026, 1, 7)} == {"watch"}
 
 
+def test_no_task_gets_a_day_of_samples_whole(spark):
+    """However many samples a day or a night has, they are dealt over the tasks; repeated quantities stay, repeated segments count once."""
+    q = spark.range(6000).select(F.lit("steps").alias("name"), F.struct(F.lit("2026-01-07").alias("date"), (F.col("id") % 3000).cast("double").alias("qty"), F.lit("watch").alias("source")).alias("sample"))
+    clock = lambda minute: F.concat(F.lit("2026-01-07 0"), F.floor(minute / 60), F.lit(":"), F.lpad((minute % 60).cast("string"), 2, "0"), F.lit(":00 +0100"))
+    minute = F.col("id") % 480
+    s = spark.range(960).select(F.lit("sleep_analysis").alias("name"), F.struct(clock(minute).alias("startDate"), clock(minute + 1).alias("endDate"), F.lit("Deep").alias("value"), F.lit(0.25).alias("qty"), F.lit("ring").alias("source")).alias("sample"))
+    text = s.select("name", F.to_json("sample").alias("sample")).unionByName(q.select("name", F.to_json("sample").alias("sample")))
+    samples = text.select(F.lit(1).cast("long").alias("athlete_id"), "name", F.from_json("sample", schemas.SAMPLE).alias("sample"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = measures(samples).withColumn("task", F.spark_partition_id()).collect()
+        plan = measures(samples)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    steps = [r for r in rows if r["metric"] == "steps"]
+    assert sorted(r["value"] for r in steps) == sorted(float(i % 3000) for i in range(6000))
+    assert len({r["task"] for r in steps}) > 1
+    night = {r["metric"]: r["value"] for r in rows if r["metric"] != "steps"}
+    assert (night["sleep_deep"], night["sleep_totalSleep"], night["sleep_sleepStart"], night["sleep_sleepEnd"]) == (120.0, 120.0, 0.0, 8.0)
+    assert plan.count("Sort [") == plan.count("Exchange hashpartitioning") == 2 and plan.count(" Range (") == 2
+
+
+def test_more_samples_give_more_files_not_longer_ones(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet") if os.path.isdir("/root/testdata/sf0.001") else pytest.skip("no test data")
+    for n in (1, 3):
+        e.crossJoin(spark.range(n).withColumnRenamed("id", "c")).withColumns({k: F.col(k) + F.col("c") * by for k, by in (("event_id", 168_000), ("user_id", 1600))}).drop("c").write.parquet(str(tmp_path / f"{n}/events.parquet"))
+    one, three = (driver_tables.canonical_bodies(spark, str(tmp_path / str(n))).agg(F.max(F.length("body")), F.sum(F.length("body")), F.count("*")).first() for n in (1, 3))
+    assert three[0] == one[0] and three[1:] == (3 * one[1], 3 * one[2])
+
+
 def test_windows_and_sessions_on_a_stream(spark, tmp_path):
     """The streaming operators run on a stream with a watermark and give the batch's rows."""
     t0 = datetime(2024, 1, 1)
