@@ -27,6 +27,8 @@ SLICE, CELLS = 512, 1 << 19
 SKETCH, ALIKE = 64, 38
 #: Sets of a large group that are compared with all others first, where only classes are asked for.
 PIVOTS = 64
+#: Bits for each row that is looked for, and in all (8 MB), of the bitmaps by which texts are left out before they are dealt.
+BITS, MOST_BITS = 32, 1 << 26
 SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -114,6 +116,20 @@ def described(docs: DataFrame, runs: int, depth: int, overlap: float, width: int
     return texts_of(docs).mapInArrow(run, schema)
 
 
+def likely(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose columns are among those of wanted, and few others (one in BITS, of more than MOST_BITS / BITS wanted rows more): what a join would drop isn't dealt.
+
+    A bit for each hash of the wanted rows, in bitmaps that every task gets.
+    """
+    bits = min(MOST_BITS, BITS * max(1024, wanted.count()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
+    maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    at = F.bitmap_bit_position("place").cast("int")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(maps), "bucket")
+    return found.where(F.getbit(byte, at % 8) == 1).select(*rows.columns)
+
+
 def blocked(rows: DataFrame, key: str, member: str) -> DataFrame:
     """Adds group, block and other: rows of a key with several blocks (column blocks) go to each pair of these that theirs is of."""
     n = F.col("blocks").cast("int")
@@ -338,22 +354,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 
     leaves = large = None
     for k in range(depth):
-        rows = sets.select("set", "sketch", F.explode(F.arrays_zip(F.col(f"path{k}").alias("path"), F.col(f"up{k}").alias("up"))).alias("p")).select("set", "sketch", "p.path", "p.up")
+        rows = sets.select("set", F.explode(F.arrays_zip(F.col(f"path{k}").alias("path"), F.col(f"up{k}").alias("up"))).alias("p")).select("set", "p.path", "p.up")
         if large is not None:
             rows = written(rows.join(large.select(F.col("path").alias("up")), "up", "left_semi"), "paths")
         counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         large = counts.where(F.col("n") > LEAF)
-        here = rows.select("set", "sketch", "path").join(counts if k == depth - 1 else counts.where(F.col("n") <= LEAF), "path")
+        here = rows.select("set", "path").join(counts if k == depth - 1 else counts.where(F.col("n") <= LEAF), "path")
         leaves = here if leaves is None else leaves.unionByName(here)
+    # most paths are of one set only: sketches come to those that are shared
+    leaves = leaves.join(sets.select("set", "sketch"), "set")
     buckets = blocked(leaves.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "path", "set").select("group", "set", "sketch")
     candidates = buckets.repartition(n, "group").sortWithinPartitions("group").mapInArrow(alike, "a long, b long")
     near = components(candidates)
 
     chosen = near.join(sets.select(F.col("set").alias("node"), "id", "mark", "size"), "node")
     size = chosen.groupBy("root").agg(F.count("*").alias("n"), blocks_of(F.count("*"), 8 * F.sum("size")).alias("blocks"))
-    chosen = chosen.join(size, "root")
+    chosen = written(chosen.join(size, "root"), "chosen")
     # equal rows bring a set once
-    texts = texts_of(docs).withColumnRenamed("doc_id", "id").join(chosen, ["id", "mark"]).select("text", "node", "root", "n", "blocks").dropDuplicates(["node"])
+    texts = likely(texts_of(docs).withColumnRenamed("doc_id", "id"), chosen, ["id", "mark"]).join(chosen, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("text", "node", "root", "n", "blocks")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stridewell.llm import chosen_path as cp
 from stridewell.llm.components import components
@@ -205,3 +206,22 @@ def test_very_long_near_copies(spark, monkeypatch):
     texts = [" ".join([*base[: 1000 * i], "new", *base[1000 * i :]]) for i in range(5)] + [" ".join(rng.choice(base) for _ in range(200_000)), "short text"]
     rows = {r["doc_id"]: (r["set_id"], r["class_id"], r["n_links"]) for r in cp.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     assert rows == {**{i: (i, 0, 4) for i in range(5)}, 5: (5, 5, 0), 6: (6, 6, 0)}
+
+
+def test_texts_outside_groups_are_not_dealt(spark):
+    """No row that is looked for is left out, and few others stay; where the bitmaps are too small for the rows, more do."""
+    rows = spark.range(20_000).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("mark"), F.lit("x").alias("text"))
+    wanted = rows.where("id % 10 = 3").select("id", "mark")
+    found = cp.likely(rows.unionByName(rows.limit(5)), wanted, ["id", "mark"])
+    assert found.columns == rows.columns
+    assert found.join(wanted, ["id", "mark"]).count() == wanted.count() + found.where("id = 3").count() - 1
+    assert found.count() < 2 * wanted.count()
+    assert cp.likely(rows, wanted.limit(0), ["id", "mark"]).count() == 0
+
+
+def test_bitmaps_of_bounded_size_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(cp, "MOST_BITS", 4096)
+    rows = spark.range(20_000).select("id")
+    wanted = rows.where("id % 10 = 3")
+    found = cp.likely(rows, wanted, ["id"])
+    assert found.join(wanted, "id").count() == wanted.count() and found.count() < rows.count()
